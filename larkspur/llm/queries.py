@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import saved
+from .cluster import saved, shared_dir
 from .dedup_exact import exact_dedup, text_sha256
+from .dedup_near import near_components
+from .mixing import mix_sources
 from .packing import pack, token_pieces
+from .quality_rules import quality_rules
 from .sharding import shard_rows
 from .token_counts import count_tokens
+from .token_files import read_token_files, write_token_files
 
 CAPACITY = 1024
 
@@ -37,12 +41,38 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024, keep=["doc_id"])
 
 
+#: Target weights of the corpus mix, in parts: the known sources alike, and all others together as one more.
+MIX = {f"src{i}": 1 for i in range(20)}
+MIX_OTHERS = 1
+#: Shares of at most this weight may run out before the mix ends.
+MIX_SLACK = 0.1
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources(docs, MIX, MIX_OTHERS, seed=7, slack=MIX_SLACK)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # texts are hashed once; what is read again is a row of 40 bytes or so per document
     docs = saved(table(spark, sf_dir, "documents").select("doc_id", text_sha256(F.col("text")).alias("key")))
     return exact_dedup(docs, key_col="key").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=1)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 OP6_SQL = r"""
 with n as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
@@ -59,7 +89,11 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_token_files": op8_token_files,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 SQL = {
