@@ -18,7 +18,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .cluster import mapped_text, saved, ship
 from .components import components
@@ -30,6 +29,8 @@ HUBS = 2
 #: A block has at most about so many classes and bytes of sets.
 BLOCK_CLASSES = 600
 BLOCK_BYTES = 24_000_000
+#: Dropped ids that may be broadcast.
+BROADCAST_IDS = 2_000_000
 #: Union-sketch estimates below this don't go on to be verified; four to five standard deviations below 0.75.
 ESTIMATE = 0.50
 
@@ -54,11 +55,11 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         if c >= SHINGLE:
             out.append(np.unique(key[b : b + c - SHINGLE + 1]))
         elif c:
-            one = np.uint64(c)
-            for w in words[b : b + c]:
-                one = (one ^ w) * MIX
+            one = np.array([c], np.uint64)
+            for i in range(b, b + c):
+                one = (one ^ words[i : i + 1]) * MIX
                 one ^= one >> np.uint64(29)
-            out.append(np.array([one], np.uint64))
+            out.append(one)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -244,9 +245,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = lists.join(hubs, "value").select(F.col("doc_id").alias("u"), (-F.col("hub.no")).alias("v")).where("u <> v").distinct()
     clusters = saved(components(stars).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")))
 
-    # full sets of cluster members; an id whose rows hold several sets is no class of its own but linked below
+    # full sets of cluster members, from their texts
     sets = _sets_of(docs, clusters.select("doc_id"), id_col, text_col)
-    several = real.join(clusters.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.countDistinct("set_key").alias("sets"))
     members = sets.join(clusters, "doc_id").join(active.select("doc_id", "degree"), "doc_id").dropDuplicates(["doc_id", "shingles"])
     members = saved(members.where(F.length("shingles") > 0))
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
@@ -281,7 +281,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # an id with several sets joins the classes of all of them
     loose = real.join(classes, "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     twice = real.groupBy("doc_id").agg(F.countDistinct("set_key").alias("sets")).where("sets > 1").select(F.col("doc_id").alias("u"))
-    del several
     extra = loose.join(twice, "u", "left_semi")
     label = saved(components(links.unionByName(extra)))
 
@@ -294,5 +293,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose document is not the first of its component (see near_components)."""
-    drop = near_components(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    drop = saved(near_components(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct())
+    if drop.count() <= BROADCAST_IDS:  # 8 bytes each; more of them are joined by a shuffle
+        drop = F.broadcast(drop)
     return docs.join(drop, docs[id_col].cast("long") == F.col("dropped_id"), "left_anti")

@@ -11,10 +11,12 @@ from .dedup_exact import exact_dedup, text_sha256
 from .dedup_near import near_components
 from .mixing import mix_sources
 from .packing import pack, token_pieces
+from .quality_model import classify
 from .quality_rules import quality_rules
 from .sharding import shard_rows
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
+from .url_filters import filter_urls, path_rules
 
 CAPACITY = 1024
 
@@ -41,6 +43,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024, keep=["doc_id"])
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return classify(table(spark, sf_dir, "documents"), trusted, keep=["doc_id", "lang"])
+
+
 #: Target weights of the corpus mix, in parts: the known sources alike, and all others together as one more.
 MIX = {f"src{i}": 1 for i in range(20)}
 MIX_OTHERS = 1
@@ -59,6 +66,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, key_col="key").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+URL_RULES = path_rules({"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"})
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, URL_RULES)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=1)
@@ -89,8 +104,10 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_url_filters": op7_url_filters,
     "op8_token_files": op8_token_files,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
