@@ -1 +1 @@
-"""operators of larkspur."""
+"""DataFrame operators over job postings, feedback and mails."""
