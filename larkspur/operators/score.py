@@ -294,6 +294,8 @@ def usable_for_main_list() -> Column:
 
 
 def main_list(jobs: DataFrame) -> DataFrame:
+    """Postings for the main list. jobs should come from a written table: the optimizer moves this filter
+    below the projections it reads from and would copy their rules into it again and again."""
     for name, kind in (("roleProfileId", "string"), ("roleProfileName", "string"), ("mainListMinScore", "double")):
         if name not in jobs.columns:
             jobs = jobs.withColumn(name, F.lit(None).cast(kind))

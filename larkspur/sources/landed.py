@@ -3,16 +3,18 @@
 Fetching is the connector's work; these turn what it landed into rows.
 """
 
-from __future__ import annotations
-
 import base64
 import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.urls import links_in_html, links_in_text, strip_html, unique_links
 
@@ -77,19 +79,20 @@ def cards_of(html: str | None, link_pattern: str) -> list[tuple[str, str, str]]:
 
 def html_cards(pages: DataFrame, html_col: str = "html", link_pattern: str = "job", keep: list[str] | None = None) -> DataFrame:
     """Kept columns of the page with link, title and description of each card on it."""
-    import pandas as pd
-
     kept = keep if keep is not None else [n for n in pages.columns if n != html_col]
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in pages.select(kept).dtypes), "link string", "title string", "description string"])
+    rows = pages.select(*kept, html_col)
+    schema = T.StructType([*(rows.schema[n] for n in kept), *(T.StructField(n, T.StringType()) for n in ("link", "title", "description"))])
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch[html_col].map(lambda h: cards_of(h, link_pattern))
-            rows = batch[kept].loc[batch.index.repeat(found.map(len))].reset_index(drop=True)
-            flat = [x for cards in found for x in cards]
-            yield rows.assign(link=[x[0] for x in flat], title=[x[1] for x in flat], description=[x[2] for x in flat])
+            found = [cards_of(h, link_pattern) for h in batch.column(html_col).to_pylist()]
+            at = pa.array([i for i, cards in enumerate(found) for _ in cards], pa.int64())
+            flat = [card for cards in found for card in cards]
+            columns = [*(batch.column(n).take(at) for n in kept), *(pa.array([card[k] for card in flat], pa.string()) for k in range(3))]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
-    return pages.select(*kept, html_col).mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _decoded(data: str) -> str:
@@ -119,8 +122,6 @@ def mime_parts(payload: str | None) -> tuple[str, str]:
 
 def mails_of(messages: DataFrame, payload_col: str = "payload") -> DataFrame:
     """messages with bodyText, bodyHtml and links (at most 80) of their payload tree."""
-    import pandas as pd
-
     @F.pandas_udf("bodyText string, bodyHtml string")
     def bodies(payload: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(payload.map(mime_parts).tolist(), columns=["bodyText", "bodyHtml"])
