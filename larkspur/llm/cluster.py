@@ -14,8 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000, too many for whole texts.
+ARROW_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as --py-files would."""
+    """Send this package to the executors once per application, as --py-files would, and keep Arrow batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -59,10 +59,10 @@ def gram_counts(docs: DataFrame, text_col: str, order: int = ORDER) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["gram", "c"])
 
         held = []
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text"):
             grams, _ = byte_grams(batch.column("text").to_pylist(), order)
             held.append(tuple(x.astype(t) for x, t in zip(np.unique(grams, return_counts=True), (np.uint64, np.int64))))
-            if len(held) >= 8:
+            if len(held) >= 32:
                 held = [merged(held)]
                 if len(held[0][0]) > 2_000_000:
                     yield out(*held.pop())
