@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import new_name
+from .cluster import new_name, saved
 
 HASHES = 2
 #: Bits of one filter row; what bitmap_construct_agg gathers in one group.
@@ -81,6 +81,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", key_col: str | None = N
     several = flagged.where(flag).drop(flag)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("row")))
     groups = several.groupBy(F.col("text_sha256").alias("g_key")).agg(first.alias("g_first"), F.count(F.lit(1)).alias("g_size"))
-    several = several.join(groups, F.col("text_sha256") == F.col("g_key"))
-    several = several.select(*base.columns, F.col("g_first.id").alias("keep_id"), F.col("g_size").alias("group_size"), (F.col(rid) == F.col("g_first.row")).alias("kept"))
+    groups = saved(groups)
+    # of groups with more than a 256th of the rows there are at most 256: their rows stay where they are
+    on = F.col("text_sha256") == F.col("g_key")
+    large = F.col("g_size") * 256 > n
+    tried = several.join(F.broadcast(groups.where(large)), on, "left")
+    in_large = tried.where("g_key is not null")
+    in_small = tried.where("g_key is null").select(several.columns).join(groups.where(~large), on)
+    several = in_large.unionByName(in_small).select(*base.columns, F.col("g_first.id").alias("keep_id"), F.col("g_size").alias("group_size"), (F.col(rid) == F.col("g_first.row")).alias("kept"))
     return alone.unionByName(several).drop(rid)

@@ -71,7 +71,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], others: int = 0, si
         F.monotonically_increasing_id().alias(rid),
     )
     n = docs.select(F.lit(1)).count()
-    groups = max(1, -(-n // rows_per_bucket))
+    groups = max(64, -(-n // rows_per_bucket))  # of each share
     # rows without an id are dealt by what else they hold
     key = F.xxhash64(F.when(F.col(id_col).isNull(), F.xxhash64(*(c for c, kind in base.dtypes if not kind.startswith("map")))).otherwise(F.xxhash64(F.col(id_col))), F.lit(seed))
     rows = rows.withColumn(group, F.pmod(F.xxhash64(key), F.lit(groups)))

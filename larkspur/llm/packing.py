@@ -201,7 +201,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", ro
     segments = _segments(plan_bins(histogram, capacity))
 
     # Rank among equal lengths without one task per length: ranks inside groups of rows, after the groups before.
-    groups = max(1, -(-total // rows_per_group))
+    groups = max(64, -(-total // rows_per_group))
     group, rank = new_name(kept, "group_no"), new_name(kept, "rank_no")
     dealt = kept.withColumn(group, F.pmod(F.xxhash64(F.col(rid)), F.lit(groups)))
     key = F.col(length_col).cast("long").alias("g_length")
