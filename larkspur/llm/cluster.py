@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -39,10 +40,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """A new folder under spark.checkpoint.dir; where that is unset, one of our own, which on a cluster lies in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.gettempdir()}/larkspur-checkpoints"
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        base = f"file://{tempfile.gettempdir()}/larkspur-checkpoints" if alone else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
 
 

@@ -65,7 +65,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", key_col: str | None = N
     Rows are equal when their texts are, after each run of white space became one space; null counts as
     empty. The smallest id stays, a null id only if there is no other; of repeated rows with that id one
     stays. key_col: a column that already holds text_sha256. Input columns named like an output column
-    are replaced. An empty table gives an empty one.
+    are replaced. An empty table gives an empty one. docs is read more than once and its rows are told
+    apart by their place, so it should come from files, or be saved first where its order may change.
     """
     out_names = ("text_sha256", "keep_id", "group_size", "kept")
     key = F.col(key_col) if key_col else text_sha256(docs[text_col])

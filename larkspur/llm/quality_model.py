@@ -11,9 +11,11 @@ A document is rejected if its perplexity is far above what held-out trusted text
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,10 +149,14 @@ class Shard:
 
 def shards_of(model: DataFrame, order: int = ORDER, entries: int = SHARD_ENTRIES) -> list[Shard]:
     """The model in parts of about `entries` entries, by the last byte of the context; the lowest order is in all."""
+    return list(_shards(model, order, entries))
+
+
+def _shards(model: DataFrame, order: int, entries: int) -> Iterator[Shard]:
+    """The parts one after another, so that the driver needs to hold one at a time."""
     total = model.count()
     n = min(256, max(1, -(-total // entries)))
     byte = F.when(F.col("kind") == 0, F.shiftright("gram", 8)).otherwise(F.col("gram")).bitwiseAND(F.lit(0xFF))
-    out = []
     for i in range(n):
         rows = model.where((F.col("n") == 1) | (byte % n == i)).toArrow()
         kind, level, gram, weight = (rows.column(c).to_numpy() for c in ("kind", "n", "gram", "weight"))
@@ -161,18 +167,20 @@ def shards_of(model: DataFrame, order: int = ORDER, entries: int = SHARD_ENTRIES
                 key, value = gram[pick].astype(np.uint64), weight[pick]
                 by = np.argsort(key)
                 tables[k, m] = key[by], value[by].astype(np.float32)
-        out.append(Shard(i, n, order, tables))
-    return out
+        yield Shard(i, n, order, tables)
+
+
+def broadcast_shards(model: DataFrame, order: int = ORDER, entries: int = SHARD_ENTRIES) -> list[Broadcast]:
+    """The parts as broadcasts; each leaves the driver's memory for Spark's block store once it is sent."""
+    return [model.sparkSession.sparkContext.broadcast(s) for s in _shards(model, order, entries)]
 
 
-def scored(docs: DataFrame, shards: list[Shard], text_col: str = "text", order: int = ORDER, keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
+def scored(docs: DataFrame, shards: list[Broadcast], text_col: str = "text", order: int = ORDER, keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """docs with text_bytes and log_prob (sum over the bytes of a text). Columns of these names are replaced."""
-    spark = docs.sparkSession
-    names = [new_name(docs, f"log_prob_{s.number}") for s in shards]
+    names = [new_name(docs, f"log_prob_{i}") for i in range(len(shards))]
     out = docs
-    for s, name in zip(shards, names):
-        sent = spark.sparkContext.broadcast(s)
-        last = s is shards[-1]
+    for sent, name in zip(shards, names):
+        last = sent is shards[-1]
 
         def work(sent=sent):
             shard = sent.value
@@ -215,7 +223,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     if not counts.limit(1).count():
         null = F.lit(None).cast("double")
         return docs.select(*carried, null.alias("perplexity"), null.alias("excess"), null.alias("threshold"), F.lit(True).alias("kept"))
-    shards = shards_of(kneser_ney(counts))
+    shards = broadcast_shards(kneser_ney(counts))
 
     sample = saved(scored(trusted.where(out_of_model), shards, "text", keep=["lang"]).select("lang", (-F.col("log_prob") / F.col("text_bytes")).alias("bits"), F.sqrt("text_bytes").alias("root")))
     medians = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("bits", 0.5, 100_000).alias("m")).where("n >= 30 and lang is not null").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
