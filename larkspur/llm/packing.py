@@ -19,6 +19,8 @@ from .cluster import mapped_text, new_name, saved, ship
 
 #: A filling: (length, how often it is used) from the longest on, and how many sequences are filled so.
 Filling = tuple[tuple[tuple[int, int], ...], int]
+#: Waste that a search takes for equal, so that small items are left for later.
+EASES = (0, 1, 2, 4, 8, 16, 32, 64)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -72,8 +74,8 @@ def least_bins(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _fillings(counts: np.ndarray, largest: int, capacity: int, width: int) -> list[tuple[int, dict[int, int]]]:
-    """Undominated fillings around the largest item, least waste first: (waste, uses).
+def _fillings(counts: np.ndarray, largest: int, capacity: int, width: int, ease: int = 0) -> list[tuple[int, dict[int, int]]]:
+    """Undominated fillings around the largest item, least waste first: (waste, uses). Waste up to ease counts as equal.
 
     A filling is led by at most two items and completed by the largest that still fit, so nothing can be
     added. For a given leader only the largest partner counts (a smaller one is dominated), and fillings
@@ -94,7 +96,9 @@ def _fillings(counts: np.ndarray, largest: int, capacity: int, width: int) -> li
     keep = (lead == one) | (lead + partner > one)
     lead, partner, waste = lead[keep], partner[keep], waste[keep]
     found: dict[tuple, tuple[int, dict[int, int]]] = {}
-    for i in np.argsort(waste, kind="stable")[: 4 * width]:
+    # of equal waste, a single item first, then those whose smaller item is largest: small items fit anywhere later on
+    alone = np.where(partner == 0, capacity, partner)
+    for i in np.lexsort((waste, -alone, np.maximum(waste, ease)))[: 4 * width]:
         uses = {largest: 1}
         rest = room
         for item in (int(lead[i]), int(partner[i])):
@@ -109,53 +113,89 @@ def _fillings(counts: np.ndarray, largest: int, capacity: int, width: int) -> li
                 rest -= n * item
             at = item - 1
         found.setdefault(tuple(sorted(uses.items())), (rest, uses))
-    return sorted(found.values(), key=lambda x: x[0])[:width]
+    return sorted(found.values(), key=lambda x: max(x[0], ease))[:width]
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[Filling]:
+    """Best-fit decreasing over counts of lengths: each item goes where it leaves least room."""
+    rooms: dict[int, dict[tuple[tuple[int, int], ...], int]] = {}  # room left: bins by what they hold
+
+    def put(room: int, held: tuple[tuple[int, int], ...], bins: int) -> None:
+        if bins:
+            at = rooms.setdefault(room, {})
+            at[held] = at.get(held, 0) + bins
+
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[length])
+        for room in sorted(r for r in rooms if r >= length):
+            each = room // length  # a bin that has taken one is the tightest for the next
+            for held, bins in rooms.pop(room).items():
+                full = min(bins, left // each)
+                rest = min(left - full * each, each - 1) if full < bins else 0
+                put(room - each * length, (*held, (length, each)), full)
+                if rest:
+                    put(room - rest * length, (*held, (length, rest)), 1)
+                put(room, held, bins - full - bool(rest))
+                left -= full * each + rest
+        each = capacity // length
+        put(capacity - each * length, ((length, each),), left // each)
+        if left % each:
+            put(capacity - left % each * length, ((length, left % each),), 1)
+    return [x for room in rooms.values() for x in room.items()]
 
 
 def plan_bins(histogram: Mapping[int, int], capacity: int, most_nodes: int = 20_000, width: int = 6) -> list[Filling]:
     """Fillings for all items of a histogram {length: count}, in as few bins as the search finds.
 
-    Depth first: around the largest item left, the filling with least waste is taken as often as its items
-    last; the first descent so is a best-fit packing and the first incumbent. A branch is given up once its
-    waste can't lead below the incumbent. The search ends when the incumbent meets the lower bound, or
-    after most_nodes nodes with the best packing found.
+    Best-fit decreasing is the first incumbent. Then, depth first: around the largest item left, the first
+    filling is taken as often as its items last; the others are tried on the way back. A branch is given up
+    once its waste can't lead below the incumbent. The search is run for each of EASES, for most_nodes nodes
+    each, and ends when the incumbent meets the lower bound.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         if not 1 <= length <= capacity:
             raise ValueError(f"length {length} is not in 1..{capacity}")
         counts[length] += n
-    total = int((counts * np.arange(capacity + 1)).sum())
     bound = least_bins(counts, capacity)
-    best: list[Filling] = []
-    best_bins: int | None = None
+    best = best_fit(counts, capacity)
+    for ease in EASES:
+        if sum(times for _, times in best) == bound:
+            break
+        best = _complete(counts, capacity, best, bound, ease, most_nodes, width)
+    return best
+
+
+def _complete(counts: np.ndarray, capacity: int, best: list[Filling], bound: int, ease: int, most_nodes: int, width: int) -> list[Filling]:
+    """The best packing that one search finds, or the incumbent it was given."""
+    total = int((counts * np.arange(capacity + 1)).sum())
+    best_bins = sum(times for _, times in best)
     stack: list[list] = []  # counts, bins, waste, untried fillings, chosen filling
     nodes = 0
 
     def descend(counts: np.ndarray, bins: int, waste: int) -> None:
         alive = np.flatnonzero(counts)
-        options = _fillings(counts, int(alive[-1]), capacity, width) if len(alive) else []
+        options = _fillings(counts, int(alive[-1]), capacity, width, ease) if len(alive) else []
         stack.append([counts, bins, waste, options, None])
 
     descend(counts, 0, 0)
-    while stack:
+    while stack and nodes < most_nodes:
         counts, bins, waste, options, _ = stack[-1]
         if not counts.any():
-            if best_bins is None or bins < best_bins:
+            if bins < best_bins:
                 best, best_bins = [x[4] for x in stack[:-1]], bins
             if best_bins == bound:
                 break
             stack.pop()
             continue
-        if not options or (best_bins is not None and nodes > most_nodes):
+        if not options:
             stack.pop()
             continue
         gap, uses = options.pop(0)
         nodes += 1
         times = min(int(counts[k]) // n for k, n in uses.items())
         # below the incumbent, all bins but the last may waste this much together
-        if best_bins is not None and waste + gap * times > (best_bins - 1) * capacity - total:
-            stack.pop()  # fillings come by waste: the others are no better
+        if waste + gap * times > (best_bins - 1) * capacity - total:
             continue
         stack[-1][4] = (tuple(sorted(uses.items(), reverse=True)), times)
         after = counts.copy()

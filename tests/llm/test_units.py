@@ -88,6 +88,26 @@ def test_packing_meets_the_bound_on_many():
     assert sum(t for _, t in plan) <= packing.least_bins(n, 1024) + 1
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_is_never_worse_than_best_fit(seed):
+    r = np.random.default_rng(seed)
+    n = np.bincount(np.clip(r.lognormal(5, 1, 400), 1, 1024).astype(int), minlength=1025)
+    placed = np.zeros(1025, np.int64)
+    rooms = []  # best-fit decreasing, item by item
+    for k in np.repeat(np.arange(1025), n)[::-1].tolist():
+        fits = [i for i, room in enumerate(rooms) if room >= k]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= k
+        else:
+            rooms.append(1024 - k)
+    first = packing.best_fit(n, 1024)
+    for uses, times in first:
+        for k, m in uses:
+            placed[k] += m * times
+    assert (placed == n).all() and sum(t for _, t in first) == len(rooms)
+    assert sum(t for _, t in packing.plan_bins({i: int(k) for i, k in enumerate(n) if k}, 1024)) <= len(rooms)
+
+
 def test_rank_coding_round_trip():
     r = np.random.default_rng(0)
     for size in (0, 1, 3, 4, 5, 1000):
