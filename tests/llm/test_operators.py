@@ -240,3 +240,16 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_pipeline_mix_keeps_every_document(spark):
+    """Three sources of one document each and a hot one: the mix orders, it doesn't end."""
+    import corpus_pipeline
+
+    rows = [(i, "some words", "en", f"src{i}" if i < 3 else "src3" if i < 103 else f"src{3 + i % 17}" if i < 300 else None, 10) for i in range(310)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [tuple(r) for r in corpus_pipeline.mix(spark, docs, "").collect()]
+    assert sorted(out) == sorted(rows)
+    assert len({r[3] for r in out[:21]}) == 21 and {r[3] for r in out[-50:]} == {"src3"}
+    place = {r["doc_id"]: r["position"] for r in corpus_pipeline.packing(spark, docs.repartition(3), "").collect()}
+    assert [r[0] for r in out] == sorted(place, key=place.get)
