@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import mapped_text, new_name, saved, ship
@@ -24,8 +24,6 @@ from .cluster import mapped_text, new_name, saved, ship
 ORDER = 5
 #: Entries of a shard of the model; 16 bytes each.
 SHARD_ENTRIES = 2_000_000
-#: Languages with an own threshold, those with most held-out documents; all others share the pooled one.
-MOST_LANGUAGES = 1000
 #: Trusted ids that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -199,15 +197,56 @@ def scored(docs: DataFrame, shards: list[Broadcast], text_col: str = "text", ord
     return out.withColumn("log_prob", total).drop(*names)
 
 
+def levels_by_language(sample: DataFrame, quantile: float, margin: float) -> tuple[DataFrame, tuple[float, float, float]]:
+    """(lang, n, level, spread, threshold) of each language, null too, and (level, spread, threshold) of one without any sample.
+
+    sample: (lang, bits, text_bytes) of held-out documents. A level is the median of the language's own bits,
+    drawn towards the mean of all languages' medians by as much as its error (which falls with the documents)
+    weighs against the differences between languages. spread: what is left of its error, in units in which a
+    document of b bytes has the error 1 / b. Quantiles of a language weigh by its documents against the pooled
+    one, which counts for as many documents as hold one beyond the quantile.
+    """
+    own = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("bits", 0.5, 100_000).alias("m"), F.sum(1 / F.col("text_bytes")).alias("e"))
+    own = saved(own.select("lang", "n", "m", (F.lit(math.pi / 2) * F.col("e") / F.col("n") / F.col("n")).alias("v")))
+    mean, apart, error = own.agg(F.avg("m"), F.coalesce(F.var_samp("m"), F.lit(0.0)), F.avg("v")).first()
+    if mean is None:  # nothing was held out
+        return own.select("lang", "n", F.lit(0.0).alias("level"), F.lit(0.0).alias("spread"), F.lit(0.0).alias("threshold")), (8 * math.log(2), 0.0, 2.0 * margin)
+    renamed = own.select(F.col("lang").alias("l"), "n", "m")
+    # a document's own noise, from what is within the languages; one document alone says nothing of it
+    noise = (F.col("bits") - F.col("m")) * F.sqrt(F.col("text_bytes") * F.col("n") / (F.col("n") - 1))
+    inside = sample.join(renamed, F.col("lang").eqNullSafe(F.col("l"))).where("n > 1").agg(F.percentile_approx(noise, [0.5, 0.8413], 100_000)).first()[0]
+    sigma = max(inside[1] - inside[0], 1e-6) if inside else 1.0
+    between = max(0.0, apart / sigma**2 - error)
+    w = F.lit(between) / (F.lit(between) + F.col("v"))
+    own = saved(own.select("lang", "n", (F.lit(mean) + w * (F.col("m") - mean)).alias("level"), (w * F.col("v")).alias("spread")))
+    at = own.select(F.col("lang").alias("l"), "level", "spread")
+    excess = saved(sample.join(at, F.col("lang").eqNullSafe(F.col("l"))).select("lang", excess_of(F.col("bits"), F.col("text_bytes"), F.col("level"), F.col("spread")).alias("excess")))
+    total, high = excess.agg(F.count(F.lit(1)), F.percentile_approx("excess", quantile, 100_000)).first()
+    limit = lambda q, n: F.greatest(margin * q, F.lit(2.0 * margin))
+    weight = 1 / (1 - quantile)
+    quantiles = excess.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("excess", quantile, 100_000).alias("q"))
+    pooled = limit(F.lit(high), F.lit(total))
+    threshold = (F.col("n") * limit(F.col("q"), F.col("n")) + weight * pooled) / (F.col("n") + weight)
+    out = saved(own.join(quantiles, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "n", "level", "spread", threshold.alias("threshold")))
+    return out, (mean, between, sample.sparkSession.range(1).select(pooled).first()[0])
+
+
+def excess_of(bits: Column, size: Column, level: Column, spread: Column) -> Column:
+    """Cross-entropy above the level, in units of the noise of both."""
+    return (bits - level) / F.sqrt(1 / size + spread)
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 3.0, held_out: float = 0.2, keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """docs with perplexity (per byte), excess, threshold and kept; one row per input row.
 
     trusted_ids: one column of ids whose documents are trusted. A share held_out of them, chosen by a hash
-    of the id, doesn't train the model but sets the thresholds. excess is the cross-entropy above the median
-    of the language's held-out documents, times the root of the number of bytes, since short texts vary more.
-    threshold lies margin times as far from the median as the language's quantile of it; languages with
-    fewer than 30 held-out documents (a null language too) go by all languages together. kept: excess is at
-    most the threshold. Null and empty texts have a null perplexity and are not kept. Without trusted text
+    of the id, doesn't train the model but sets the thresholds. excess is the cross-entropy above the level
+    of the language's held-out documents, times the root of the number of bytes, since short texts vary more,
+    and less as far as few documents leave the level uncertain. threshold lies margin times as far from the
+    level as the language's quantile of it. Every language (null is one) has its own level and threshold,
+    from one held-out document on (see levels_by_language). One without any has the mean level of all
+    languages, the differences between these as the level's error, and the pooled threshold; as the model
+    doesn't know it either, most of its texts may be rejected. kept: excess is at most the threshold. Null and empty texts have a null perplexity and are not kept. Without trusted text
     there is no model, and every row is kept. Repeated rows are judged each for itself. Columns named like
     an output column are replaced.
     """
@@ -225,26 +264,16 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
         return docs.select(*carried, null.alias("perplexity"), null.alias("excess"), null.alias("threshold"), F.lit(True).alias("kept"))
     shards = broadcast_shards(kneser_ney(counts))
 
-    sample = saved(scored(trusted.where(out_of_model), shards, "text", keep=["lang"]).select("lang", (-F.col("log_prob") / F.col("text_bytes")).alias("bits"), F.sqrt("text_bytes").alias("root")))
-    medians = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("bits", 0.5, 100_000).alias("m")).where("n >= 30 and lang is not null").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    median = {r["lang"]: r["m"] for r in medians.collect()}
-    pooled = sample.agg(F.percentile_approx("bits", 0.5, 100_000)).first()[0]
-    if pooled is None:  # nothing was held out
-        pooled = 8 * math.log(2)
-
-    def by_lang(values: dict, default: float, lang):
-        known = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(float(v))))) if values else None
-        return F.lit(float(default)) if known is None else F.coalesce(known[lang], F.lit(float(default)))
-
-    sample = sample.withColumn("excess", (F.col("bits") - by_lang(median, pooled, F.col("lang"))) * F.col("root"))
-    high = {r["lang"]: r["q"] for r in sample.groupBy("lang").agg(F.percentile_approx("excess", quantile, 100_000).alias("q")).where(F.col("lang").isin(list(median))).collect()}
-    high_all = sample.agg(F.percentile_approx("excess", quantile, 100_000)).first()[0] or 0.0
-    limits = {k: max(margin * v, 2.0 * margin) for k, v in high.items()}
+    sample = saved(scored(trusted.where(out_of_model), shards, "text", keep=["lang"]).select("lang", (-F.col("log_prob") / F.col("text_bytes")).alias("bits"), "text_bytes"))
+    levels, others = levels_by_language(sample, quantile, margin)
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
     lang = new_name(rows, "language")
     rows = rows.withColumn(lang, F.col(lang_col).cast("string"))
     out = scored(rows, shards, text_col, keep=[*carried, lang], keep_text=keep_text)
+    # a row per language; the names can't meet those of documents
+    names = [new_name(out, c) for c in ("of_lang", "of_level", "of_spread", "of_threshold")]
+    out = out.join(levels.select("lang", "level", "spread", "threshold").toDF(*names), F.col(lang).eqNullSafe(F.col(names[0])), "left")
+    level, spread, threshold = (F.coalesce(F.col(c), F.lit(float(x))) for c, x in zip(names[1:], others))
     bits = F.when(F.col("text_bytes") > 0, -F.col("log_prob") / F.col("text_bytes"))
-    excess = (bits - by_lang(median, pooled, F.col(lang))) * F.sqrt("text_bytes")
-    threshold = by_lang(limits, max(margin * high_all, 2.0 * margin), F.col(lang))
+    excess = excess_of(bits, F.nullif(F.col("text_bytes"), F.lit(0)), level, spread)
     return out.select(*carried, F.exp(bits).alias("perplexity"), excess.alias("excess"), threshold.alias("threshold"), F.coalesce(excess <= threshold, F.lit(False)).alias("kept"))

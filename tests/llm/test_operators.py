@@ -253,3 +253,23 @@ def test_pipeline_mix_keeps_every_document(spark):
     assert len({r[3] for r in out[:21]}) == 21 and {r[3] for r in out[-50:]} == {"src3"}
     place = {r["doc_id"]: r["position"] for r in corpus_pipeline.packing(spark, docs.repartition(3), "").collect()}
     assert [r[0] for r in out] == sorted(place, key=place.get)
+
+
+def test_quality_levels_of_small_languages(spark):
+    """Four held-out documents of a language (null is one) count, and one more document doesn't switch the rule."""
+    import random
+
+    r = random.Random(1)
+    big = [("en", 1.5 + r.gauss(0, 1) / 30, 900) for _ in range(400)] + [("fr", 1.4 + r.gauss(0, 1) / 30, 900) for _ in range(100)]
+
+    def levels(small):
+        sample = spark.createDataFrame([*big, *small], "lang string, bits double, text_bytes long")
+        rows, others = quality_model.levels_by_language(sample, 0.99, 3.0)
+        return {x["lang"]: x for x in rows.collect()}, others
+
+    got, others = levels([("de", 2.0 + d, 900) for d in (0.02, -0.02, 0.01, -0.01)] + [(None, 3.0, 900)])
+    assert abs(got["de"]["level"] - 2) < 0.05 and abs(got[None]["level"] - 3) < 0.1 and abs(got["en"]["level"] - 1.5) < 0.01
+    assert got[None]["spread"] > got["de"]["spread"] > got["en"]["spread"] and others[1] > got[None]["spread"]
+    small = [("de", 2.0 + r.gauss(0, 1) / 30, 900) for _ in range(30)]
+    (a, _), (b, _) = levels(small[:29]), levels(small)
+    assert abs(a["de"]["level"] - b["de"]["level"]) < 0.02 and abs(a["de"]["threshold"] - b["de"]["threshold"]) < 1
