@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 from pyspark import Broadcast
@@ -203,14 +204,15 @@ def levels_by_language(sample: DataFrame, quantile: float, margin: float) -> tup
     sample: (lang, bits, text_bytes) of held-out documents. A level is the median of the language's own bits,
     drawn towards the mean of all languages' medians by as much as its error (which falls with the documents)
     weighs against the differences between languages. spread: what is left of its error, in units in which a
-    document of b bytes has the error 1 / b. Quantiles of a language weigh by its documents against the pooled
-    one, which counts for as many documents as hold one beyond the quantile.
+    document of b bytes has the error 1 / b. A threshold is the quantile itself and margin of its standard errors
+    above, which vanish as documents grow. That of a language weighs by its documents against the pooled one,
+    which counts for as many documents as hold one beyond the quantile.
     """
     own = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("bits", 0.5, 100_000).alias("m"), F.sum(1 / F.col("text_bytes")).alias("e"))
     own = saved(own.select("lang", "n", "m", (F.lit(math.pi / 2) * F.col("e") / F.col("n") / F.col("n")).alias("v")))
     mean, apart, error = own.agg(F.avg("m"), F.coalesce(F.var_samp("m"), F.lit(0.0)), F.avg("v")).first()
     if mean is None:  # nothing was held out
-        return own.select("lang", "n", F.lit(0.0).alias("level"), F.lit(0.0).alias("spread"), F.lit(0.0).alias("threshold")), (8 * math.log(2), 0.0, 2.0 * margin)
+        return own.select("lang", "n", F.lit(0.0).alias("level"), F.lit(0.0).alias("spread"), F.lit(0.0).alias("threshold")), (8 * math.log(2), 0.0, 0.0)
     renamed = own.select(F.col("lang").alias("l"), "n", "m")
     # a document's own noise, from what is within the languages; one document alone says nothing of it
     noise = (F.col("bits") - F.col("m")) * F.sqrt(F.col("text_bytes") * F.col("n") / (F.col("n") - 1))
@@ -222,7 +224,10 @@ def levels_by_language(sample: DataFrame, quantile: float, margin: float) -> tup
     at = own.select(F.col("lang").alias("l"), "level", "spread")
     excess = saved(sample.join(at, F.col("lang").eqNullSafe(F.col("l"))).select("lang", excess_of(F.col("bits"), F.col("text_bytes"), F.col("level"), F.col("spread")).alias("excess")))
     total, high = excess.agg(F.count(F.lit(1)), F.percentile_approx("excess", quantile, 100_000)).first()
-    limit = lambda q, n: F.greatest(margin * q, F.lit(2.0 * margin))
+    # the standard error of a quantile of normal noise, from n documents
+    normal = NormalDist()
+    one = sigma * math.sqrt(quantile * (1 - quantile)) / normal.pdf(normal.inv_cdf(quantile))
+    limit = lambda q, n: q + margin * one / F.sqrt(n)
     weight = 1 / (1 - quantile)
     quantiles = excess.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("excess", quantile, 100_000).alias("q"))
     pooled = limit(F.lit(high), F.lit(total))
@@ -242,8 +247,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     trusted_ids: one column of ids whose documents are trusted. A share held_out of them, chosen by a hash
     of the id, doesn't train the model but sets the thresholds. excess is the cross-entropy above the level
     of the language's held-out documents, times the root of the number of bytes, since short texts vary more,
-    and less as far as few documents leave the level uncertain. threshold lies margin times as far from the
-    level as the language's quantile of it. Every language (null is one) has its own level and threshold,
+    and less as far as few documents leave the level uncertain. threshold is the language's quantile of it and
+    margin of the quantile's standard errors above. Every language (null is one) has its own level and threshold,
     from one held-out document on (see levels_by_language). One without any has the mean level of all
     languages, the differences between these as the level's error, and the pooled threshold; as the model
     doesn't know it either, most of its texts may be rejected. kept: excess is at most the threshold. Null and empty texts have a null perplexity and are not kept. Without trusted text

@@ -273,3 +273,13 @@ def test_quality_levels_of_small_languages(spark):
     small = [("de", 2.0 + r.gauss(0, 1) / 30, 900) for _ in range(30)]
     (a, _), (b, _) = levels(small[:29]), levels(small)
     assert abs(a["de"]["level"] - b["de"]["level"]) < 0.02 and abs(a["de"]["threshold"] - b["de"]["threshold"]) < 1
+
+
+def test_quality_threshold_is_the_quantile(spark):
+    """What lies well above the quantile of held-out noise is beyond the threshold: no factor and no floor."""
+    from statistics import NormalDist
+
+    noise = [NormalDist().inv_cdf((i + 0.5) / 2000) for i in range(2000)]
+    sample = spark.createDataFrame([("en", 1.5 + x / 30, 900) for x in noise], "lang string, bits double, text_bytes long")
+    rows, others = quality_model.levels_by_language(sample, 0.99, 3.0)
+    assert all(2.33 <= t < 2.7 for t in (rows.first()["threshold"], others[2]))
