@@ -2,9 +2,10 @@
 
 Training counts the byte n-grams of all trusted texts in Spark; the counts of lower orders, the discounts,
 the weights of contexts and the probabilities follow from joins and aggregations of hash-partitioned count
-tables. For scoring, the model is cut into shards of bounded size by the byte before the predicted one, so
-that a position finds all it needs in one shard; each shard is broadcast and joined with the documents'
-n-grams where they are read, and adds its part to each document's log-probability. Texts never shuffle.
+tables. Scoring is a sharded count join: tasks count the n-grams of a block of texts by document, send these
+counts, not the texts, to the shards of the model, and what a shard says of a block's documents is added up
+by block. A shard is found by the last two bytes of a context, so it answers every order of its n-grams by
+itself; shards and blocks are bounded, and neither the model nor counts ever meet the driver or a broadcast.
 A document is rejected if its perplexity is far above what held-out trusted text of its language has.
 """
 
@@ -12,29 +13,56 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import mapped_text, new_name, saved, ship
+from .cluster import new_name, saved, ship
 
 ORDER = 5
-#: Entries of a shard of the model; 16 bytes each.
-SHARD_ENTRIES = 2_000_000
-#: Trusted ids that may be broadcast; beyond, they are joined by a shuffle.
+#: Entries of a shard of the model (12 bytes each in a task), and the least number of shards.
+SHARD_ENTRIES = 4_000_000
+LEAST_SHARDS = 16
+#: Bytes of the texts whose counts travel together, and of those that one task joins with its shard.
+BLOCK_BYTES = 2_000_000
+TASK_BYTES = 256_000_000
+#: Entries of the model in a row on their way to their shard.
+CHUNK_ENTRIES = 200_000
+#: Ids that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def byte_grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram that ends at each byte of all texts, number of bytes of each text); zeros stand before a text."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    pad = b"\0" * (order - 1)
-    data = np.frombuffer(b"".join(pad + r for r in raw), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+def text_blocks(batches, order: int, most_bytes: int | None = None, most_parts: int = 1 << 16) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(row_no of each part, its bytes) of about BLOCK_BYTES in all, from batches (row_no, text).
+
+    A part has the order - 1 bytes before it in front, zeros at a text's begin. A text that is longer than
+    what a block has left goes on in the next, so blocks stay small whatever the texts' lengths.
+    """
+    most_bytes = most_bytes or BLOCK_BYTES
+    zeros = np.zeros(order - 1, np.uint8)
+    owners, parts, held = [], [], 0
+    for batch in batches:
+        for row, text in zip(batch.column("row_no").to_pylist(), batch.column("text")):
+            data, at = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else zeros[:0], 0
+            while at < len(data):
+                end = min(len(data), at + most_bytes - held)
+                before = data[max(0, at - order + 1) : at]
+                parts.append(np.concatenate([zeros[len(before) :], before, data[at:end]]))
+                owners.append(row)
+                held, at = held + end - at, end
+                if held == most_bytes or len(parts) == most_parts:
+                    yield owners, parts
+                    owners, parts, held = [], [], 0
+    if parts:
+        yield owners, parts
+
+
+def byte_grams(parts: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram that ends at each byte of all parts, number of bytes of each part); see text_blocks."""
+    data = np.concatenate([*parts, np.zeros(0, np.uint8)]).astype(np.uint64)
+    sizes = np.fromiter((len(p) - order + 1 for p in parts), np.int64, len(parts))
     key = np.zeros(max(0, len(data) - order + 1), np.uint64)
     for j in range(order):
         key = key << np.uint64(8) | data[j : j + len(key)]
@@ -45,13 +73,13 @@ def byte_grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndar
 
 def gram_counts(docs: DataFrame, text_col: str, order: int = ORDER) -> DataFrame:
     """(gram, c): how often each n-gram of bytes, as a number, occurs in all texts. Tasks add up their own first."""
+    if not 1 <= order <= 6:
+        raise ValueError("order must be 1 to 6: an n-gram and a place in its block share 64 bits")
     ship(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        from .cluster import slices
-
         def merged(parts):
             keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             return keys, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
@@ -60,17 +88,17 @@ def gram_counts(docs: DataFrame, text_col: str, order: int = ORDER) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["gram", "c"])
 
         held = []
-        for batch in slices(batches, "text"):
-            grams, _ = byte_grams(batch.column("text").to_pylist(), order)
+        for _, parts in text_blocks(batches, order):
+            grams, _ = byte_grams(parts, order)
             held.append(tuple(x.astype(t) for x, t in zip(np.unique(grams, return_counts=True), (np.uint64, np.int64))))
-            if len(held) >= 32:
+            if len(held) >= 16:
                 held = [merged(held)]
                 if len(held[0][0]) > 2_000_000:
                     yield out(*held.pop())
         if held:
             yield out(*merged(held))
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.lit(0).alias("row_no"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
@@ -110,22 +138,27 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return saved(out)
 
 
-@dataclass
+def shard_of(pair, shards: int):
+    """The shard of the last two bytes of a context, as numbers or as a Column."""
+    return (pair * 40503) % 65536 % shards
+
+
 class Shard:
     """A part of the model as sorted arrays by kind and order."""
 
-    number: int
-    shards: int
-    order: int
-    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
+    def __init__(self, order: int, chunks: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.order, self.tables = order, {}
+        for kind in (0, 1):
+            for n in range(1, order + 1):
+                own = [(keys, weights) for k, m, keys, weights in chunks if (k, m) == (kind, n)]
+                keys, weights = (np.concatenate(x) for x in zip(*own)) if own else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+                by = np.argsort(keys)
+                self.tables[kind, n] = keys[by], weights[by]
 
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        """Of the last byte of each n-gram; 0 where another shard is asked."""
+        """Of the last byte of each n-gram of this shard."""
         out = np.zeros(len(grams))
-        at = np.arange(len(grams))
-        if self.shards > 1:
-            at = np.flatnonzero((grams >> np.uint64(8) & np.uint64(0xFF)) % np.uint64(self.shards) == self.number)
-        keys = grams[at]
+        at, keys = np.arange(len(grams)), grams
         for n in range(self.order, 0, -1):
             p, hit = self._look(0, n, keys)
             out[at[hit]] += p[hit]
@@ -146,56 +179,145 @@ class Shard:
         return weights[at], known[at] == keys
 
 
-def shards_of(model: DataFrame, order: int = ORDER, entries: int = SHARD_ENTRIES) -> list[Shard]:
-    """The model in parts of about `entries` entries, by the last byte of the context; the lowest order is in all."""
-    return list(_shards(model, order, entries))
+def sharded(model: DataFrame, shards: int) -> DataFrame:
+    """(shard, kind, n, gram, weight): the model with the shard that each entry belongs to. Orders 1 and 2, at
+    most 66,049 entries, are in all."""
+    context = F.when(F.col("kind") == 0, F.shiftright("gram", 8)).otherwise(F.col("gram"))
+    one = shard_of(context.bitwiseAND(F.lit(0xFFFF)), shards).cast("int")
+    large = model.where("n > 2").select(one.alias("shard"), "kind", "n", "gram", "weight")
+    small = model.where("n <= 2").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "kind", "n", "gram", "weight")
+    return large.unionByName(small)
 
 
-def _shards(model: DataFrame, order: int, entries: int) -> Iterator[Shard]:
-    """The parts one after another, so that the driver needs to hold one at a time."""
-    total = model.count()
-    n = min(256, max(1, -(-total // entries)))
-    byte = F.when(F.col("kind") == 0, F.shiftright("gram", 8)).otherwise(F.col("gram")).bitwiseAND(F.lit(0xFF))
-    for i in range(n):
-        rows = model.where((F.col("n") == 1) | (byte % n == i)).toArrow()
-        kind, level, gram, weight = (rows.column(c).to_numpy() for c in ("kind", "n", "gram", "weight"))
-        tables = {}
-        for k in (0, 1):
-            for m in range(1, order + 1):
-                pick = (kind == k) & (level == m)
-                key, value = gram[pick].astype(np.uint64), weight[pick]
-                by = np.argsort(key)
-                tables[k, m] = key[by], value[by].astype(np.float32)
-        yield Shard(i, n, order, tables)
+def _squeezed(x: np.ndarray) -> bytes:
+    """An array byte plane by byte plane, compressed."""
+    import pyarrow as pa
 
+    x = np.ascontiguousarray(x)
+    return pa.Codec("zstd", compression_level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), asbytes=True)
 
-def broadcast_shards(model: DataFrame, order: int = ORDER, entries: int = SHARD_ENTRIES) -> list[Broadcast]:
-    """The parts as broadcasts; each leaves the driver's memory for Spark's block store once it is sent."""
-    return [model.sparkSession.sparkContext.broadcast(s) for s in _shards(model, order, entries)]
 
+def _restored(raw: bytes, kind: type, count: int) -> np.ndarray:
+    import pyarrow as pa
 
-def scored(docs: DataFrame, shards: list[Broadcast], text_col: str = "text", order: int = ORDER, keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
-    """docs with text_bytes and log_prob (sum over the bytes of a text). Columns of these names are replaced."""
-    names = [new_name(docs, f"log_prob_{i}") for i in range(len(shards))]
-    out = docs
-    for sent, name in zip(shards, names):
-        last = sent is shards[-1]
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, decompressed_size=count * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, count).T).view(kind).reshape(-1)
 
-        def work(sent=sent):
-            shard = sent.value
 
-            def fn(texts):
-                grams, sizes = byte_grams(texts, order)
-                sums = np.r_[0, np.cumsum(shard.log_probability(grams))]
-                end = np.cumsum(sizes)
-                return None, [sizes, sums[end] - sums[end - sizes]]
+MODEL = "struct<kind:int,n:int,entries:int,keys:binary,weights:binary>"
+COUNTS = "struct<grams:int,pairs:int,docs:int,gram:binary,per:binary,doc:binary,times:binary,owner:binary>"
 
-            return fn
 
-        carried = None if keep is None else [*keep, *(n for n in names if n in out.columns)]
-        out = mapped_text(out, text_col, f"text_bytes long, `{name}` double", work, keep_text or not last, carried)
-    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    return out.withColumn("log_prob", total).drop(*names)
+def block_counts(parts: list[np.ndarray], owners: list[int], order: int, shards: int) -> Iterator[tuple[int, tuple]]:
+    """(shard, fields of COUNTS): the distinct n-grams of a block that the shard knows, how many documents have
+    each, which ones, and how often. The first shard's also names the documents."""
+    grams, sizes = byte_grams(parts, order)
+    keys = np.sort(grams << np.uint64(16) | np.repeat(np.arange(len(parts), dtype=np.uint64), sizes))
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    times = np.diff(np.r_[first, len(keys)]).astype(np.uint32)
+    keys = keys[first]
+    shard = shard_of(np.arange(1 << 16), shards).astype(np.uint16)[keys >> np.uint64(24) & np.uint64(0xFFFF)]
+    by = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+    for s in range(shards):
+        at = by[cuts[s] : cuts[s + 1]]
+        if not len(at) and s:
+            continue
+        gram = keys[at] >> np.uint64(16)
+        new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(at) else np.zeros(0, np.int64)
+        doc = (keys[at] & np.uint64(0xFFFF)).astype(np.uint16)
+        owner = _squeezed(np.array([owners, sizes], np.int64).reshape(-1)) if s == 0 else None
+        yield s, (len(new), len(at), len(parts), _squeezed(np.diff(gram[new], prepend=np.uint64(0))), _squeezed(np.diff(np.r_[new, len(at)]).astype(np.uint32)), _squeezed(np.diff(doc, prepend=np.uint16(0))), _squeezed(times[at]), owner)
+
+
+def scores(docs: DataFrame, model: DataFrame, row_no: str, text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """(row_no, text_bytes, log_prob): the number of bytes of each text and the sum of their log probabilities.
+
+    Rows with an empty or null text have none. row_no tells rows apart.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    entries = model.count()
+    shards = max(LEAST_SHARDS, -(-entries // SHARD_ENTRIES))
+    texts = docs.select(F.col(row_no).alias("row_no"), F.col(text_col).cast("string").alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    copies = max(1, -(-total // (shards * TASK_BYTES)))  # tasks that share a shard's part of the texts
+
+    def count(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+        names = [f.split(":")[0] for f in COUNTS[7:-1].split(",")]
+        for owners, parts in text_blocks(batches, order):
+            rows = list(block_counts(parts, owners, order, shards))
+            fields = [pa.array(x, t) for x, t in zip(zip(*(r for _, r in rows)), kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.StructArray.from_arrays(fields, names)], names=["shard", "block", "counts"])
+            number += 1
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            shard, kind, n, gram, weight = (batch.column(i).to_numpy() for i in range(5))
+            by = np.lexsort((n, kind, shard))
+            place = (shard[by].astype(np.int64) * 2 + kind[by]) * (order + 1) + n[by]
+            edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+            cuts = [(b, min(b + CHUNK_ENTRIES, e)) for a, e in zip(edge, edge[1:]) for b in range(a, e, CHUNK_ENTRIES)]
+            fields = [pa.array([int(x[by[b]]) for b, _ in cuts], pa.int32()) for x in (kind, n)] + [pa.array([int(e - b) for b, e in cuts], pa.int32())]
+            fields += [pa.array([x[by[b:e]].astype(t).tobytes() for b, e in cuts], pa.binary()) for x, t in ((gram, "<u8"), (weight, "<f4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[by[b]]) for b, _ in cuts], pa.int32()), pa.StructArray.from_arrays(fields, ["kind", "n", "entries", "keys", "weights"])], names=["shard", "model"])
+
+    def join(batches):
+        import pyarrow as pa
+
+        now, chunks, shard = None, [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["shard"], row["copy"]) != now:
+                    now, chunks, shard = (row["shard"], row["copy"]), [], None
+                if row["model"] is not None:
+                    m = row["model"]
+                    chunks.append((m["kind"], m["n"], np.frombuffer(m["keys"], "<u8"), np.frombuffer(m["weights"], "<f4")))
+                    continue
+                shard = shard or Shard(order, chunks)
+                chunks, c = [], row["counts"]
+                gram = np.cumsum(_restored(c["gram"], np.uint64, c["grams"]), dtype=np.uint64)
+                says = np.repeat(shard.log_probability(gram), _restored(c["per"], np.uint32, c["grams"]))
+                doc = np.cumsum(_restored(c["doc"], np.uint16, c["pairs"]), dtype=np.uint16)
+                sums = np.bincount(doc, says * _restored(c["times"], np.uint32, c["pairs"]), c["docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([sums.tobytes()], pa.binary()), pa.array([c["owner"]], pa.binary())], names=["block", "sums", "owner"])
+
+    def add(batches):
+        import pyarrow as pa
+
+        now, sums, owner = None, None, None
+
+        def flush():
+            rows, sizes = _restored(owner, np.int64, 2 * len(sums)).reshape(2, -1)
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sizes), pa.array(sums)], names=["row_no", "text_bytes", "log_prob"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != now:
+                    if now is not None:
+                        yield flush()
+                    now, sums, owner = row["block"], 0.0, None
+                sums, owner = sums + np.frombuffer(row["sums"]), row["owner"] or owner
+        if now is not None:
+            yield flush()
+
+    counted = texts.mapInArrow(count, f"shard int, block long, counts {COUNTS}")
+    counted = counted.select("shard", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int").alias("copy"), F.lit(None).cast(MODEL).alias("model"), "block", "counts")
+    entries = sharded(model, shards).select("shard", "kind", "n", "gram", "weight").repartition("shard").mapInArrow(pack, f"shard int, model {MODEL}")
+    entries = entries.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "model", F.lit(None).cast("long").alias("block"), F.lit(None).cast(COUNTS).alias("counts"))
+    # a shard's entries stand before the counts that ask it; more partitions than groups, so that few of them meet in one
+    met = entries.unionByName(counted).repartition(int(3 * shards * copies), "shard", "copy").sortWithinPartitions("shard", "copy", F.col("model").isNull())
+    said = met.mapInArrow(join, "block long, sums binary, owner binary")
+    said = said.repartition("block").sortWithinPartitions("block").mapInArrow(add, "row_no long, text_bytes long, log_prob double")
+    return said.groupBy("row_no").agg(F.sum("text_bytes").alias("text_bytes"), F.sum("log_prob").alias("log_prob"))
 
 
 def levels_by_language(sample: DataFrame, quantile: float, margin: float) -> tuple[DataFrame, tuple[float, float, float]]:
@@ -241,8 +363,32 @@ def excess_of(bits: Column, size: Column, level: Column, spread: Column) -> Colu
     return (bits - level) / F.sqrt(1 / size + spread)
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 3.0, held_out: float = 0.2, keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
-    """docs with perplexity (per byte), excess, threshold and kept; one row per input row.
+def _judged(docs: DataFrame, trusted_ids: DataFrame, row_no: str, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float, held_out: float) -> DataFrame | None:
+    """(row_no, perplexity, excess, threshold, kept) of each row of docs; None if there is no trusted text."""
+    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("trusted_id")).where("trusted_id is not null").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    narrow = docs.select(F.col(row_no).alias("row_no"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    out_of_model = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(1000)) < int(held_out * 1000)
+    counts = saved(gram_counts(narrow.join(ids, F.col("id") == F.col("trusted_id"), "left_semi").where(~out_of_model & (F.col("text") != "")), "text"))
+    if not counts.limit(1).count():
+        return None
+    said = scores(narrow, kneser_ney(counts), "row_no")
+    bits = F.when(F.col("text_bytes") > 0, -F.col("log_prob") / F.col("text_bytes"))
+    rows = saved(narrow.select("row_no", "id", "lang").join(said, "row_no", "left").select("row_no", "id", "lang", F.coalesce("text_bytes", F.lit(0)).cast("long").alias("text_bytes"), bits.alias("bits")))
+    sample = saved(rows.where(out_of_model & F.col("bits").isNotNull()).join(ids, F.col("id") == F.col("trusted_id"), "left_semi").select("lang", "bits", "text_bytes"))
+    levels, others = levels_by_language(sample, quantile, margin)
+    levels = levels.select(F.col("lang").alias("of_lang"), "level", "spread", "threshold")  # a row per language
+    out = rows.join(levels, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+    level, spread, threshold = (F.coalesce(F.col(c), F.lit(float(x))) for c, x in zip(("level", "spread", "threshold"), others))
+    excess = excess_of(F.col("bits"), F.nullif(F.col("text_bytes"), F.lit(0)), level, spread)
+    return out.select("row_no", F.exp("bits").alias("perplexity"), excess.alias("excess"), threshold.alias("threshold"), F.coalesce(excess <= threshold, F.lit(False)).alias("kept"))
+
+
+OUTPUTS = ("perplexity", "excess", "threshold", "kept")
+
+
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 3.0, held_out: float = 0.2, keep: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or those of keep) with perplexity (per byte), excess, threshold and kept; one row per input row.
 
     trusted_ids: one column of ids whose documents are trusted. A share held_out of them, chosen by a hash
     of the id, doesn't train the model but sets the thresholds. excess is the cross-entropy above the level
@@ -251,34 +397,31 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     margin of the quantile's standard errors above. Every language (null is one) has its own level and threshold,
     from one held-out document on (see levels_by_language). One without any has the mean level of all
     languages, the differences between these as the level's error, and the pooled threshold; as the model
-    doesn't know it either, most of its texts may be rejected. kept: excess is at most the threshold. Null and empty texts have a null perplexity and are not kept. Without trusted text
-    there is no model, and every row is kept. Repeated rows are judged each for itself. Columns named like
-    an output column are replaced.
+    doesn't know it either, most of its texts may be rejected. kept: excess is at most the threshold. Null and
+    empty texts have a null perplexity and are not kept. Without trusted text there is no model, and every row
+    is kept. Repeated rows are judged each for itself, null ids are never trusted, texts of any length are
+    judged whole, and an empty table gives an empty one. Columns named like an output column are replaced.
+    docs is read more than once and its rows are told apart by their place, so it should come from files.
     """
-    outputs = ("text_bytes", "log_prob", "perplexity", "excess", "threshold", "kept")
-    docs = docs.select(*(c for c in docs.columns if c.lower() not in outputs))
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("trusted_id")).where("trusted_id is not null").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    trusted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    trusted = trusted.join(ids, F.col("id") == F.col("trusted_id"), "left_semi").where("text <> ''")
-    out_of_model = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(1000)) < int(held_out * 1000)
-    counts = saved(gram_counts(trusted.where(~out_of_model), "text"))
-    carried = [c for c in (docs.columns if keep is None else keep) if keep_text or c.lower() != text_col.lower()]
-    if not counts.limit(1).count():
+    carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OUTPUTS]
+    row_no = new_name(docs, "row_no")
+    docs = docs.withColumn(row_no, F.monotonically_increasing_id())
+    judged = _judged(docs, trusted_ids, row_no, id_col, text_col, lang_col, quantile, margin, held_out)
+    if judged is None:
         null = F.lit(None).cast("double")
-        return docs.select(*carried, null.alias("perplexity"), null.alias("excess"), null.alias("threshold"), F.lit(True).alias("kept"))
-    shards = broadcast_shards(kneser_ney(counts))
-
-    sample = saved(scored(trusted.where(out_of_model), shards, "text", keep=["lang"]).select("lang", (-F.col("log_prob") / F.col("text_bytes")).alias("bits"), "text_bytes"))
-    levels, others = levels_by_language(sample, quantile, margin)
-    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    lang = new_name(rows, "language")
-    rows = rows.withColumn(lang, F.col(lang_col).cast("string"))
-    out = scored(rows, shards, text_col, keep=[*carried, lang], keep_text=keep_text)
-    # a row per language; the names can't meet those of documents
-    names = [new_name(out, c) for c in ("of_lang", "of_level", "of_spread", "of_threshold")]
-    out = out.join(levels.select("lang", "level", "spread", "threshold").toDF(*names), F.col(lang).eqNullSafe(F.col(names[0])), "left")
-    level, spread, threshold = (F.coalesce(F.col(c), F.lit(float(x))) for c, x in zip(names[1:], others))
-    bits = F.when(F.col("text_bytes") > 0, -F.col("log_prob") / F.col("text_bytes"))
-    excess = excess_of(bits, F.nullif(F.col("text_bytes"), F.lit(0)), level, spread)
-    return out.select(*carried, F.exp(bits).alias("perplexity"), excess.alias("excess"), threshold.alias("threshold"), F.coalesce(excess <= threshold, F.lit(False)).alias("kept"))
+        return docs.select(*(docs[c] for c in carried), *(null.alias(c) for c in OUTPUTS[:3]), F.lit(True).alias("kept"))
+    rows = docs.select(F.col(row_no).alias(new_name(docs, "judged_row")), *(docs[c] for c in carried))
+    return rows.join(judged, rows[rows.columns[0]] == judged["row_no"]).select(*(rows[c] for c in carried), *(judged[c] for c in OUTPUTS))
+
+
+def good_documents(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 3.0, held_out: float = 0.2) -> DataFrame:
+    """The rows of docs that classify keeps, with their own columns. Texts don't shuffle: up to BROADCAST_IDS
+    rejected rows are broadcast by number, more are joined."""
+    row_no = new_name(docs, "row_no")
+    rows = docs.withColumn(row_no, F.monotonically_increasing_id())
+    judged = _judged(rows, trusted_ids, row_no, id_col, text_col, lang_col, quantile, margin, held_out)
+    if judged is None:
+        return docs
+    rejected = saved(judged.where("not kept").select(F.col("row_no").alias(new_name(rows, "rejected_row"))))
+    rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_IDS else rejected
+    return rows.join(rejected, rows[row_no] == rejected[rejected.columns[0]], "left_anti").select(*(rows[c] for c in docs.columns))

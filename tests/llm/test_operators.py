@@ -172,36 +172,6 @@ def test_quality_rules(spark, docs):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
-def test_quality_model(spark):
-    import random
-
-    r = random.Random(0)
-    say = lambda: " ".join(r.choice(["the", "of", "and", "house", "water", "garden", "letter"]) for _ in range(80))
-    rows = [(i, say(), "en") for i in range(300)] + [(1000, "#%$ @@ ZZQX 9981 ~~" * 30, "en"), (1001, None, "en"), (1002, "", None), (1003, say(), None), (1003, say(), None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("threshold", F.lit(1))
-    trusted = spark.range(200).union(spark.createDataFrame([(None,)], "id long"))
-    out = quality_model.classify(docs, trusted)
-    got = {x["doc_id"]: x for x in out.collect()}
-    assert out.count() == len(rows) and all(got[i]["kept"] for i in [*range(300), 1003])
-    assert not got[1000]["kept"] and not got[1001]["kept"] and got[1002]["perplexity"] is None
-    assert quality_model.classify(docs, spark.range(0)).where("kept").count() == len(rows)
-    assert quality_model.classify(docs.limit(0), trusted).count() == 0
-
-
-def test_kneser_ney_sums_to_one(spark, monkeypatch):
-    docs = spark.createDataFrame([("abracadabra",), ("abba",), (None,)], "text string")
-    model = quality_model.kneser_ney(quality_model.gram_counts(docs, "text", 3), 3)
-    import numpy as np
-
-    (shard,) = quality_model.shards_of(model, 3)
-    for context in (b"\0\0", b"ab", b"zz", b"ra"):
-        grams = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert abs(np.exp(shard.log_probability(grams)).sum() - 1) < 1e-4
-    parts = quality_model.shards_of(model, 3, entries=10)
-    grams = np.arange(1 << 10, dtype=np.uint64) * np.uint64(7919) % np.uint64(1 << 24)
-    assert len(parts) > 1 and np.allclose(sum(s.log_probability(grams) for s in parts), shard.log_probability(grams), atol=1e-5)
-
-
 def test_url_filters(spark):
     rules = url_filters.path_rules({"net/": "block", "example.net/en/": "allow", "org/fr/": "allow"})
     urls = [None, "no scheme", "HTTP://A.NET/x?y", "http://www.example.net/en/1", "http://example.net", "http://b.org/fr/", "http://b.org/fr", "http://spam.com/buy/1", *(f"http://spam.com/buy/{i}" for i in range(2, 12)), *(f"http://ok.com/{w}/{i}" for i in range(5) for w in "abc")]
