@@ -37,7 +37,7 @@ ESTIMATE = 0.50
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The distinct 5-word shingles of each text as sorted 64-bit hashes; all words as one if they are fewer."""
-    from .bytewords import MIX, hashed_runs, words_of
+    from .bytewords import MIX, hashed_runs, mixed, words_of
 
     data, _, starts, sizes, doc = words_of(texts, lower=True)
     words = hashed_runs(data, starts, sizes)
@@ -46,10 +46,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     n = max(0, len(words) - SHINGLE + 1)
     key = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
-        key = key * MIX + words[j : j + n]
-        key ^= key >> np.uint64(31)
-    key *= MIX
-    key ^= key >> np.uint64(32)
+        key = mixed(key * MIX + words[j : j + n])
     out = []
     for b, c in zip(begin.tolist(), count.tolist()):
         if c >= SHINGLE:
@@ -57,8 +54,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         elif c:
             one = np.array([c], np.uint64)
             for i in range(b, b + c):
-                one = (one ^ words[i : i + 1]) * MIX
-                one ^= one >> np.uint64(29)
+                one = mixed(one * MIX + words[i : i + 1])
             out.append(one)
         else:
             out.append(np.zeros(0, np.uint64))

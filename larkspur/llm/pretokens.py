@@ -1,7 +1,8 @@
 """Pre-tokens and byte-pair merging on ragged numpy arrays, for whole batches of texts at once.
 
 A batch is one array of code points. Character classes come from a table, token borders from
-class changes, and equal pre-tokens are merged only once: a 64-bit hash finds the distinct ones.
+class changes, and equal pre-tokens are merged only once: a 64-bit hash, by BLAKE2b for long ones, finds
+the distinct ones.
 """
 
 from __future__ import annotations
@@ -16,11 +17,15 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
+from .bytewords import hashed_runs
+
 SPACE, LETTER, DIGIT, OTHER, END = range(5)
 _END = 0x110000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Units longer than this are cut before a lone space between two other characters, where no pre-token can cross.
+#: Units longer than this are cut where no pre-token can cross: before a lone space between two other characters,
+#: or between a letter and a mark of punctuation.
 UNIT_CHARS = 1_000_000
+_EDGE = regex.compile(r"(?<=\S)(?= \S)|(?<=[A-Za-z\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3])(?=[!-&(-/:-@\[-_{-~\u3001\u3002\uFF0C])")
 #: Distinct pre-tokens kept from batch to batch by one worker.
 CACHE_ENTRIES = 1_000_000
 
@@ -76,14 +81,29 @@ def _borders(codes: np.ndarray, ends: np.ndarray, with_space: bool) -> np.ndarra
     return start
 
 
-def _hashes(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    within = np.arange(len(codes), dtype=np.int64) - np.repeat(starts, sizes)
-    powers = np.multiply.accumulate(np.full(int(sizes.max()) + 1, _PRIME | np.uint64(1)))
-    mixed = (codes.astype(np.uint64) + np.uint64(0x51ED27)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(29)
-    out = np.add.reduceat(mixed * powers[within], starts)
-    out ^= out >> np.uint64(32)
-    return out * np.uint64(0xD6E8FEB86659FD93) + sizes.astype(np.uint64)
+#: The two layouts of tokenizers files that the borders and lower-casing above stand for.
+_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+BYTE_LAYOUT = {"normalizer": None, "pre_tokenizer": {**_LEVEL, "use_regex": True}}
+WORD_LAYOUT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {**_LEVEL, "use_regex": False}]},
+}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def known_layout(path: str) -> dict:
+    """The tokenizers file at path; an error if it isn't a BPE file of one of the two layouts."""
+    if not path.endswith(".json"):
+        raise ValueError(f"{path}: only .json files of the tokenizers library are read, no sentencepiece models")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    layout = WORD_LAYOUT if spec["model"].get("end_of_word_suffix") else BYTE_LAYOUT
+    wrong = [k for k, v in layout.items() if spec.get(k) != v] + [f"model.{k}" for k, v in PLAIN_MODEL.items() if spec["model"].get(k, v) != v]
+    wrong += [f"added token {t['content']}" for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    wrong += [k for k in ("truncation", "padding") if spec.get(k)]
+    if wrong:
+        raise ValueError(f"{path}: {', '.join(wrong)} not as in the known layouts of BPE files")
+    return spec
 
 
 class MergeTable:
@@ -92,8 +112,7 @@ class MergeTable:
     SLOTS = 1 << 19
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = known_layout(path)
         model = spec["model"]
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         self.with_space = not suffix
@@ -197,14 +216,9 @@ def _lowered(text: str) -> str:
 def _cut(text: str) -> list[str]:
     """text in units of about UNIT_CHARS."""
     out, begin = [], 0
-    while len(text) - begin > UNIT_CHARS:
-        at = begin + UNIT_CHARS
-        while (at := text.find(" ", at)) > 0 and (at + 1 >= len(text) or text[at - 1].isspace() or text[at + 1].isspace()):
-            at += 1
-        if at <= 0:
-            break
-        out.append(text[begin:at])
-        begin = at
+    while len(text) - begin > UNIT_CHARS and (edge := _EDGE.search(text, begin + UNIT_CHARS)):
+        out.append(text[begin : edge.start()])
+        begin = edge.start()
     return [*out, text[begin:]]
 
 
@@ -241,7 +255,7 @@ class BatchEncoder:
         joined, codes, ends = _codes(units)
         starts = np.flatnonzero(_borders(codes, ends, self.table.with_space))
         sizes = np.diff(np.r_[starts, len(codes)])
-        hashes = _hashes(codes, starts, sizes)
+        hashes = hashed_runs(codes.view(np.uint8), starts * 4, sizes * 4)
         if self.table.with_space:
             real = codes[starts] != _END
         else:
@@ -276,7 +290,7 @@ class BatchEncoder:
             if not text:
                 continue
             parts: list[str | int] = [text]
-            if self.special is not None and "<|" in text:
+            if self.special is not None and any(x in text for x in self.table.special):
                 parts, begin = [], 0
                 for m in self.special.finditer(text):
                     parts += [text[begin : m.start()], self.table.special[m[0]]]

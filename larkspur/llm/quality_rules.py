@@ -23,7 +23,7 @@ class Rules:
 
     least_words: int = 20
     base_window: int = 8
-    base_share: float = 0.30
+    base_percent: int = 30
     #: Words in a window: most characters inside windows of that many words that are found twice or more.
     windows: dict[int, float] = field(default_factory=lambda: {5: 0.30, 6: 0.28, 8: 0.25, 10: 0.22})
     #: Most characters inside lines that equal an earlier line.
@@ -109,7 +109,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text
         def fn(texts):
             m = measure(texts, windows)
             words, chars, repeated = m["n_words"], m["word_chars"], m[rules.base_window][0]
-            base = (words < rules.least_words) | (repeated > rules.base_share * words + 1e-9)
+            base = (words < rules.least_words) | (100 * repeated > rules.base_percent * words)
             good = ~base & (m["n_symbols"] <= rules.symbols_per_word * words) & (m["dup_line_chars"] <= rules.line_share * chars)
             for k, share in rules.windows.items():
                 good &= m[k][1] <= share * chars

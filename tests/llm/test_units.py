@@ -156,3 +156,72 @@ def test_shingles_and_similar_pairs():
     found = {tuple(sorted(p)) for p in dedup_near.similar_pairs(sets, np.array(full), np.array(full)).tolist()}
     want = {(a, b) for a, b in itertools.combinations(full, 2) if 100 * len(true[a] & true[b]) >= 75 * len(true[a] | true[b])}
     assert found == want
+
+
+def alternating(n, letters="ab"):
+    """The Thue-Morse word of n letters and its mirror: sums of letter times power collide on them modulo 2**64."""
+    word = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[i] for i in word), "".join(letters[1 - i] for i in word)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_that_collide_under_sums_of_powers(name):
+    from tokenizers import Tokenizer
+
+    texts = [t for n in (1024, 2048, 4096) for t in alternating(n)]
+    n, ids = pretokens.BatchEncoder(P.path(name)).encode(texts)
+    begin = np.cumsum(n) - n
+    want = Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)
+    assert [ids[b : b + k].tolist() for b, k in zip(begin, n)] == [w.ids for w in want]
+
+
+@pytest.mark.parametrize("n", [16, 1024, 2048, 4096])
+def test_colliding_words_and_lines_are_told_apart(n):
+    a, b = alternating(n)
+    one, two, three = dedup_near.shingle_sets([a, b, f"x y {a} z q r"])
+    assert one.tolist() != two.tolist() and len(three) == 2
+    m = quality_rules.measure([f"{a}\n{b}\n{a}", f"{a}\n{b}"], [8])
+    assert m["n_dup_lines"].tolist() == [1, 0]
+    spaced = [" ".join(x) for x in alternating(n)]
+    assert quality_rules.measure(["\n".join(spaced)], [8])["n_dup_lines"].tolist() == [0]
+
+
+def test_hashed_runs_depend_on_bytes_and_length_alone():
+    from larkspur.llm.bytewords import hashed_runs
+
+    r = random.Random(1)
+    runs = [bytes(r.randrange(2) for _ in range(k)) for k in range(1, 140) for _ in range(20)]
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    sizes = np.array(list(map(len, runs)))
+    starts = np.cumsum(sizes) - sizes
+    got = hashed_runs(data, starts, sizes)
+    order = np.random.default_rng(0).permutation(len(runs))
+    again = np.frombuffer(b"".join(runs[i] for i in order), np.uint8)
+    moved = hashed_runs(again, np.cumsum(sizes[order]) - sizes[order], sizes[order])
+    assert (moved == got[order]).all() and len(set(got.tolist())) == len(set(runs))
+
+
+def test_files_of_other_layouts_are_refused(tmp_path):
+    import json
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**spec["model"], "ignore_merges": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps({**spec, **change}))
+        with pytest.raises(ValueError, match="layout"):
+            pretokens.MergeTable(str(path))
+    with pytest.raises(ValueError, match="sentencepiece"):
+        pretokens.MergeTable(P.path("piece_bpe_32k.model"))
+
+
+def test_long_texts_without_spaces_are_cut_between_words_and_marks(monkeypatch):
+    monkeypatch.setattr(pretokens, "UNIT_CHARS", 30)
+    r = random.Random(2)
+    texts = ["".join(r.choice(["word", "can't", "12", "漢字", "。", ".", "--", "'ll", "\n"]) for _ in range(400))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        from tokenizers import Tokenizer
+
+        assert len(pretokens._cut(texts[0])) > 10
+        want = Tokenizer.from_file(P.path(name)).encode(texts[0], add_special_tokens=False).ids
+        assert pretokens.BatchEncoder(P.path(name)).encode(texts)[1].tolist() == want
