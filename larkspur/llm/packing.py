@@ -8,7 +8,8 @@ out to them by their rank among pieces of equal length.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from .cluster import mapped_text, new_name, saved, ship
 
 #: A filling: (length, how often it is used) from the longest on, and how many sequences are filled so.
 Filling = tuple[tuple[tuple[int, int], ...], int]
-#: Waste that a search takes for equal, so that small items are left for later.
+#: Waste that a search takes for equal.
 EASES = (0, 1, 2, 4, 8, 16, 32, 64)
 
 
@@ -60,60 +61,119 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
 
 
 def least_bins(counts: np.ndarray, capacity: int) -> int:
-    """A number of bins that no packing goes below: by total length, and by items that can't share a bin."""
-    sizes = np.arange(len(counts))
-    total = int((counts * sizes).sum())
-    best = -(-total // capacity)
-    number, length = np.cumsum(counts[::-1])[::-1], np.cumsum((counts * sizes)[::-1])[::-1]
-    of = lambda a, x: int(a[x]) if x < len(a) else 0  # noqa: E731  items of at least x
-    for k in range(1, capacity // 2 + 1):
-        large, middle = of(number, capacity - k + 1), of(number, capacity // 2 + 1) - of(number, capacity - k + 1)
-        free = middle * capacity - (of(length, capacity // 2 + 1) - of(length, capacity - k + 1))
-        small = of(length, k) - of(length, capacity // 2 + 1)
-        best = max(best, large + middle + max(0, -(-(small - free) // capacity)))
-    return best
+    """A number of bins that no packing goes below: by total length, and by items that can't share a bin (Martello and Toth)."""
+    sizes = np.arange(capacity + 1)
+    number, length = (np.append(np.cumsum(x[::-1])[::-1], 0) for x in (counts, counts * sizes))  # of at least a size
+    k = np.arange(1, capacity // 2 + 1)
+    half = capacity // 2 + 1
+    large = number[capacity - k + 1]
+    free = (number[half] - large) * capacity - (length[half] - length[capacity - k + 1])
+    more = -((free - (length[k] - length[half])) // capacity)
+    return int(max(-(-int(length[0]) // capacity), (number[half] + np.maximum(more, 0)).max(initial=0)))
+
+
+def _spread(bits: int, width: int) -> int:
+    """bits together with itself moved up by 1 to width places."""
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def _above(bits: int, width: int) -> int:
+    """bits moved up by 1 to width places."""
+    return _spread(bits << 1, width - 1) if width else 0
+
+
+class _Budget:
+    """Steps of the search that are left."""
+
+    def __init__(self, steps: int):
+        self.left = steps
 
+    def spent(self, steps: int) -> bool:
+        self.left -= steps
+        return self.left < 0
 
-def _fillings(counts: np.ndarray, largest: int, capacity: int, width: int, ease: int = 0) -> list[tuple[int, dict[int, int]]]:
-    """Undominated fillings around the largest item, least waste first: (waste, uses). Waste up to ease counts as equal.
 
-    A filling is led by at most two items and completed by the largest that still fit, so nothing can be
-    added. For a given leader only the largest partner counts (a smaller one is dominated), and fillings
-    whose items together are no longer than one available item are dominated by that item.
+def fillings(counts: np.ndarray, largest: int, capacity: int, most_waste: int, budget: _Budget, ease: int = 0) -> Iterator[tuple[int, dict[int, int]]]:
+    """All undominated fillings around the largest item: (waste, uses). Sets are bit masks of lengths.
+
+    Least waste comes first, but the first filling of each waste up to ease counts as equal: of these, the one
+    with the fewest items comes first, which leaves small items for later.
+
+    A filling is dominated if some of its items can be replaced by one longer than they are together, or as
+    long as two or more of them, that is available and still fits: whatever packing uses the one, uses the
+    other as well with those items exchanged. So also if an item can be added.
     """
-    left = counts.copy()
-    left[largest] -= 1
     room = capacity - largest
-    below = np.maximum.accumulate(np.where(left > 0, np.arange(len(left)), 0))  # the largest available up to a length
-    one = int(below[room])
-    if one == 0:
-        return [(room, {largest: 1})]
-    lead = np.flatnonzero(left[: room + 1] > 0)[::-1]
-    partner = below[np.minimum(room - lead, lead)]
-    twice = (partner == lead) & (left[lead] < 2)
-    partner = np.where(twice, below[np.maximum(lead - 1, 0)] * (lead > 1), partner)
-    waste = room - lead - partner
-    keep = (lead == one) | (lead + partner > one)
-    lead, partner, waste = lead[keep], partner[keep], waste[keep]
-    found: dict[tuple, tuple[int, dict[int, int]]] = {}
-    # of equal waste, a single item first, then those whose smaller item is largest: small items fit anywhere later on
-    alone = np.where(partner == 0, capacity, partner)
-    for i in np.lexsort((waste, -alone, np.maximum(waste, ease)))[: 4 * width]:
+    sizes = (np.flatnonzero(counts[: room + 1])).tolist()
+    have = [min(int(counts[s]) - (s == largest), room // s) for s in sizes]
+    sizes, have = [s for s, n in zip(sizes, have) if n > 0], [n for n in have if n > 0]
+    mask, sums, bits = (1 << (room + 1)) - 1, [], 1  # sums[i]: what items up to sizes[i] can add up to
+    for s, n in zip(sizes, have):
+        step = 1
+        while n > 0:
+            bits |= bits << (min(step, n) * s)
+            n, step = n - step, 2 * step
+        bits &= mask
+        sums.append(bits)
+    if budget.spent(20 + len(sizes) // 8):
+        return
+
+    def exact(top: int, left: int, waste: int, one: int, several: int, unused: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        """Sets of items below index top that add up to left. one, several: sums of one and of more items chosen;
+        unused: lengths not below top that are left over."""
+        if budget.spent(1):
+            return
+        if not left:
+            every = unused
+            for s in sizes[:top]:
+                every |= 1 << s
+            if not (_above(one | 1, waste) | _spread(several, waste)) & every:
+                yield ()
+            return
+        i = bisect_right(sizes, left, 0, top)
+        skipped = unused
+        for other in sizes[i:top]:
+            skipped |= 1 << other
+        while i and sums[i - 1] >> left & 1 and not budget.spent(1):
+            i -= 1
+            s, below = sizes[i], sums[i - 1] if i else 1
+            for n in range(min(have[i], left // s), 0, -1):
+                if not below >> (left - n * s) & 1:
+                    continue
+                singles, more = one | 1 << s, several
+                for k in range(n):
+                    more |= (more | one | (1 << s if k else 0)) << s
+                over = skipped | (1 << s if have[i] > n else 0)
+                if (_above(singles, waste) | _spread(more, waste)) & over:
+                    continue  # dominated, whatever follows
+                for rest in exact(i, left - n * s, waste, singles, more, over):
+                    yield ((s, n), *rest)
+            skipped |= 1 << s
+
+    def uses_of(chosen: tuple[tuple[int, int], ...]) -> dict[int, int]:
         uses = {largest: 1}
-        rest = room
-        for item in (int(lead[i]), int(partner[i])):
-            if item:
-                uses[item] = uses.get(item, 0) + 1
-                rest -= item
-        at = rest
-        while rest and (item := int(below[min(at, rest)])):
-            free = int(counts[item]) - uses.get(item, 0)
-            if n := min(free, rest // item):
-                uses[item] = uses.get(item, 0) + n
-                rest -= n * item
-            at = item - 1
-        found.setdefault(tuple(sorted(uses.items())), (rest, uses))
-    return sorted(found.values(), key=lambda x: max(x[0], ease))[:width]
+        for s, n in chosen:
+            uses[s] = uses.get(s, 0) + n
+        return uses
+
+    def of_waste(waste: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        return exact(len(sizes), room - waste, waste, 0, 0, 0) if (sums[-1] if sums else 1) >> (room - waste) & 1 else iter(())
+
+    wastes = range(min(room, most_waste) + 1)
+    eased = [(w, of_waste(w)) for w in wastes[: ease + 1]]
+    firsts = [(sum(n for _, n in first), w, first) for w, sets in eased if (first := next(sets, None)) is not None]
+    for _, waste, first in sorted(firsts):
+        yield waste, uses_of(first)
+    for waste in wastes:
+        for chosen in eased[waste][1] if waste <= ease else of_waste(waste):
+            yield waste, uses_of(chosen)
+        if budget.left < 0:
+            return
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[Filling]:
@@ -144,13 +204,15 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Filling]:
     return [x for room in rooms.values() for x in room.items()]
 
 
-def plan_bins(histogram: Mapping[int, int], capacity: int, most_nodes: int = 20_000, width: int = 6) -> list[Filling]:
+def plan_bins(histogram: Mapping[int, int], capacity: int, most_steps: int = 2_000_000) -> list[Filling]:
     """Fillings for all items of a histogram {length: count}, in as few bins as the search finds.
 
-    Best-fit decreasing is the first incumbent. Then, depth first: around the largest item left, the first
-    filling is taken as often as its items last; the others are tried on the way back. A branch is given up
-    once its waste can't lead below the incumbent. The search is run for each of EASES, for most_nodes nodes
-    each, and ends when the incumbent meets the lower bound.
+    Best-fit decreasing is the first incumbent. Then, depth first: around the largest item left, the undominated
+    fillings are tried, least waste first, each as often as its items last and then less often. A branch is
+    given up once its waste, or the lower bound of what is left, can't lead below the incumbent. The search is
+    run with each of EASES (see fillings), most_steps steps in all; a step is a few microseconds, a node takes
+    20 or more. The packing is the least possible if a search ends by itself or meets the lower bound, and
+    otherwise the best found.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
@@ -162,47 +224,58 @@ def plan_bins(histogram: Mapping[int, int], capacity: int, most_nodes: int = 20_
     for ease in EASES:
         if sum(times for _, times in best) == bound:
             break
-        best = _complete(counts, capacity, best, bound, ease, most_nodes, width)
+        best, ended = _completed(counts, capacity, best, bound, ease, _Budget(most_steps // len(EASES)))
+        if ended:
+            break
     return best
 
 
-def _complete(counts: np.ndarray, capacity: int, best: list[Filling], bound: int, ease: int, most_nodes: int, width: int) -> list[Filling]:
-    """The best packing that one search finds, or the incumbent it was given."""
-    total = int((counts * np.arange(capacity + 1)).sum())
-    best_bins = sum(times for _, times in best)
-    stack: list[list] = []  # counts, bins, waste, untried fillings, chosen filling
-    nodes = 0
-
-    def descend(counts: np.ndarray, bins: int, waste: int) -> None:
-        alive = np.flatnonzero(counts)
-        options = _fillings(counts, int(alive[-1]), capacity, width, ease) if len(alive) else []
-        stack.append([counts, bins, waste, options, None])
-
-    descend(counts, 0, 0)
-    while stack and nodes < most_nodes:
-        counts, bins, waste, options, _ = stack[-1]
-        if not counts.any():
-            if bins < best_bins:
-                best, best_bins = [x[4] for x in stack[:-1]], bins
-            if best_bins == bound:
-                break
-            stack.pop()
-            continue
-        if not options:
+def _completed(counts: np.ndarray, capacity: int, best: list[Filling], bound: int, ease: int, budget: _Budget) -> tuple[list[Filling], bool]:
+    """The best packing of one search, or the incumbent it was given; and whether nothing is left to search."""
+    best_bins, total = sum(times for _, times in best), int((counts * np.arange(capacity + 1)).sum())
+    whole = True
+
+    def choices(counts: np.ndarray, waste: int) -> Iterator[tuple[int, dict[int, int], int]]:
+        """(waste, uses, times) below a node; the generator's bound is that of the incumbent when it is made."""
+        nonlocal whole
+        largest = int(np.flatnonzero(counts)[-1])
+        again = []
+        for gap, uses in fillings(counts, largest, capacity, (best_bins - 1) * capacity - total - waste, budget, ease):
+            most = min(int(counts[k]) // n for k, n in uses.items())
+            yield gap, uses, most
+            if most > 1:
+                whole &= len(again) < 1000
+                again += [(gap, uses, most)] if len(again) < 1000 else []
+        for gap, uses, most in again:
+            for times in range(most - 1, 0, -1):
+                yield gap, uses, times
+
+    stack = [[counts, 0, 0, None, None]]  # counts, bins, waste, choices, chosen filling
+    while stack and best_bins > bound and budget.left >= 0:
+        counts, bins, waste, options, _ = node = stack[-1]
+        if options is None:
+            if not counts.any():
+                if bins < best_bins:
+                    best, best_bins = [x[4] for x in stack[:-1]], bins
+                stack.pop()
+                continue
+            if bins + least_bins(counts, capacity) >= best_bins:
+                stack.pop()
+                continue
+            options = node[3] = choices(counts, waste)
+        gap, uses, times = next(options, (0, None, 0))
+        if uses is None or budget.spent(1):
             stack.pop()
             continue
-        gap, uses = options.pop(0)
-        nodes += 1
-        times = min(int(counts[k]) // n for k, n in uses.items())
         # below the incumbent, all bins but the last may waste this much together
         if waste + gap * times > (best_bins - 1) * capacity - total:
             continue
-        stack[-1][4] = (tuple(sorted(uses.items(), reverse=True)), times)
+        node[4] = (tuple(sorted(uses.items(), reverse=True)), times)
         after = counts.copy()
         for k, n in uses.items():
             after[k] -= n * times
-        descend(after, bins + times, waste + gap * times)
-    return best
+        stack.append([after, bins + times, waste + gap * times, None, None])
+    return best, whole and budget.left >= 0
 
 
 def _segments(plan: list[Filling]) -> tuple[np.ndarray, ...]:
@@ -244,14 +317,13 @@ def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", ro
     groups = max(64, -(-total // rows_per_group))
     group, rank = new_name(kept, "group_no"), new_name(kept, "rank_no")
     dealt = kept.withColumn(group, F.pmod(F.xxhash64(F.col(rid)), F.lit(groups)))
-    key = F.col(length_col).cast("long").alias("g_length")
-    before = (
-        dealt.groupBy(key, F.col(group).alias("g_group")).agg(F.count(F.lit(1)).alias("g_rows"))
-        .withColumn("g_before", F.coalesce(F.sum("g_rows").over(Window.partitionBy("g_length").orderBy("g_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    )
+    of_length, of_group, before = (new_name(dealt, c) for c in ("of_length", "of_group", "rows_before"))
+    ahead = Window.partitionBy(of_length).orderBy(of_group).rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.groupBy(size.alias(of_length), F.col(group).alias(of_group)).agg(F.count(F.lit(1)).alias(before))
+    counted = counted.select(of_length, of_group, F.coalesce(F.sum(before).over(ahead), F.lit(0)).alias(before))
     ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(size, group).orderBy(rid)) - 1)
-    ranked = ranked.join(before.select("g_length", "g_group", "g_before"), (size == F.col("g_length")) & (F.col(group) == F.col("g_group")))
-    ranked = ranked.select(*pieces.columns, (F.col(rank) + F.col("g_before")).alias(rank))
+    ranked = ranked.join(counted, (size == F.col(of_length)) & (F.col(group) == F.col(of_group)))
+    ranked = ranked.select(*pieces.columns, (F.col(rank) + F.col(before)).alias(rank))
 
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema

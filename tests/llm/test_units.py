@@ -81,6 +81,50 @@ def test_packing_is_as_tight_as_brute_force():
         packing.plan_bins({9: 1}, 8)
 
 
+def test_packing_finds_perfect_packings():
+    """1,000 instances of 10 to 25 items that fill 3 to 8 bins without waste, and one that greedy completions miss."""
+    r = random.Random(11)
+    hard = [638, 638, 386, 357, 335, 284, 268, 263, 202, 192, 176, 140, 115, 102]
+    instances = [(hard, 1024, 4)]
+    while len(instances) < 1001:
+        bins, capacity, items = r.randrange(3, 9), r.choice([30, 64, 100, 256, 500, 1024]), []
+        for _ in range(bins):
+            cuts = sorted(r.sample(range(1, capacity), r.randrange(1, 5)))
+            items += [b - a for a, b in zip([0, *cuts], [*cuts, capacity])]
+        if 10 <= len(items) <= 25:
+            instances.append((items, capacity, bins))
+    for items, capacity, bins in instances:
+        plan = packing.plan_bins({k: items.count(k) for k in set(items)}, capacity)
+        assert sum(t for _, t in plan) == bins, (items, capacity)
+
+
+def test_fillings_are_those_that_nothing_dominates():
+    def dominated(b, others):
+        """Whether some other set's items can hold those of b in groups."""
+        def fits(items, rooms):
+            if not items:
+                return True
+            return any(fits(items[1:], sorted([*rooms[:i], x - items[0], *rooms[i + 1 :]], reverse=True)) for i, x in enumerate(rooms) if x >= items[0])
+
+        return any(a != b and fits(sorted(b, reverse=True), sorted(a, reverse=True)) and not (len(a) == len(b) and sorted(a) == sorted(b)) for a in others)
+
+    r = random.Random(8)
+    for _ in range(60):
+        capacity = r.randrange(12, 40)
+        items = [r.randrange(1, capacity // 2) for _ in range(r.randrange(3, 9))]
+        largest = max(items)
+        rest = list(items)
+        rest.remove(largest)
+        feasible = {tuple(sorted(c)) for n in range(len(rest) + 1) for c in itertools.combinations(rest, n) if sum(c) <= capacity - largest}
+        want = {x for x in feasible if not dominated(x, feasible)}
+        counts = np.bincount(items, minlength=capacity + 1)
+        got = []
+        for waste, uses in packing.fillings(counts, largest, capacity, capacity, packing._Budget(10**6)):
+            got.append(tuple(sorted(k for k, n in uses.items() for _ in range(n - (k == largest)))))
+            assert waste == capacity - largest - sum(got[-1])
+        assert len(got) == len(set(got)) and set(got) == want, (items, capacity)
+
+
 def test_packing_meets_the_bound_on_many():
     r = np.random.default_rng(1)
     n = np.bincount(np.clip(r.lognormal(5, 1.2, 50_000), 1, 1024).astype(int), minlength=1025)
