@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -64,6 +65,27 @@ def new_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: A fact that more than one in so many rows meets is broadcast; there are fewer such facts than this.
+HEAVY = 1000
+
+
+def met(rows: DataFrame, facts: DataFrame, keys: list[tuple[str, str]], add: list[str], weight: str, total: int) -> DataFrame:
+    """rows with the columns add of the one fact that each meets, by keys (column of rows, column of facts).
+
+    weight: the fact's column that says how many of all `total` rows meet it. Rows of frequent keys meet their
+    facts where they are, by a broadcast of fewer than HEAVY of them; only the others shuffle.
+    """
+    names = {c: new_name(rows, f"of_{c}") for _, c in keys}
+    facts = facts.select(*(F.col(c).alias(n) for c, n in names.items()), *add, F.col(weight).alias(new_name(rows, "fact_rows")))
+    on = [F.col(a) == F.col(names[b]) for a, b in keys]
+    often = F.col(facts.columns[-1]) * HEAVY > total
+    marker = names[keys[0][1]]
+    tried = rows.join(F.broadcast(facts.where(often)), on, "left")
+    there = tried.where(F.col(marker).isNotNull()).select(*rows.columns, *add)
+    rest = tried.where(F.col(marker).isNull()).select(*rows.columns).join(facts.where(~often), on)
+    return there.unionByName(rest.select(*rows.columns, *add))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about most_chars bytes of column, so that work arrays stay small whatever the texts' lengths."""
     import pyarrow.compute as pc

@@ -1,9 +1,10 @@
 """Operator 7, URL filters: a path-template tree.
 
 Per host, paths form a tree of segments. Segments that vary (numbers, keys, or any child of a node with
-too many rare children) become wildcards, sibling branches that don't differ statistically become one, and
-a template is rejected when the labelled pages under it are bad almost always, after smoothing towards
-its host. The tree is built over distinct generalised paths with counts, never over pages.
+too many rare children) become wildcards; sibling branches become one where neither what follows them nor
+their labels differ statistically, so labelled pages speak for unlabelled ones beside them; and a template is
+rejected when the labelled pages under it are bad almost always, after smoothing towards its host and all
+hosts. The tree is built over distinct generalised paths with counts, never over pages.
 Explicit rules, where one fits, come before the method.
 """
 
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import saved
+from .cluster import met, new_name, saved
 
 
 @dataclass(frozen=True)
@@ -33,15 +34,15 @@ class TreeSettings:
     #: A node with more children than this generalises those with a smaller share of its pages than rare_share.
     most_children: int = 24
     rare_share: float = 0.05
-    #: Standard errors by which a branch may differ from its siblings together and still be merged.
+    #: Standard errors by which a branch may differ, in what follows it and in labels, from its siblings together and still be merged.
     merge_z: float = 2.0
-    #: Labelled pages that the host counts for, and what a host without any is taken for.
-    host_weight: float = 4.0
-    global_weight: float = 4.0
+    #: Labelled pages that the host counts for, and all hosts together.
+    host_weight: float = 2.0
+    global_weight: float = 2.0
+    #: Share of bad ones among pages without a label, for the share of all pages.
     prior_bad: float = 0.1
-    #: A template is rejected from this smoothed share of bad pages on, with at least so many labelled ones.
+    #: A template is rejected from this smoothed share of bad pages on.
     reject_at: float = 0.8
-    least_labelled: int = 3
 
 
 def host_of(url: Column) -> Column:
@@ -80,74 +81,81 @@ def generalised(path: Column, depth: int) -> Column:
 
 
 def templates(paths: DataFrame, s: TreeSettings = TreeSettings()) -> DataFrame:
-    """(host, shape, template) for paths (host, shape, n, labelled, bad): level by level, from the host down."""
-    tree = paths.select("*", F.lit("").alias("template"))
-    for level in range(s.depth + 1):
-        seg = F.get("shape", F.lit(level))
-        rest = F.size("shape") - level - 1
-        rows = tree.withColumn("seg", seg).withColumn("below", F.concat_ws("/", F.when(rest > 0, F.slice("shape", level + 2, F.greatest(rest, F.lit(1))))))
-        rows = rows.withColumn("below", F.regexp_replace("below", r"[^/{}]+", "w"))
-        child = rows.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.max_by("below", F.struct("n", "below")).alias("below"))
-        node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("node_n"))
-        child = child.join(node, ["host", "template"])
-        rare = (F.col("children") > s.most_children) & (F.col("n") < s.rare_share * F.col("node_n"))
-        child = child.withColumn("name", F.when(rare, F.lit("{*}")).otherwise(F.col("seg")))
-        # Branches of one node with alike contents: those whose share of bad pages is within the error of all of
-        # them together become one. Branches with and without labels don't mix.
-        branch = child.groupBy("host", "template", "name").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.max_by("below", F.struct("n", "below")).alias("below"))
-        kind = [F.col("below"), (F.col("labelled") > 0).alias("has")]
-        pool = branch.groupBy("host", "template", *kind).agg(F.count(F.lit(1)).alias("branches"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        branch = branch.withColumn("has", F.col("labelled") > 0).join(pool, ["host", "template", "below", "has"])
-        p = (F.col("b") + 0.5) / (F.col("l") + 1)
-        alike = (~F.col("has")) | (F.abs(F.col("bad") / F.col("labelled") - p) <= s.merge_z * F.sqrt(p * (1 - p) / F.col("labelled")))
-        merged = F.when((F.col("branches") > 1) & (F.col("below") != "") & alike, F.concat(F.lit("{"), F.when(F.col("has"), "labelled ").otherwise(""), F.lit("any of "), F.col("below"), F.lit("}"))).otherwise(F.col("name"))
-        names = branch.select("host", "template", "name", merged.alias("merged"))
-        step = child.select("host", "template", "seg", "name").join(names, ["host", "template", "name"]).select("host", "template", "seg", "merged")
-        tree = rows.join(step, ["host", "template", "seg"], "left")
-        tree = saved(tree.select("host", "shape", "n", "labelled", "bad", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "merged")).alias("template")))
-    return tree
+    """(host, shape, template) for paths (host, shape, n, labelled, bad).
+
+    A child of a node of the tree is one segment below one prefix, with the kinds of what follows it (its
+    shape with words as `w`) and how many pages each has. All nodes are judged at once: rare children become
+    `{*}`, alike ones `{any of <their most frequent kind>}`, and a path's template is the names along it.
+    """
+    step = paths.select("host", "shape", "n", "labelled", "bad", F.posexplode("shape").alias("level", "seg"))
+    kind = F.regexp_replace(F.concat_ws("/", F.slice("shape", F.col("level") + 2, F.size("shape"))), r"[^/{}]+(?![^/{}]*\})", "w")
+    step = saved(step.select("*", F.slice("shape", F.lit(1), F.col("level")).alias("prefix"), kind.alias("kind")))
+    node = ["host", "prefix"]
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
+    kinds = step.groupBy(*node, "seg", "kind").agg(*sums, F.count(F.lit(1)).alias("paths"))
+    child = kinds.groupBy(*node, "seg").agg(*sums, F.sum("paths").alias("paths"), F.collect_list(F.struct("n", "kind")).alias("kinds"))  # kinds are few: words are all `w`
+    child = saved(child.withColumn("main", F.array_max("kinds")["kind"]))
+    pool = child.select(*node, "main", F.explode("kinds").alias("k")).groupBy(*node, "main", "k.kind").agg(F.sum("k.n").alias("held"))
+    pool = pool.groupBy(*node, "main").agg(F.map_from_entries(F.collect_list(F.struct("kind", "held"))).alias("pool"), F.sum("held").alias("pool_n"))
+    stats = child.groupBy(*node, "main").agg(F.count(F.lit(1)).alias("branches"), F.sum("labelled").alias("pool_l"), F.sum("bad").alias("pool_b"))
+    whole = child.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("node_n"))
+    pool = pool.join(stats, [*node, "main"]).join(whole, node)
+    found = ["pool", "pool_n", "branches", "pool_l", "pool_b", "children", "node_n"]
+    rows = met(child, pool, [(c, c) for c in (*node, "main")], found, "branches", child.count())
+    rare = (F.col("children") > s.most_children) & (F.col("n") < s.rare_share * F.col("node_n"))
+    # chi-squared of the child's kinds against those of all branches with the same most frequent kind
+    chi = F.aggregate("kinds", F.lit(0.0), lambda x, k: x + k["n"] * k["n"] * F.col("pool_n") / (F.col("n") * F.element_at("pool", k["kind"]))) - F.col("n")
+    free = F.size("pool") - 1
+    same_kinds = chi <= free + s.merge_z * F.sqrt(2 * free) + 1e-6
+    p = (F.col("pool_b") + 0.5) / (F.col("pool_l") + 1)
+    same_labels = (F.col("labelled") == 0) | (F.abs(F.col("bad") / F.col("labelled") - p) <= s.merge_z * F.sqrt(p * (1 - p) / F.col("labelled")))
+    alike = (F.col("branches") > 1) & (F.col("main") != "") & same_kinds & same_labels
+    name = F.when(rare, "{*}").when(alike, F.concat(F.lit("{any of "), "main", F.lit("}"))).otherwise(F.col("seg"))
+    names = saved(rows.select(*node, "seg", "paths", name.alias("name")))
+    named = met(step.select("host", "shape", "level", "prefix", "seg"), names, [(c, c) for c in (*node, "seg")], ["name"], "paths", step.count())
+    along = F.transform(F.array_sort(F.collect_list(F.struct("level", "name"))), lambda x: x["name"])
+    tree = named.groupBy("host", "shape").agg(F.concat(F.lit("/"), F.array_join(along, "/")).alias("template"))
+    return saved(tree.unionByName(paths.where(F.size("shape") == 0).select("host", "shape", F.lit("").alias("template"))))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", settings: TreeSettings = TreeSettings()) -> DataFrame:
     """pages with host, path, rule, template, bad_share and verdict ("block" or "allow"); one row per input row.
 
     labels: (id, bad) of some pages; without it, pages that a rule fits are the labelled ones, bad if it
-    blocks them. bad_share is the template's smoothed share of bad labelled pages. A null url, or one
-    without "://", has an empty host and path, fits no rule and is judged with others like it. Repeated
-    rows are judged alike, and count each. Input columns named like an output column are replaced.
+    blocks them, so that pages beside them, which no rule fits, are judged by likeness. bad_share is the share
+    of bad pages among the template's labelled ones, smoothed towards the host's, and that towards the share
+    of all pages, where one without a label counts as prior_bad. A null url, or one without "://", has an
+    empty host and path, fits no rule and is judged with others like it. Repeated rows are judged alike, and
+    count each; long paths are one wildcard below settings.depth; an empty table gives an empty one. Input
+    columns named like an output column are replaced.
     """
     s = settings
     outputs = ("host", "path", "rule", "template", "bad_share", "verdict")
+    kept = [c for c in pages.columns if c.lower() not in outputs]
     url = pages[url_col].cast("string")
-    rows = pages.select(*(c for c in pages.columns if c.lower() not in outputs), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.withColumn("fit_", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("shape_", generalised(F.col("path"), s.depth))
+    rows = pages.select(*(pages[c] for c in kept), *([] if id_col in kept else [pages[id_col].alias(id_col)]), host_of(url).alias("host"), path_of(url).alias("path"))
+    fit, shape = new_name(rows, "fit"), new_name(rows, "shape")
+    rows = rows.withColumn(fit, fitting_rule(F.col("host"), F.col("path"), rules)).withColumn(shape, generalised(F.col("path"), s.depth))
     if labels is None:
-        seen = rows.select("host", "shape_", F.when(F.col("fit_").isNotNull(), (F.col("fit_.verdict") == "block").cast("int")).alias("bad_"))
+        seen = rows.select("host", F.col(shape).alias("shape"), F.when(F.col(fit).isNotNull(), (F.col(f"{fit}.verdict") == "block").cast("int")).alias("is_bad"))
     else:
-        known = labels.select(F.col(labels.columns[0]).alias("label_id"), F.col(labels.columns[1]).cast("int").alias("bad_")).groupBy("label_id").agg(F.max("bad_").alias("bad_"))
-        seen = rows.join(known, F.col(id_col) == F.col("label_id"), "left").select("host", "shape_", "bad_")
-    paths = saved(seen.groupBy("host", F.col("shape_").alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.count("bad_").alias("labelled"), F.coalesce(F.sum("bad_"), F.lit(0)).alias("bad")))
-    tree = templates(paths, s)
-    by_host = paths.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
-    host_bad = (F.col("hb") + s.global_weight * s.prior_bad) / (F.col("hl") + s.global_weight)
-    by_template = tree.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb")).join(by_host, "host")
-    share = (F.col("tb") + s.host_weight * host_bad) / (F.col("tl") + s.host_weight)
-    by_template = by_template.select("host", "template", share.alias("bad_share"), ((share >= s.reject_at) & (F.col("tl") >= s.least_labelled)).alias("reject"))
-    judged = tree.select("host", "shape", "template").join(by_template, ["host", "template"])
-    judged = saved(judged.select(F.col("host").alias("h_"), F.col("shape").alias("s_"), "template", "bad_share", "reject"))
-
-    # frequent paths meet their judgement by a broadcast, so that one of them can't fill a task: of paths with
-    # more than 1/500 of the pages there are fewer than 500
-    total = paths.agg(F.sum("n")).first()[0] or 0
-    often = paths.where(F.col("n") * 500 > total).select(F.col("host").alias("h_"), F.col("shape").alias("s_"))
-    hot = judged.join(F.broadcast(often), ["h_", "s_"], "left_semi")
-    on = (F.col("host") == F.col("h_")) & (F.col("shape_") == F.col("s_"))
-    tried = rows.join(F.broadcast(hot), on, "left")
-    done = tried.where("reject is not null")
-    left = tried.where("reject is null").select(rows.columns).join(judged, on)
-    verdict = F.coalesce(F.col("fit_.verdict"), F.when(F.col("reject"), "block").otherwise("allow"))
-    kept = [c for c in pages.columns if c.lower() not in outputs]
-    return done.unionByName(left).select(*kept, "host", "path", F.col("fit_.rule").alias("rule"), "template", "bad_share", verdict.alias("verdict"))
+        known = labels.select(F.col(labels.columns[0]).alias("label_id"), F.col(labels.columns[1]).cast("int").alias("is_bad")).groupBy("label_id").agg(F.max("is_bad").alias("is_bad"))
+        seen = rows.select(F.col(id_col).alias("row_id"), "host", F.col(shape).alias("shape")).join(known, F.col("row_id") == F.col("label_id"), "left").select("host", "shape", "is_bad")
+    paths = saved(seen.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("is_bad").alias("labelled"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad")))
+    total, labelled, bad, shapes = paths.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "labelled", "bad")), F.count(F.lit(1))).first()
+    everywhere = (bad + s.prior_bad * (total - labelled)) / max(total, 1)
+
+    tree = saved(templates(paths, s).join(paths, ["host", "shape"]))  # one row each
+    share = saved(tree.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"), F.count(F.lit(1)).alias("shapes")))
+    of_host = share.groupBy("host").agg(F.sum("tl").alias("hl"), F.sum("tb").alias("hb"), F.count(F.lit(1)).alias("templates"))
+    share = met(share, of_host, [("host", "host")], ["hl", "hb"], "templates", share.count())
+    host_bad = (F.col("hb") + s.global_weight * everywhere) / (F.col("hl") + s.global_weight)
+    share = share.select("host", "template", "shapes", ((F.col("tb") + s.host_weight * host_bad) / (F.col("tl") + s.host_weight)).alias("bad_share"))
+    judged = saved(met(tree.select("host", "shape", "template", "n"), share, [("host", "host"), ("template", "template")], ["bad_share"], "shapes", shapes))
+
+    out = met(rows, judged, [("host", "host"), (shape, "shape")], ["template", "bad_share"], "n", total)
+    verdict = F.coalesce(F.col(f"{fit}.verdict"), F.when(F.col("bad_share") >= s.reject_at, "block").otherwise("allow"))
+    return out.select(*kept, "host", "path", F.col(f"{fit}.rule").alias("rule"), "template", "bad_share", verdict.alias("verdict"))
 
 
 def path_rules(patterns: dict[str, str]) -> list[Rule]:
