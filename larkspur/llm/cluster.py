@@ -69,8 +69,9 @@ def new_name(df: DataFrame, wanted: str) -> str:
 HEAVY = 1000
 
 
-def met(rows: DataFrame, facts: DataFrame, keys: list[tuple[str, str]], add: list[str], weight: str, total: int) -> DataFrame:
+def met(rows: DataFrame, facts: DataFrame, keys: list[tuple[str, str]], add: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """rows with the columns add of the one fact that each meets, by keys (column of rows, column of facts).
+    how: "inner", or "left" to keep rows without a fact, with nulls.
 
     weight: the fact's column that says how many of all `total` rows meet it. Rows of frequent keys meet their
     facts where they are, by a broadcast of fewer than HEAVY of them; only the others shuffle.
@@ -82,10 +83,21 @@ def met(rows: DataFrame, facts: DataFrame, keys: list[tuple[str, str]], add: lis
     marker = names[keys[0][1]]
     tried = rows.join(F.broadcast(facts.where(often)), on, "left")
     there = tried.where(F.col(marker).isNotNull()).select(*rows.columns, *add)
-    rest = tried.where(F.col(marker).isNull()).select(*rows.columns).join(facts.where(~often), on)
+    rest = tried.where(F.col(marker).isNull()).select(*rows.columns).join(facts.where(~often), on, how)
     return there.unionByName(rest.select(*rows.columns, *add))
 
 
+#: Row numbers that may be broadcast; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(rows: DataFrame, row_no: str, dropped: DataFrame) -> DataFrame:
+    """rows but those whose row_no is in dropped (one column); up to BROADCAST_IDS numbers of 8 bytes are broadcast."""
+    dropped = saved(dropped.toDF(new_name(rows, "dropped_row")))
+    few = dropped.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(dropped) if few else dropped, F.col(row_no) == F.col(dropped.columns[0]), "left_anti")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about most_chars bytes of column, so that work arrays stay small whatever the texts' lengths."""
     import pyarrow.compute as pc

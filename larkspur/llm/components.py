@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import saved
+from .cluster import met, saved
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,18 +17,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star links the larger neighbours of a node to its smallest one, small-star the smaller ones and
     the node itself; after about log(n) squared rounds every component is one star. A node's neighbours
-    are never gathered: their minimum is aggregated and joined back, so a hub is split like any frequent
-    key. Each round ends in a written table.
+    are never gathered: their minimum is aggregated and joined back, and what a hub's edges meet is broadcast. Each round ends in a written table.
     """
     edges = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large.where("u <> v"))
-        least = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("n"))
+        least = saved(_least(both).withColumn("m", F.least("n", "m")))
+        large = met(both.where("v > u"), least, [("u", "n")], ["m"], "degree", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = saved(large.where("u <> v").distinct())
+        least = saved(_least(large))
+        small = met(large, least, [("u", "n")], ["m"], "degree", large.count())
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
         edges = saved(small.where("u <> v").distinct())
         after = _state(edges)
@@ -36,3 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(n, m, degree): the smallest neighbour of each node and how many it has."""
+    return edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))

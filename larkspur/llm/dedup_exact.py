@@ -3,8 +3,8 @@
 Pass 1 sets, for each row, `HASHES` bits of a filter by the hash of its normalised text, and keeps the
 bits that were set twice. In pass 2 a row whose bits are not all among those is alone and passes
 straight through; only the others shuffle, with counts and smallest ids pre-aggregated before.
-The filter has at most `most_bits` bits, a bound that doesn't depend on the input: with more rows it
-only lets more of them pass for possible repeats, and results stay the same.
+The filter grows with the rows, so it is as good at every size; it is broadcast up to a fixed size, and
+beyond it each part of it meets the rows that ask that part.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import new_name, saved
+from .cluster import met, new_name, saved, without
 
 HASHES = 2
 #: Bits of one filter row; what bitmap_construct_agg gathers in one group.
 ROW_BITS = 32_768
+#: Filter rows that may be broadcast, of 4 KB each: 64 MB.
+BROADCAST_ROWS = 16_384
 
 
 def normalised(text: Column) -> Column:
@@ -34,10 +36,12 @@ def _bit(key: str, bits: int, i: int) -> Column:
 
 
 def repeated_bits(rows: DataFrame, key: str, bits: int) -> DataFrame:
-    """(filter_row, filter_bits): the bits that two rows or more set. At most bits / ROW_BITS rows of 4 KB."""
+    """(filter_row, filter_bits, hits): the bits that two rows or more set, ROW_BITS to a row of 4 KB, and how many
+    times rows ask it. Tasks add up their own first, so copies shuffle once a task."""
     hit = rows.select(F.explode(F.array(*(_bit(key, bits, i) for i in range(HASHES)))).alias("bit"))
-    hit = hit.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return hit.groupBy(F.expr(f"bit div {ROW_BITS}").alias("filter_row")).agg(F.expr(f"bitmap_construct_agg(bit % {ROW_BITS})").alias("filter_bits"))
+    hit = hit.groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
+    row = hit.groupBy(F.expr(f"bit div {ROW_BITS}").alias("filter_row"))
+    return row.agg(F.expr(f"bitmap_construct_agg(bit % {ROW_BITS}) filter (where n > 1)").alias("filter_bits"), F.sum("n").alias("hits"))
 
 
 def _is_set(bits: Column, at: Column) -> Column:
@@ -46,48 +50,66 @@ def _is_set(bits: Column, at: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
-def maybe_repeated(rows: DataFrame, key: str, bits: int, flag: str) -> DataFrame:
-    """rows with flag: false only if no other row has the same key."""
-    found, out = F.broadcast(repeated_bits(rows, key, bits)), rows  # bounded by most_bits
+def maybe_repeated(rows: DataFrame, key: str, bits: int, flag: str, n: int) -> DataFrame:
+    """rows with flag: false only if no other row has the same key.
+
+    A filter of up to BROADCAST_ROWS rows of 4 KB is broadcast. Of a larger one, rows that many ask are, and the
+    others meet the rows that ask them by a shuffle.
+    """
+    found, out = repeated_bits(rows, key, bits), rows
+    whole = bits <= ROW_BITS * BROADCAST_ROWS
+    if not whole:
+        found = saved(found)
     for i in range(HASHES):
-        at, row, has = new_name(rows, f"bit_{i}"), new_name(rows, f"row_{i}"), new_name(rows, f"bits_{i}")
-        side = found.select(F.col("filter_row").alias(row), F.col("filter_bits").alias(has))
-        out = out.withColumn(at, _bit(key, bits, i))
-        out = out.join(side, F.expr(f"`{at}` div {ROW_BITS}") == F.col(row), "left")
+        at, row, has = new_name(rows, f"bit_{i}"), new_name(rows, f"filter_row_{i}"), new_name(rows, f"filter_bits_{i}")
+        side = found.select(F.col("filter_row").alias("of_row"), F.col("filter_bits").alias(has), "hits")
+        out = out.withColumn(at, _bit(key, bits, i)).withColumn(row, F.expr(f"`{at}` div {ROW_BITS}"))
+        if whole:
+            one = new_name(out, "of_row")
+            out = out.join(F.broadcast(side.select(F.col("of_row").alias(one), has)), F.col(row) == F.col(one), "left").drop(one)
+        else:
+            out = met(out, side, [(row, "of_row")], [has], "hits", n * HASHES, "left")
         test = _is_set(F.col(has), F.col(at) % ROW_BITS)
         out = out.withColumn(flag, test if i == 0 else F.col(flag) & test).drop(at, row, has)
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", key_col: str | None = None, text_col: str = "text", bits_per_row: int = 16, most_bits: int = 1 << 27) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", key_col: str | None = None, text_col: str = "text", bits_per_row: int = 16) -> DataFrame:
     """docs with text_sha256, keep_id (id of the row that stays), group_size and kept; one row per input row.
 
     Rows are equal when their texts are, after each run of white space became one space; null counts as
     empty. The smallest id stays, a null id only if there is no other; of repeated rows with that id one
-    stays. key_col: a column that already holds text_sha256. Input columns named like an output column
-    are replaced. An empty table gives an empty one. docs is read more than once and its rows are told
-    apart by their place, so it should come from files, or be saved first where its order may change.
+    stays. key_col: a column that already holds text_sha256; without it texts are hashed each time docs is
+    read. Input columns named like an output column are replaced. An empty table gives an empty one. docs is
+    read more than once and its rows are told apart by their place, so it should come from files, or be
+    saved first where its order may change.
     """
     out_names = ("text_sha256", "keep_id", "group_size", "kept")
-    key = F.col(key_col) if key_col else text_sha256(docs[text_col])
-    base = docs.select(*(docs[c] for c in docs.columns if c.lower() not in out_names), key.alias("text_sha256"))
-    rid, flag = new_name(base, "row_no"), new_name(base, "maybe")
-    base = base.withColumn(rid, F.monotonically_increasing_id())
+    key = docs[key_col] if key_col else text_sha256(docs[text_col])
+    carried = [c for c in docs.columns if c.lower() not in out_names]
+    rid, flag, of_id = new_name(docs, "row_no"), new_name(docs, "maybe"), new_name(docs, "of_id")
+    base = docs.select(*(docs[c] for c in carried), key.alias("text_sha256"), docs[id_col].alias(of_id)).withColumn(rid, F.monotonically_increasing_id())
     n = docs.select(F.lit(1)).count()
     bits = ROW_BITS
-    while bits < min(n * bits_per_row, most_bits):
+    while bits < n * bits_per_row:
         bits *= 2
-    flagged = maybe_repeated(base, "text_sha256", bits, flag)
-    alone = flagged.where(~F.col(flag)).select(*base.columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    flagged = maybe_repeated(base, "text_sha256", bits, flag, n)
+    alone = flagged.where(~F.col(flag)).select(*carried, "text_sha256", F.col(of_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     several = flagged.where(flag).drop(flag)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("row")))
-    groups = several.groupBy(F.col("text_sha256").alias("g_key")).agg(first.alias("g_first"), F.count(F.lit(1)).alias("g_size"))
-    groups = saved(groups)
-    # of groups with more than a 256th of the rows there are at most 256: their rows stay where they are
-    on = F.col("text_sha256") == F.col("g_key")
-    large = F.col("g_size") * 256 > n
-    tried = several.join(F.broadcast(groups.where(large)), on, "left")
-    in_large = tried.where("g_key is not null")
-    in_small = tried.where("g_key is null").select(several.columns).join(groups.where(~large), on)
-    several = in_large.unionByName(in_small).select(*base.columns, F.col("g_first.id").alias("keep_id"), F.col("g_size").alias("group_size"), (F.col(rid) == F.col("g_first.row")).alias("kept"))
-    return alone.unionByName(several).drop(rid)
+    first = F.min(F.struct(F.col(of_id).isNull().alias("none"), F.col(of_id).alias("id"), F.col(rid).alias("row")))
+    groups = several.groupBy(F.col("text_sha256").alias("key")).agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
+    stays, copies = new_name(several, "stays"), new_name(several, "copies")
+    groups = saved(groups.select("key", F.col("first").alias(stays), F.col("copies").alias(copies), F.col("copies").alias("rows")))
+    several = met(several, groups, [("text_sha256", "key")], [stays, copies], "rows", n)
+    several = several.select(*carried, "text_sha256", F.col(f"{stays}.id").alias("keep_id"), F.col(copies).alias("group_size"), (F.col(rid) == F.col(f"{stays}.row")).alias("kept"))
+    return alone.unionByName(several)
+
+
+def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with their own columns. Each text is hashed once, and texts
+    don't shuffle where few enough rows are dropped (see cluster.without)."""
+    row_no = new_name(docs, "row_no")
+    rows = docs.withColumn(row_no, F.monotonically_increasing_id())
+    keys = saved(rows.select(F.col(row_no).alias("n"), F.col(id_col).alias("id"), text_sha256(F.col(text_col)).alias("key")))
+    dropped = exact_dedup(keys, "id", "key").where("not kept").select("n")
+    return without(rows, row_no, dropped).select(*(rows[c] for c in docs.columns))

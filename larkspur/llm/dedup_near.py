@@ -15,11 +15,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import mapped_text, saved, ship
+from .cluster import mapped_text, met, new_name, saved, ship, without
 from .components import components
 
 SHINGLE = 5
@@ -29,10 +31,8 @@ HUBS = 2
 #: A block has at most about so many classes and bytes of sets.
 BLOCK_CLASSES = 600
 BLOCK_BYTES = 24_000_000
-#: Dropped ids that may be broadcast.
-BROADCAST_IDS = 2_000_000
-#: Union-sketch estimates below this don't go on to be verified; four to five standard deviations below 0.75.
-ESTIMATE = 0.50
+#: Union-sketch estimates below this don't go on to be verified: six standard deviations below 0.75.
+ESTIMATE = NEED / SKETCH
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -61,8 +61,8 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch): set_key is a 128-bit hash of the set as hex, null for an empty set."""
+def _sketches(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """keep and (doc_id, n_shingles, set_key, sketch): set_key is a 128-bit hash of the set as hex, null for an empty set."""
 
     def work():
         import hashlib
@@ -74,7 +74,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return fn
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(*keep, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return mapped_text(rows, "text", "n_shingles long, set_key string, sketch array<long>", work)
 
 
@@ -209,8 +209,8 @@ def _links(groups: DataFrame) -> DataFrame:
     return dealt.select("cluster", "block", "doc_id", "side", "shingles").mapInArrow(run, "u long, v long")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row.
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns keep and (doc_id, n_shingles, component_id, kept), one row per input row.
 
     Words are runs of other characters than [\\x20\\x09-\\x0D], A-Z in lower case; a document's set holds its
     distinct 5-word shingles, or its whole sequence of words if it has fewer. Documents are linked where
@@ -221,29 +221,29 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ship(spark)
-    sketches = saved(_sketches(docs, id_col, text_col))
+    sketches = saved(_sketches(docs, id_col, text_col, list(keep)))
     real = sketches.where("set_key is not null and doc_id is not null")
-    classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = saved(real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.any_value("sketch").alias("sketch")))
 
-    # inverted lists, of values that two classes or more retain
-    reps = real.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
+    # inverted lists, of values that two classes or more retain; a class is known by its smallest id, and by its set where an id has several
     need = F.ceil(F.size("sketch") * F.lit(NEED) / SKETCH)
-    posts = reps.select("doc_id", need.cast("int").alias("need"), F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    posts = saved(classes.select("set_key", F.col("rep").alias("doc_id"), need.cast("int").alias("need"), F.size("sketch").alias("m"), F.explode("sketch").alias("value")))
     listed = posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = posts.join(listed, "value")
-    active = shared.groupBy("doc_id").agg(F.first("need").alias("need"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("post"))  # at most SKETCH values a class
+    shared = met(posts, listed.withColumn("rows", F.col("df")), [("value", "value")], ["df"], "rows", posts.count())
+    active = shared.groupBy("set_key", "doc_id").agg(F.first("need").alias("need"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("post"))  # at most SKETCH values a class
     active = active.where(F.size("post") >= F.col("need"))
     # the rarest m - need + 1 of all retained values; those that no other class has come first and list nobody
     first = F.col("m") - F.col("need") + 1 - (F.col("m") - F.size("post"))
-    active = saved(active.select("doc_id", F.slice("post", F.lit(1), first).alias("post"), F.aggregate("post", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("degree")))
-    lists = active.select("doc_id", "degree", F.explode("post.value").alias("value"))
-    hubs = lists.groupBy("value").agg(F.max(F.struct(F.col("degree"), (-F.col("doc_id")).alias("no"))).alias("hub"))
-    stars = lists.join(hubs, "value").select(F.col("doc_id").alias("u"), (-F.col("hub.no")).alias("v")).where("u <> v").distinct()
+    active = active.select("set_key", "doc_id", F.slice("post", F.lit(1), first).alias("post"), F.aggregate("post", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("degree"))
+    lists = saved(active.select("doc_id", "degree", F.explode("post.value").alias("value")))
+    active = lists.groupBy("doc_id").agg(F.max("degree").alias("degree"))
+    hubs = lists.groupBy("value").agg(F.max(F.struct(F.col("degree"), (-F.col("doc_id")).alias("no"))).alias("hub"), F.count(F.lit(1)).alias("rows"))
+    stars = met(lists, hubs, [("value", "value")], ["hub"], "rows", lists.count()).select(F.col("doc_id").alias("u"), (-F.col("hub.no")).alias("v")).where("u <> v").distinct()
     clusters = saved(components(stars).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")))
 
     # full sets of cluster members, from their texts
     sets = _sets_of(docs, clusters.select("doc_id"), id_col, text_col)
-    members = sets.join(clusters, "doc_id").join(active.select("doc_id", "degree"), "doc_id").dropDuplicates(["doc_id", "shingles"])
+    members = sets.join(clusters, "doc_id").join(active, "doc_id").dropDuplicates(["doc_id", "shingles"])
     members = saved(members.where(F.length("shingles") > 0))
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
     size = size.select(F.col("cluster").alias("c"), F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
@@ -280,16 +280,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extra = loose.join(twice, "u", "left_semi")
     label = saved(components(links.unionByName(extra)))
 
-    of_class = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_key").alias("k"), F.coalesce("label", "rep").alias("class_label"))
-    out = sketches.join(of_class, F.col("set_key") == F.col("k"), "left")
-    out = out.join(label.join(twice.withColumnRenamed("u", "node"), "node", "left_semi").select("node", F.col("label").alias("own")), F.col("doc_id") == F.col("node"), "left")
+    of_class = saved(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("class_label"), "rows"))
+    # rows of large groups of copies, and rows without a set, stay where they are
+    with_set = met(sketches.where("set_key is not null").drop("sketch"), of_class, [("set_key", "set_key")], ["class_label"], "rows", sketches.count(), "left")
+    out = with_set.unionByName(sketches.where("set_key is null").drop("sketch").withColumn("class_label", F.lit(None).cast("long")))
+    own = label.join(twice.withColumnRenamed("u", "node"), "node", "left_semi").select(F.col("node").alias("own_id"), F.col("label").alias("own"))
+    out = out.join(own, F.col("doc_id") == F.col("own_id"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("own", "class_label", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    return out.select(*keep, "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose document is not the first of its component (see near_components)."""
-    drop = saved(near_components(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct())
-    if drop.count() <= BROADCAST_IDS:  # 8 bytes each; more of them are joined by a shuffle
-        drop = F.broadcast(drop)
-    return docs.join(drop, docs[id_col].cast("long") == F.col("dropped_id"), "left_anti")
+    """docs without the rows whose document is not the first of its component (see near_components, also for
+    nulls, empty texts and repeated rows). Columns stay as they are, and an empty table gives an empty one."""
+    row_no = new_name(docs, "row_no")
+    rows = docs.withColumn(row_no, F.monotonically_increasing_id())
+    narrow = rows.select(F.col(row_no).alias("row_no"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    dropped = near_components(narrow, "id", "text", ["row_no"]).where("not kept").select("row_no")
+    return without(rows, row_no, dropped).select(*(rows[c] for c in docs.columns))

@@ -52,7 +52,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], others: int = 0, si
     sequence. in_mix: up to there, the shares that have run out had at most `slack` of the weight (0: none
     has, so the target weights hold exactly); later positions interleave what is left, and nothing is dropped. Documents of a
     share with weight 0 have null positions and are not in the mix. Shares without any block don't take
-    part. Repeated rows are placed each for itself. Input columns named like an output column are replaced.
+    part. Repeated rows are placed each for itself; an empty table gives an empty one. Input columns named
+    like an output column are replaced.
     """
     named = {k: n for k, n in weights.items() if n}
     if others < 0 or any(n < 0 for n in weights.values()) or not (named or others):
@@ -75,12 +76,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], others: int = 0, si
     # rows without an id are dealt by what else they hold
     key = F.xxhash64(F.when(F.col(id_col).isNull(), F.xxhash64(*(c for c, kind in base.dtypes if not kind.startswith("map")))).otherwise(F.xxhash64(F.col(id_col))), F.lit(seed))
     rows = rows.withColumn(group, F.pmod(F.xxhash64(key), F.lit(groups)))
-    sums = rows.groupBy(F.col(share).alias("s"), F.col(group).alias("g")).agg(F.sum(units).alias("held"))
-    before = Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    sums = saved(sums.select("s", "g", "held", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before")))
+    of_share, of_group, before = (new_name(rows, c) for c in ("of_share", "of_group", "before"))
+    sums = rows.groupBy(F.col(share).alias(of_share), F.col(group).alias(of_group)).agg(F.sum(units).alias("held"))
+    ahead = Window.partitionBy(of_share).orderBy(of_group).rowsBetween(Window.unboundedPreceding, -1)
+    sums = saved(sums.select(of_share, of_group, "held", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias(before)))
 
     # one row per share: weights of the shares that hold something, in lowest terms
-    held = {r["s"]: r["held"] for r in sums.groupBy("s").agg(F.sum("held").alias("held")).collect()}  # at most len(weights) + 1 rows
+    held = {r["s"]: r["held"] for r in sums.groupBy(F.col(of_share).alias("s")).agg(F.sum("held").alias("held")).collect()}  # at most len(weights) + 1 rows
     parts = {k: n for k, n in {**named, "*": others}.items() if n and held.get(k, 0) >= block}
     common = gcd(*parts.values()) if parts else 1
     parts = {k: n // common for k, n in parts.items()}
@@ -89,9 +91,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], others: int = 0, si
         raise ValueError(f"the weights add up to {total} parts; {MOST_PARTS} are the most")
 
     inside = Window.partitionBy(share, group).orderBy(key, F.col(id_col), F.col(rid)).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("units_inside", F.coalesce(F.sum(units).over(inside), F.lit(0)))
-    rows = rows.join(sums.select("s", "g", "before"), (F.col(share) == F.col("s")) & (F.col(group) == F.col("g")))
-    rows = rows.withColumn("block_no", F.floor((F.col("before") + F.col("units_inside")) / block).cast("long"))
+    units_inside = new_name(rows, "units_inside")
+    rows = rows.withColumn(units_inside, F.coalesce(F.sum(units).over(inside), F.lit(0)))
+    rows = rows.join(sums.select(of_share, of_group, before), (F.col(share) == F.col(of_share)) & (F.col(group) == F.col(of_group)))
+    rows = rows.withColumn("block_no", F.floor((F.col(before) + F.col(units_inside)) / block).cast("long"))
     if not parts:
         null = F.lit(None).cast("long")
         return rows.select(*base.columns, F.col(share).alias("share"), "block_no", null.alias("release"), null.alias("deadline"), null.alias("position"), F.lit(False).alias("in_mix"))
@@ -106,15 +109,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], others: int = 0, si
     gone = F.sum("w").over(Window.orderBy("slot"))  # a row per share
     end = last.withColumn("gone", gone).where(F.col("gone") > slack * total).agg(F.min("slot")).first()[0]
 
-    rows = rows.withColumn("w", weight[F.col(share)]).withColumn("nth_", F.col("block_no") % F.col("w"))
-    rows = rows.join(F.broadcast(plan), (F.col(share) == plan["share"]) & (F.col("nth_") == plan["nth"]), "left")
-    position = F.floor(F.col("block_no") / F.col("w")).cast("long") * total + F.col("place")
+    w, nth, plan_share, plan_nth, place = (new_name(rows, c) for c in ("share_weight", "nth", "plan_share", "plan_nth", "plan_place"))
+    rows = rows.withColumn(w, weight[F.col(share)]).withColumn(nth, F.col("block_no") % F.col(w))
+    slots = plan.select("share", "nth", "place").toDF(plan_share, plan_nth, place)
+    rows = rows.join(F.broadcast(slots), (F.col(share) == F.col(plan_share)) & (F.col(nth) == F.col(plan_nth)), "left")
+    position = F.floor(F.col("block_no") / F.col(w)).cast("long") * total + F.col(place)
     return rows.select(
         *base.columns,
         F.col(share).alias("share"),
         "block_no",
-        F.floor(F.col("block_no") * total / F.col("w")).cast("long").alias("release"),
-        F.ceil((F.col("block_no") + 1) * total / F.col("w")).cast("long").alias("deadline"),
+        F.floor(F.col("block_no") * total / F.col(w)).cast("long").alias("release"),
+        F.ceil((F.col("block_no") + 1) * total / F.col(w)).cast("long").alias("deadline"),
         position.alias("position"),
         (F.coalesce(position, F.lit(end)) < end).alias("in_mix"),
     )

@@ -19,7 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import new_name, saved, ship
+from . import cluster
+from .cluster import new_name, saved, ship, without
 
 ORDER = 5
 #: Entries of a shard of the model (12 bytes each in a task), and the least number of shards.
@@ -30,8 +31,6 @@ BLOCK_BYTES = 2_000_000
 TASK_BYTES = 256_000_000
 #: Entries of the model in a row on their way to their shard.
 CHUNK_ENTRIES = 200_000
-#: Ids that may be broadcast; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def text_blocks(batches, order: int, most_bytes: int | None = None, most_parts: int = 1 << 16) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -366,7 +365,7 @@ def excess_of(bits: Column, size: Column, level: Column, spread: Column) -> Colu
 def _judged(docs: DataFrame, trusted_ids: DataFrame, row_no: str, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float, held_out: float) -> DataFrame | None:
     """(row_no, perplexity, excess, threshold, kept) of each row of docs; None if there is no trusted text."""
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("trusted_id")).where("trusted_id is not null").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if ids.count() <= cluster.BROADCAST_IDS else ids
     narrow = docs.select(F.col(row_no).alias("row_no"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     out_of_model = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(1000)) < int(held_out * 1000)
     counts = saved(gram_counts(narrow.join(ids, F.col("id") == F.col("trusted_id"), "left_semi").where(~out_of_model & (F.col("text") != "")), "text"))
@@ -415,13 +414,11 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
 
 
 def good_documents(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 3.0, held_out: float = 0.2) -> DataFrame:
-    """The rows of docs that classify keeps, with their own columns. Texts don't shuffle: up to BROADCAST_IDS
-    rejected rows are broadcast by number, more are joined."""
+    """The rows of docs that classify keeps, with their own columns. Texts don't shuffle where
+    few enough rows are rejected (see cluster.without)."""
     row_no = new_name(docs, "row_no")
     rows = docs.withColumn(row_no, F.monotonically_increasing_id())
     judged = _judged(rows, trusted_ids, row_no, id_col, text_col, lang_col, quantile, margin, held_out)
     if judged is None:
         return docs
-    rejected = saved(judged.where("not kept").select(F.col("row_no").alias(new_name(rows, "rejected_row"))))
-    rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_IDS else rejected
-    return rows.join(rejected, rows[row_no] == rejected[rejected.columns[0]], "left_anti").select(*(rows[c] for c in docs.columns))
+    return without(rows, row_no, judged.where("not kept").select("row_no")).select(*(rows[c] for c in docs.columns))

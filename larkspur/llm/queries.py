@@ -48,9 +48,9 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), trusted, keep=["doc_id", "lang"])
 
 
-#: Target weights of the corpus mix, in parts: the known sources alike, and all others together as one more.
-MIX = {f"src{i}": 1 for i in range(20)}
-MIX_OTHERS = 1
+#: Target weights of the corpus mix, in parts: each known source its own, falling, and all others together.
+MIX = {f"src{i}": 30 - i for i in range(20)}
+MIX_OTHERS = 15
 #: Shares of at most this weight may run out before the mix ends.
 MIX_SLACK = 0.1
 

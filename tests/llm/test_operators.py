@@ -84,7 +84,7 @@ def test_token_counts(spark, docs):
     assert token_counts.count_tokens(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_exact_dedup(spark, docs):
+def test_exact_dedup(spark, docs, monkeypatch):
     import re
 
     rows = dedup_exact.exact_dedup(docs).collect()
@@ -99,8 +99,10 @@ def test_exact_dedup(spark, docs):
         assert r["text_sha256"] == norm(r["text"]) and r["group_size"] == len(ids) and r["keep_id"] == (min(known) if known else None)
         assert not r["kept"] or r["doc_id"] == r["keep_id"]
     assert dedup_exact.exact_dedup(docs.limit(0)).count() == 0
-    full_filter = dedup_exact.exact_dedup(docs, most_bits=1).collect()  # with every bit set all rows pass for possible repeats
-    assert sorted(map(repr, full_filter)) == sorted(map(repr, rows))
+    for rows_sent in (1, 0):  # the filter as a broadcast, and as a shuffled table
+        monkeypatch.setattr(dedup_exact, "BROADCAST_ROWS", rows_sent)
+        again = dedup_exact.exact_dedup(docs, bits_per_row=1).collect()
+        assert sorted(map(repr, again)) == sorted(map(repr, rows))
 
 
 def test_near_dedup(spark, docs):
@@ -220,7 +222,7 @@ def test_pipeline_mix_keeps_every_document(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = [tuple(r) for r in corpus_pipeline.mix(spark, docs, "").collect()]
     assert sorted(out) == sorted(rows)
-    assert len({r[3] for r in out[:21]}) == 21 and {r[3] for r in out[-50:]} == {"src3"}
+    assert len({r[3] for r in out[:40]}) == 21  # the first deadline of the smallest share
     place = {r["doc_id"]: r["position"] for r in corpus_pipeline.packing(spark, docs.repartition(3), "").collect()}
     assert [r[0] for r in out] == sorted(place, key=place.get)
 

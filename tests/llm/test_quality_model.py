@@ -109,7 +109,7 @@ def test_perplexity_of_classify_and_of_the_stage(spark, model_docs, monkeypatch,
     kept = corpus_pipeline.quality_classifier(spark, model_docs, str(tmp_path))
     key = lambda r: (str(r["doc_id"]), str(r["text"]), str(r["lang"]))
     assert kept.columns == model_docs.columns and sorted(map(key, kept.collect())) == sorted(key(r) for r in rows if r["kept"])
-    monkeypatch.setattr(quality_model, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(quality_model.cluster, "BROADCAST_IDS", 0)
     assert sorted(map(key, corpus_pipeline.quality_classifier(spark, model_docs, str(tmp_path)).collect())) == sorted(key(r) for r in rows if r["kept"])
 
 
