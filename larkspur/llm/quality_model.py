@@ -27,7 +27,7 @@ ORDER = 5
 SHARD_ENTRIES = 4_000_000
 LEAST_SHARDS = 16
 #: Bytes of the texts whose counts travel together, and of those that one task joins with its shard.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 3_000_000
 TASK_BYTES = 256_000_000
 #: Entries of the model in a row on their way to their shard.
 CHUNK_ENTRIES = 200_000
