@@ -82,7 +82,7 @@ def number_or(c: Column, default: float = 0.0) -> Column:
 
 def split_list(c: Column) -> Column:
     """Parts between commas, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def same_text(a: Column, b: Column) -> Column:

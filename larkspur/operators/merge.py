@@ -75,8 +75,11 @@ def merge_variants(jobs: DataFrame, real_location, blocked_location) -> DataFram
 
     The variant of higher quality wins, the earlier of equal ones; its location counts if it is a real one,
     else the other's if that is; a confidential company gives way to a named one; the longest description
-    stays. real_location and blocked_location: functions from a row (struct) to a boolean column.
+    stays. real_location and blocked_location: functions from a row (struct) to a boolean column. A variant
+    that equals an earlier one changes nothing, so repeats are aggregated away before variants are gathered.
     """
+    same = [n for n in jobs.columns if n != "ingest_seq"]
+    jobs = jobs.groupBy(*same).agg(F.min("ingest_seq").alias("ingest_seq"))
     c = F.col
 
     def merged(p: Column) -> Column:
@@ -111,8 +114,12 @@ def merge_variants(jobs: DataFrame, real_location, blocked_location) -> DataFram
 
 
 def merge_mails(stored: DataFrame, incoming: DataFrame, most: int = 500) -> DataFrame:
-    """Mails by message id, the incoming first, the newest `most`."""
-    both = stored.withColumn("w_", F.lit(0)).unionByName(incoming.withColumn("w_", F.lit(1)), allowMissingColumns=True)
-    picked = both.groupBy("id").agg(F.max_by(F.struct(*both.columns), "w_").alias("m")).select("m.*").drop("w_")
-    return picked.orderBy(F.desc_nulls_last("date"), "id").limit(most)
-
+    """Mails by message id, field by field: what an incoming mail has counts, what it lacks is kept as stored.
+    The newest `most` by date, where that is missing by importedAt."""
+    columns = [*stored.columns, *(n for n in incoming.columns if n not in stored.columns)]
+    old, new = stored.alias("old"), incoming.alias("new")
+    side = lambda s, frame, n: F.col(f"{s}.`{n}`") if n in frame.columns else F.lit(None)
+    both = old.join(new, F.col("old.id") == F.col("new.id"), "full_outer")
+    merged = both.select(*(F.coalesce(side("new", incoming, n), side("old", stored, n)).alias(n) for n in columns))
+    at = F.coalesce(F.col("date"), F.col("importedAt")) if "importedAt" in columns else F.col("date")
+    return merged.orderBy(at.desc_nulls_last(), "id").limit(most)

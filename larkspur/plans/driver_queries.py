@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rules import FirstMatch
-from ..functions.text import base64url, normalized, rounded, slug_id, squeezed, tail, text_of, tokens
+from ..functions.text import base64url, normalized, slug_id, squeezed, tail, tokens
 from ..functions.urls import host, links_in_html, strip_html
 from ..operators import dedupe, joins, merge, search, summary
+from ..sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,25 +59,6 @@ def count_by_event_type(spark, sf_dir):
     return summary.count_by(_t(spark, sf_dir, "events"), c("event_type"))
 
 
-@_query("""
-with r as (select * from events order by ts desc, event_id desc limit 250)
-select count(*) as recent, count(*) filter (where event_type in ('purchase', 'signup')) as positive, count(*) filter (where event_type = 'error') as negative, (select count(*) from events) as total from r
-""")
-def feedback_tail_summary(spark, sf_dir):
-    events = _t(spark, sf_dir, "events")
-    recent = summary.tail_rows(events.select("ts", "event_id", "event_type"), 250, "ts", "event_id")
-    out = summary.counts(recent, {"recent": F.lit(True), "positive": c("event_type").isin("purchase", "signup"), "negative": c("event_type") == "error"})
-    return out.crossJoin(events.agg(F.count(F.lit(1)).alias("total")))  # a row each
-
-
-@_query("""
-select event_type as reason, count(*) as n from (select * from events order by ts desc, event_id desc limit 250) where event_type in ('error', 'view') group by 1
-""")
-def rejection_histogram(spark, sf_dir):
-    recent = summary.tail_rows(_t(spark, sf_dir, "events").select("ts", "event_id", "event_type"), 250, "ts", "event_id")
-    return summary.count_by(recent.where(c("event_type").isin("error", "view")), c("event_type"), name="reason")
-
-
 @_query(r"""
 with k as (select doc_id, n_chars, trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')) as t from documents),
 r as (select *, row_number() over (partition by t order by n_chars desc, doc_id) as rn, min(doc_id) over (partition by t) as position from k)
@@ -85,7 +67,8 @@ select doc_id, n_chars, position from r where rn = 1 and t <> ''
 def dedupe_best_by_fingerprint(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     # the key of a whole text is its hash: what is shuffled stays small
-    rows = docs.select("doc_id", "n_chars", F.when(normalized(c("text")) != "", F.sha2(normalized(c("text")), 256)).alias("key_"))
+    # and is written first, since filters on it would be moved below it and work it out again
+    rows = written(docs.select("doc_id", "n_chars", F.nullif(F.sha2(normalized(c("text")), 256), F.sha2(F.lit(""), 256)).alias("key_")))
     return dedupe.best_by_key(rows, c("key_"), c("n_chars"), "doc_id").select("doc_id", "n_chars", "position")
 
 
@@ -123,8 +106,8 @@ def _per_customer(orders: DataFrame) -> DataFrame:
 
 
 @_query("""
-with f as (select *, row_number() over (partition by o_custkey, o_orderdate < timestamp '1995-09-01' order by o_orderkey) rn from orders where o_orderdate < timestamp '1995-09-01' or o_orderdate >= timestamp '2001-03-01'),
-e as (select * from f where rn = 1 and o_orderdate < timestamp '1995-09-01'), i as (select * from f where rn = 1 and o_orderdate >= timestamp '2001-03-01')
+with f as (select *, row_number() over (partition by o_custkey, o_orderdate < timestamp '1995-09-01' order by o_orderkey) rn from orders),
+e as (select * from f where rn = 1 and o_orderdate < timestamp '1995-09-01'), i as (select * from f where rn = 1 and o_orderdate >= timestamp '1995-09-01')
 select cast(coalesce(e.o_custkey, i.o_custkey) as varchar) as job_key, cast(coalesce(e.o_orderkey, i.o_orderkey) as varchar) as id, case when i.o_custkey is not null then i.o_orderpriority else e.o_orderpriority end as title,
   coalesce(nullif(e.o_orderstatus, 'P'), nullif(i.o_orderstatus, 'P')) as status, case when e.o_custkey is null then 2 when i.o_custkey is null then 1 else 2 end as "seenCount"
 from e full join i on e.o_custkey = i.o_custkey
@@ -132,32 +115,10 @@ from e full join i on e.o_custkey = i.o_custkey
 def upsert_full_outer(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders")
     old = _per_customer(orders.where(c("o_orderdate") < F.lit("1995-09-01").cast("timestamp_ntz")))
-    new = _per_customer(orders.where(c("o_orderdate") >= F.lit("2001-03-01").cast("timestamp_ntz")))
+    new = _per_customer(orders.where(c("o_orderdate") >= F.lit("1995-09-01").cast("timestamp_ntz")))
     return merge.upsert(old, new, F.lit(None).cast("timestamp"))
 
 
-@_query("""
-with recursive r as (select l_orderkey, l_linenumber as n, l_quantity as q, l_suppkey as s, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_suppkey) rn from lineitem),
-f as (select l_orderkey, rn, q, s from r where rn = 1 union all
-  select r.l_orderkey, r.rn, greatest(f.q, r.q), case when r.q > f.q then r.s else f.s end from f join r on r.l_orderkey = f.l_orderkey and r.rn = f.rn + 1)
-select l_orderkey, q as best_quantity, s as best_supplier, rn as variants from (select *, row_number() over (partition by l_orderkey order by rn desc) x from f) where x = 1
-""")
-def variant_fold_merge(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", c("l_linenumber").alias("ingest_seq"), c("l_quantity").alias("best_quantity"), c("l_suppkey").alias("best_supplier"), F.lit(1).cast("long").alias("variants"))
-
-    def merge_two(a, b):
-        wins = b["best_quantity"] > a["best_quantity"]
-        return F.struct(a["ingest_seq"].alias("ingest_seq"), a["l_orderkey"].alias("l_orderkey"), F.greatest(a["best_quantity"], b["best_quantity"]).alias("best_quantity"), F.when(wins, b["best_supplier"]).otherwise(a["best_supplier"]).alias("best_supplier"), (a["variants"] + b["variants"]).alias("variants"))
-
-    return dedupe.fold_by_key(rows, c("l_orderkey"), merge_two).select("l_orderkey", "best_quantity", "best_supplier", "variants")
-
-
-@_query("select c_custkey, c_name from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
-def new_vs_snapshot_anti(spark, sf_dir):
-    snapshot = _t(spark, sf_dir, "orders").select(c("o_custkey").alias("c_custkey"))
-    return joins.new_rows(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), snapshot, "c_custkey")
-
-
 @_query("select c_custkey, c_name from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P')")
 def updated_semi(spark, sf_dir):
     snapshot = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(c("o_custkey").alias("c_custkey"))
@@ -173,20 +134,6 @@ def audit_kept_mark_or(spark, sf_dir):
     return joins.marked(rows, [(c("doc_id"), good, "doc_id"), (c("doc_id"), _t(spark, sf_dir, "benchmark"), "item_id")], "kept").select("doc_id", "kept")
 
 
-@_query(r"""
-with r as (select doc_id, source || '|' || lang || '|' || cast(n_chars as varchar) as key, n_chars from documents d
-  where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 1) and not exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1) and n_chars >= 50),
-b as (select *, row_number() over (partition by key order by n_chars desc, doc_id) rn from r)
-select doc_id, key as "reviewKey", rtrim(translate(to_base64(encode(key)), '+/', '-_'), '=') as id, n_chars from b where rn = 1
-""")
-def review_queue(spark, sf_dir):
-    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), _t(spark, sf_dir, "labels")
-    rows = docs.where("n_chars >= 50").join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_anti").join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
-    rows = rows.withColumn("reviewKey", F.concat_ws("|", "source", "lang", c("n_chars").cast("string")))
-    best = dedupe.best_by_key(rows, c("reviewKey"), c("n_chars"), "doc_id")
-    return best.select("doc_id", "reviewKey", base64url(c("reviewKey")).alias("id"), "n_chars").orderBy(F.desc("n_chars"), "doc_id")
-
-
 @_query("""
 select cast(n_nationkey as varchar) || ':' || p.provider as step_id, cast(n_nationkey * 5 + p.i as bigint) as step, n_nationkey as query_index, n_name as query, p.provider
 from nation cross join (values (0, 'AUTOMOBILE'), (1, 'BUILDING'), (2, 'FURNITURE'), (3, 'HOUSEHOLD'), (4, 'MACHINERY')) p(i, provider)
@@ -206,70 +153,6 @@ def rule_first_match_location(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", FirstMatch(PLACES).value(c("p_type")).alias("place"))
 
 
-@_query("""
-select p_partkey, case when regexp_matches(p_type, '(?i)economy') and not regexp_matches(p_type, '(?i)tin') then 'economy' when regexp_matches(p_type, '(?i)brass|steel') and not regexp_matches(p_type, '(?i)small') then 'solid' when p_brand = 'Brand#1' then 'brand' end as profile from part
-""")
-def role_profile_theta(spark, sf_dir):
-    from ..functions.rules import RoleProfile
-
-    text = text_of(c("p_type"))
-    rules = [RoleProfile("economy", "economy", ["economy"], ["tin"]), RoleProfile("solid", "solid", ["brass", "steel"], ["small"])]
-    hits = [F.when(r.fits(text), F.lit(r.id)) for r in rules]
-    return _t(spark, sf_dir, "part").select("p_partkey", F.coalesce(*hits, F.when(c("p_brand") == "Brand#1", "brand")).alias("profile"))
-
-
-_POINTS = """
-with s as (select d.doc_id, d.lang, d.n_chars, l.toxic, cast(greatest(0, least(100, floor(20 + case d.lang when 'en' then 38 when 'de' then 26 when 'fr' then 16 else -25 end
-  + case when d.n_chars < 500 then -10 else 0 end + d.n_chars / 100.0 * 0.5 - case when l.toxic = 1 then 35 else 0 end + 0.5))) as integer) as "fitScore" from documents d left join labels l using (doc_id))
-"""
-
-
-def _scored(spark, sf_dir) -> DataFrame:
-    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), _t(spark, sf_dir, "labels").select("doc_id", "toxic")
-    family = F.when(c("lang") == "en", 38).when(c("lang") == "de", 26).when(c("lang") == "fr", 16).otherwise(-25)
-    points = F.lit(20) + family + F.when(c("n_chars") < 500, -10).otherwise(0) + c("n_chars") / 100.0 * 0.5 - F.when(c("toxic") == 1, 35).otherwise(0)
-    return docs.join(labels, "doc_id", "left").withColumn("fitScore", rounded(F.greatest(F.lit(0), F.least(F.lit(100), points))))
-
-
-@_query(_POINTS + 'select doc_id, "fitScore" from s')
-def score_additive_clamped(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", "fitScore")
-
-
-_GATE = """case when toxic = 1 then 'skip' when lang = 'es' then 'skip' when lang = 'fr' then case when "fitScore" >= 45 then 'review' else 'skip' end
-  when "fitScore" >= 75 then 'apply' when "fitScore" < 45 then 'skip' else 'review' end"""
-
-
-@_query(_POINTS + f"""select doc_id, {_GATE} as recommendation, case when toxic = 1 then least("fitScore", 20) when lang = 'es' then least("fitScore", 35) else "fitScore" end as "fitScore" from s""")
-def decision_gates(spark, sf_dir):
-    n, toxic = c("fitScore"), F.coalesce(c("toxic") == 1, F.lit(False))
-    word = F.when(toxic | (c("lang") == "es"), "skip").when(c("lang") == "fr", F.when(n >= 45, "review").otherwise("skip")).when(n >= 75, "apply").when(n < 45, "skip").otherwise("review")
-    return _scored(spark, sf_dir).select("doc_id", word.alias("recommendation"), F.when(toxic, F.least(n, F.lit(20))).when(c("lang") == "es", F.least(n, F.lit(35))).otherwise(n).alias("fitScore"))
-
-
-@_query(_POINTS + f"""select doc_id, "fitScore" from (select *, {_GATE} as r from s) where r <> 'skip' and case when lang = 'en' then "fitScore" >= 50 when lang = 'de' then "fitScore" >= 65 else "fitScore" >= 70 end""")
-def main_list_filter(spark, sf_dir):
-    rows = _scored(spark, sf_dir).join(decision_gates(spark, sf_dir).select("doc_id", "recommendation"), "doc_id")
-    n = c("fitScore")
-    return rows.where((c("recommendation") != "skip") & F.when(c("lang") == "en", n >= 50).when(c("lang") == "de", n >= 65).otherwise(n >= 70)).select("doc_id", "fitScore")
-
-
-@_query("""
-with f as (select * from events order by ts desc, event_id desc limit 400),
-w as (select event_id, cast(user_id as bigint) as u, case event_type when 'purchase' then 1400 when 'signup' then 700 when 'error' then -1400 else 0 end as weight from f)
-select c_custkey, cast(greatest(-32, least(22, floor(sum(case when w.u = c_custkey then 0 when w.u % 25 = c_nationkey then w.weight / 2 when w.u % 5 = c_custkey % 5 then w.weight / 4 else 0 end) / 100.0 + 0.5))) as integer) as adjustment
-from customer cross join w group by c_custkey
-""")
-def learning_adjustment(spark, sf_dir):
-    weight = F.when(c("event_type") == "purchase", 1400).when(c("event_type") == "signup", 700).when(c("event_type") == "error", -1400).otherwise(0)
-    recent = summary.tail_rows(_t(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type"), 400, "ts", "event_id")
-    log = recent.agg(F.collect_list(F.struct(c("user_id").alias("u"), weight.alias("w"))).alias("log"))  # 400 elements at most
-    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").crossJoin(F.broadcast(log))  # one row
-    part = F.transform(c("log"), lambda x: F.when(x["u"] == c("c_custkey"), 0).when(x["u"] % 25 == c("c_nationkey"), x["w"] / 2).when(x["u"] % 5 == c("c_custkey") % 5, x["w"] / 4).otherwise(0.0))
-    total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-    return rows.select("c_custkey", F.greatest(F.lit(-32), F.least(F.lit(22), rounded(total / 100.0))).alias("adjustment"))
-
-
 @_query(r"""
 with t as (select item_id, list_distinct(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g'), '[^a-z0-9א-ת+#. \t\n\r\f\v-]', ' ', 'g')), '[ \t\n\r\f\v]+'), lambda x: len(x) >= 3 and x not in ('the', 'and', 'for', 'with', 'from', 'this', 'that', 'role', 'job', 'jobs'))[1:160]) as w from benchmark)
 select a.item_id, cast(len(list_intersect(a.w, b.w)) as integer) as overlap from t a cross join (select w from t where item_id = (select min(item_id) from benchmark)) b
@@ -310,36 +193,14 @@ def url_host(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", host(c("url")).alias("host"))
 
 
-@_query(r"""
-select r.conv_id, cast(w.i as integer) as piece, trim(w.s) as piece_text from (select conv_id, string_split(text, '. ') as parts from conversations where role = 'user' and turn = (select min(turn) from conversations where role = 'user')) r,
-  lateral (select unnest(parts) as s, generate_subscripts(parts, 1) as i) w where trim(w.s) <> ''
-""")
-def mail_digest_split(spark, sf_dir):
-    rows = _t(spark, sf_dir, "conversations").where("role = 'user'")
-    first = rows.agg(F.min("turn").alias("t"))  # one row
-    rows = rows.join(F.broadcast(first), c("turn") == c("t")).select("conv_id", F.posexplode(F.split("text", r"\. ")).alias("i", "s"))
-    return rows.where(F.trim("s") != "").select("conv_id", (c("i") + 1).alias("piece"), F.trim("s").alias("piece_text"))
-
-
-@_query("""
-select conv_id, turn from conversations j where j.role = 'system' or not (exists (select 1 from conversations x where x.conv_id = j.conv_id and x.turn = j.turn + 2) or exists (select 1 from labels l where l.doc_id = j.conv_id and l.toxic = 1))
-""")
-def mail_digest_replace(spark, sf_dir):
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    later = rows.select(F.struct("conv_id", (c("turn") - 2).alias("turn")).alias("k"))
-    toxic = _t(spark, sf_dir, "labels").where("toxic = 1")
-    marked = joins.marked(rows, [(F.struct("conv_id", "turn"), later, "k"), (c("conv_id"), toxic, "doc_id")], "gone")
-    return marked.where((c("role") == "system") | ~c("gone")).select("conv_id", "turn")
-
-
 @_query(r"""select c_custkey, substr(trim(regexp_replace(lower(c_name || '|' || c_mktsegment), '[^a-z0-9א-ת]+', '-', 'g'), '-'), 1, 160) as id from customer""")
 def job_id_slug(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", slug_id(c("c_name"), c("c_mktsegment")).alias("id"))
 
 
-@_query("select doc_id, rtrim(translate(to_base64(encode(left(text, 120))), '+/', '-_'), '=') as id from documents")
+@_query("select doc_id, rtrim(translate(to_base64(encode(text)), '+/', '-_'), '=') as id from documents")
 def review_id_base64url(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", base64url(F.left("text", F.lit(120))).alias("id"))
+    return _t(spark, sf_dir, "documents").select("doc_id", base64url(c("text")).alias("id"))
 
 
 @_query("select doc_id, n_chars from documents where contains(lower(source || ' ' || text), 'license') and lang = 'en' and n_chars >= 100 order by n_chars desc, doc_id")
@@ -354,15 +215,6 @@ def facet_values(spark, sf_dir):
     return summary.facet(_t(spark, sf_dir, "documents"), "source")
 
 
-@_query("""
-select count(*) filter (where event_type = 'view') as total, count(*) filter (where event_type = 'purchase') as applied, count(*) filter (where event_type = 'signup') as saved, count(*) filter (where event_type = 'error') as archived,
-  count(*) filter (where event_type = 'purchase' and cast(ts as date) = date '2024-01-15') as applied_today from events
-""")
-def dashboard_counts(spark, sf_dir):
-    kind = c("event_type")
-    return summary.counts(_t(spark, sf_dir, "events"), {"total": kind == "view", "applied": kind == "purchase", "saved": kind == "signup", "archived": kind == "error", "applied_today": (kind == "purchase") & (F.to_date("ts") == F.lit("2024-01-15").cast("date"))})
-
-
 @_query("""
 select event_id, event_type from events where not ((event_type = 'error' and ts < timestamp '2024-01-31' - interval 7 day) or (event_type = 'purchase' and ts < timestamp '2024-01-31' - interval 20 day))
 """)
@@ -372,14 +224,6 @@ def retention_cleanup(spark, sf_dir):
     return search.retained(rows, F.lit("2024-01-31").cast("timestamp_ntz"), 7, 20).select("event_id", "event_type")
 
 
-@_query("select event_id, user_id from events e where e.ts >= timestamp '2024-01-15' and not exists (select 1 from events p where p.ts < timestamp '2024-01-15' and p.user_id = e.user_id and p.event_type = e.event_type)")
-def incremental_unprocessed(spark, sf_dir):
-    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    at = F.lit("2024-01-15").cast("timestamp_ntz")
-    done = events.where(c("ts") < at).select("user_id", "event_type").distinct()
-    return events.where(c("ts") >= at).join(done, ["user_id", "event_type"], "left_anti").select("event_id", "user_id")
-
-
 @_query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10")
 def top_k_new(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
@@ -406,11 +250,11 @@ def tail_words(spark, sf_dir):
 
 
 @_query("""
-select key, max_by(value, event_id) as value, min(event_id) as position from (select user_id as key, value, event_id from events where event_type in ('click', 'view')) group by key
+select key, max_by(value, event_id) as value, min(event_id) as position from (select user_id as key, value, event_id from events where event_type <> '') group by key
 """)
 def stored_union_latest(spark, sf_dir):
     events = _t(spark, sf_dir, "events").select(c("user_id").alias("key"), "value", "event_id", "event_type")
-    both = events.where("event_type = 'click'").unionByName(events.where("event_type = 'view'")).drop("event_type")
+    both = events.where("event_type = 'click'").unionByName(events.where("event_type <> 'click'")).drop("event_type")
     return dedupe.last_by_key(both, c("key"), "event_id").select("key", "value", "position")
 
 
@@ -420,7 +264,7 @@ def scan_flow(spark, sf_dir):
     from .flows import Wishes, scan
 
     docs = _t(spark, sf_dir, "documents")
-    landed = docs.select(c("source").alias("sourceQuery"), F.left("text", F.lit(60)).alias("title"), c("source").alias("company"), c("lang").alias("location"), F.concat(F.lit("https://x.example/?JobID="), c("doc_id")).alias("link"), c("text").alias("description"))
+    landed = docs.select(c("source").alias("sourceQuery"), c("text").alias("title"), c("source").alias("company"), c("lang").alias("location"), F.concat(F.lit("https://x.example/?JobID="), c("doc_id")).alias("link"), c("text").alias("description"))
     from ..schemas import FEEDBACK, JOBS
 
     stored = spark.createDataFrame([], JOBS).drop("ingest_seq")

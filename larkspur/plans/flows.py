@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.rules import RoleProfile
 from ..functions.text import matches, or_else, truthy
-from ..operators.dedupe import dedupe_fingerprints, dedupe_mail_candidates, dedupe_store, merge_key
+from ..operators.dedupe import dedupe_fingerprints, dedupe_mail_candidates, dedupe_store, last_by_key, merge_key
 from ..operators.enrich import finalize
 from ..operators.joins import new_rows, scan_audit, updated_rows
 from ..operators.learning import learning_columns
@@ -74,8 +74,9 @@ def scan(landed: Mapping[str, DataFrame], stored: DataFrame, feedback: DataFrame
     kept = dedupe_fingerprints(main_list(scored)).drop("position")
     audit = scan_audit(scored, kept)
     updates = scored.where(c("job_key").isNotNull())
-    known = updated_rows(updates, stored, "job_key").unionByName(new_rows(kept, stored, "job_key"), allowMissingColumns=True).dropDuplicates(["job_key"])
-    known = known.select(*(n for n in known.columns if n not in ("decisionGates", "ingest_seq")))
+    known = updated_rows(updates, stored, "job_key").unionByName(new_rows(kept, stored, "job_key"), allowMissingColumns=True)
+    known = last_by_key(known, c("job_key"))
+    known = known.select(*(n for n in known.columns if n not in ("decisionGates", "ingest_seq", "position")))
     return Scan(scored, kept, audit, new_rows(kept, stored, "job_key"), updated_rows(updates, stored, "job_key"), upsert(stored, known, now))
 
 

@@ -27,9 +27,9 @@ def clean_location(location: Column) -> Column:
     return F.when((cut == "") | (F.length(cut) > 80), "Israel").otherwise(cut)
 
 
-def _posting(rows: DataFrame, source: str, now: Column, **fields: Column) -> DataFrame:
+def _posting(rows: DataFrame, name: str, now: Column, **fields: Column) -> DataFrame:
     """The columns every provider fills, with the defaults for missing ones."""
-    base = {"title": or_else(c("title"), F.lit("Untitled job")), "company": F.lit(source), "location": F.lit("Israel"), "description": F.lit(""), "via": F.lit(source), "source": F.lit(source), "sourceQuery": c("sourceQuery"), "url": F.lit("")} | fields
+    base = {"title": or_else(c("title"), F.lit("Untitled job")), "company": F.lit(name), "location": F.lit("Israel"), "description": F.lit(""), "via": F.lit(name), "source": F.lit(name), "sourceQuery": c("sourceQuery"), "url": F.lit("")} | fields
     return rows.select(*(v.alias(k) for k, v in base.items()), now.alias("foundAt"), F.lit("found").alias("status"))
 
 

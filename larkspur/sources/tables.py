@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -48,21 +49,28 @@ def role_profiles(spark: SparkSession, path: str) -> list[RoleProfile]:
 
 
 def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """rows with ingest_seq: by the order if one is given, else as they come from the files."""
-    if not order:
-        return rows.withColumn("ingest_seq", F.monotonically_increasing_id())
-    from pyspark.sql.window import Window
+    """rows with ingest_seq, ascending by the order if one is given, else as they come from the files.
 
-    return rows.withColumn("ingest_seq", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    Rows are sorted by ranges and numbered within their partition, above all partitions before: numbers
+    ascend, with gaps, and no task sees all rows.
+    """
+    return (rows.orderBy(*order) if order else rows).withColumn("ingest_seq", F.monotonically_increasing_id())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, in the warehouse, or for a local master in the temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        base = f"file://{tempfile.gettempdir()}/larkspur-tables" if alone else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
 
 
 def written(rows: DataFrame) -> DataFrame:
     """rows written to the shared folder and read back: later steps start from files that every executor sees."""
-    spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/larkspur-tables"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_folder(rows.sparkSession)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def write_table(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
