@@ -53,7 +53,7 @@ p as (select *, 20 + case when coalesce("roleProfileId", '') <> '' then coalesce
 f as (select *, case when out_ then 0 else cast(floor(greatest(0, least(100, points)) + 0.5) as integer) end as n from p)
 """
 #: The gates over a score n: domain by family, then the first that closes.
-_GATED = """, d as (select *, case when "roleFamily" = 'information_systems' then 'information_systems' when "roleFamily" in ('information', 'analysis', 'operations') then 'quiet_admin_data' when "roleType" = 'sap_implementer' then 'information_systems'
+_GATED = """, d as (select *, case when "roleFamily" = 'information_systems' or "roleType" = 'sap_implementer' then 'information_systems' when "roleFamily" in ('information', 'analysis', 'operations') then 'quiet_admin_data'
   when "roleFamily" = 'irrelevant' or "isRelevantRole" = false then 'irrelevant' else 'unknown' end as dom, coalesce("locationKey", '') in ('tel_aviv', 'lod') or location in ('Tel Aviv', 'Lod') as badplace,
   coalesce("locationKey", '') = '' or location = 'Israel' as noplace, contains(title, 'manager') or contains(coalesce(description, ''), '5 years') or contains(coalesce(description, ''), '3 years') as old from f),
 g as (select *, case when "roleFamily" = 'sales' then 'hard' when badplace then 'place' when dom = 'irrelevant' then 'irrelevant' when dom = 'unknown' then 'role' when noplace then 'unknown_place' when old then 'senior' else 'open' end as gate from d),
