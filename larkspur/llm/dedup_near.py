@@ -223,18 +223,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     sketches = saved(_sketches(docs, id_col, text_col, list(keep)))
     real = sketches.where("set_key is not null and doc_id is not null")
-    classes = saved(real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.any_value("sketch").alias("sketch")))
+    classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.any_value("sketch").alias("sketch"))
+    classes = saved(classes.withColumn("class_no", F.monotonically_increasing_id()))
 
-    # inverted lists, of values that two classes or more retain; a class is known by its smallest id, and by its set where an id has several
-    need = F.ceil(F.size("sketch") * F.lit(NEED) / SKETCH)
-    posts = saved(classes.select("set_key", F.col("rep").alias("doc_id"), need.cast("int").alias("need"), F.size("sketch").alias("m"), F.explode("sketch").alias("value")))
+    # inverted lists, of values that two classes or more retain
+    posts = classes.select("class_no", F.explode("sketch").alias("value"))
     listed = posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = met(posts, listed.withColumn("rows", F.col("df")), [("value", "value")], ["df"], "rows", posts.count())
-    active = shared.groupBy("set_key", "doc_id").agg(F.first("need").alias("need"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("post"))  # at most SKETCH values a class
-    active = active.where(F.size("post") >= F.col("need"))
+    shared = met(posts, listed.withColumn("rows", F.col("df")), [("value", "value")], ["df"], "rows", classes.agg(F.sum(F.size("sketch"))).first()[0] or 0)
+    active = shared.groupBy("class_no").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("post"))  # at most SKETCH values a class
+    m = F.size("sketch")
+    need = F.ceil(m * F.lit(NEED) / SKETCH).cast("int")
+    active = active.join(classes.select("class_no", F.col("rep").alias("doc_id"), need.alias("need"), m.alias("m")), "class_no").where(F.size("post") >= F.col("need"))
     # the rarest m - need + 1 of all retained values; those that no other class has come first and list nobody
     first = F.col("m") - F.col("need") + 1 - (F.col("m") - F.size("post"))
-    active = active.select("set_key", "doc_id", F.slice("post", F.lit(1), first).alias("post"), F.aggregate("post", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("degree"))
+    active = active.select("doc_id", F.slice("post", F.lit(1), first).alias("post"), F.aggregate("post", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("degree"))
     lists = saved(active.select("doc_id", "degree", F.explode("post.value").alias("value")))
     active = lists.groupBy("doc_id").agg(F.max("degree").alias("degree"))
     hubs = lists.groupBy("value").agg(F.max(F.struct(F.col("degree"), (-F.col("doc_id")).alias("no"))).alias("hub"), F.count(F.lit(1)).alias("rows"))
@@ -246,11 +248,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = sets.join(clusters, "doc_id").join(active, "doc_id").dropDuplicates(["doc_id", "shingles"])
     members = saved(members.where(F.length("shingles") > 0))
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-    size = size.select(F.col("cluster").alias("c"), F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = members.join(size, F.col("cluster") == F.col("c")).drop("c").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    size = saved(size.select("cluster", "n", F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    placed = met(members, size, [("cluster", "cluster")], ["blocks"], "n", members.count()).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     large = size.where("blocks > 1")
     # the best-connected members of a large cluster go to all its blocks
-    top = members.join(large, F.col("cluster") == F.col("c")).groupBy("cluster", "blocks").agg(F.max(F.struct(F.col("degree"), (-F.col("doc_id")).alias("no"))).alias("a"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("no"))).alias("b"))
+    top = placed.where("blocks > 1").groupBy("cluster", "blocks").agg(F.max(F.struct(F.col("degree"), (-F.col("doc_id")).alias("no"))).alias("a"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("no"))).alias("b"))
     top = top.select(F.explode(F.array(-F.col("a.no"), F.col("b.no"))).alias("hub"), "cluster", "blocks").distinct()
     top = members.join(top.select(F.col("hub").alias("doc_id"), "blocks"), "doc_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = ["cluster", "block", "doc_id", "side", "shingles"]

@@ -27,7 +27,7 @@ ORDER = 5
 SHARD_ENTRIES = 4_000_000
 LEAST_SHARDS = 16
 #: Bytes of the texts whose counts travel together, and of those that one task joins with its shard.
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 2_000_000
 TASK_BYTES = 256_000_000
 #: Entries of the model in a row on their way to their shard.
 CHUNK_ENTRIES = 200_000
@@ -204,6 +204,12 @@ def _restored(raw: bytes, kind: type, count: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, count).T).view(kind).reshape(-1)
 
 
+def _rows(batch) -> Iterator[dict]:
+    """The rows of a batch one by one, since they are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 MODEL = "struct<kind:int,n:int,entries:int,keys:binary,weights:binary>"
 COUNTS = "struct<grams:int,pairs:int,docs:int,gram:binary,per:binary,doc:binary,times:binary,owner:binary>"
 
@@ -274,7 +280,7 @@ def scores(docs: DataFrame, model: DataFrame, row_no: str, text_col: str = "text
 
         now, chunks, shard = None, [], None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if (row["shard"], row["copy"]) != now:
                     now, chunks, shard = (row["shard"], row["copy"]), [], None
                 if row["model"] is not None:
@@ -299,7 +305,7 @@ def scores(docs: DataFrame, model: DataFrame, row_no: str, text_col: str = "text
             return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sizes), pa.array(sums)], names=["row_no", "text_bytes", "log_prob"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["block"] != now:
                     if now is not None:
                         yield flush()
