@@ -235,7 +235,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need = F.ceil(m * F.lit(NEED) / SKETCH).cast("int")
     active = active.join(classes.select("class_no", F.col("rep").alias("doc_id"), need.alias("need"), m.alias("m")), "class_no").where(F.size("post") >= F.col("need"))
     # the rarest m - need + 1 of all retained values; those that no other class has come first and list nobody
-    first = F.col("m") - F.col("need") + 1 - (F.col("m") - F.size("post"))
+    first = F.greatest(F.size("post") - F.col("need") + 1, F.lit(0))
     active = active.select("doc_id", F.slice("post", F.lit(1), first).alias("post"), F.aggregate("post", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("degree"))
     lists = saved(active.select("doc_id", "degree", F.explode("post.value").alias("value")))
     active = lists.groupBy("doc_id").agg(F.max("degree").alias("degree"))
