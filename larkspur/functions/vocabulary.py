@@ -182,3 +182,46 @@ MANUAL_FIELDS = ["status", "notes", "userNotes", "reviewNotes", "manualNotes", "
 STATUSES = ["found", "saved", "applied", "interview", "archived", "rejected", "skipped"]
 POSITIVE_ACTIONS = ["saved", "applied", "interview"]
 NEGATIVE_ACTIONS = ["deleted", "rejected", "skipped", "not_relevant"]
+
+# --- results of the second provider's search, and their detail pages --------------------------------------
+
+#: Words that show a wanted role, and those of them that a title must hold to be trusted.
+TARGET_ROLE_WORDS = ["qa", "tester", "testing", "בודק", "בודקת", "בדיקות", "בדיק", "תוכנה", "אוטומציה", "automation", "web", "mobile", "data", "risk", "fraud", "מסמכים", "מערכות מידע", "מטמיע", "מיישם"]
+STRONG_TITLE_WORDS = ["qa", "tester", "testing", "בודק", "בודקת", "בדיקות", "בדיק", "אוטומציה", "automation"]
+QA_QUERY_WORDS = ["qa", "בדיקות", "בודק", "בודקת", "תוכנה"]
+QA_RESULT_WORDS = ["qa", "tester", "testing", "בדיק", "בודק", "בודקת", "תוכנה", "web", "mobile", "אוטומציה"]
+BAD_TITLE_WORDS = ["מיקום המשרה", "סוג משרה", "דרישות", "תיאור התפקיד", "חיפוש", "לוח משרות", "משרות מומלצות", "מילות מפתח", "שאלות הכנה", "שכר", "מאמרים", "הגש מועמדות", "שלח קורות חיים"]
+RESULT_BAD_TITLES = ["בדיקת זכאות", "לעוד משרות ומידע", "כל התחומים", "טיפים וכתבות"]
+RESULT_BAD_COMPANIES = ["AllCourses", "טיפים וכתבות", "כל התחומים"]
+PAGE_NOISE_WORDS = ["משרות מומלצות", "חיפוש מתקדם", "לוח משרות", "מילות מפתח", "דרושים לפי תחום", "דרושים לפי אזור", "AllJobs", "תנאי שימוש", "מדיניות פרטיות"]
+JOB_ID_PATTERNS = [r"[?&]jobid=(\d+)", r"jobid[\"'\s:=]+(\d+)", r"data-jobid=[\"']?(\d+)", r"data-job-id=[\"']?(\d+)"]
+HIDDEN_COMPANY = "חברה חסויה"
+NO_COMPANY_NAMES = ["AllJobs", "alljobs", "Full Time", "Part Time", "משרה מלאה", "משרה חלקית", "כל התחומים >>", "טיפים וכתבות", "and"]
+NO_COMPANY_WORDS = ["AllCourses", "קורסים אונליין", "טיפים וכתבות", "כל התחומים"]
+NO_COMPANY_TEXT = ["דרוש|דרושה|דרושים|דרוש/ה|בודק|בודקת|בדיקות|qa|tester|ניסיון|נסיון|במסגרת|התפקיד|תיאור|דרישות|משרה|מגייסת|מוביל|מובילה"]
+COMPANY_LABELS, PLACE_LABELS = ["שם החברה", "חברה", "Company"], ["מיקום המשרה", "מיקום", "אזור", "איזור", "Location"]
+TITLE_PARTS_DROPPED = ["תוכנה", "ניהול ביניים", "דרושים", "AllJobs"]
+RESULT_PLACES = [
+    "חיפה", "קריות", "יקנעם", "יוקנעם", "נשר", "טירת כרמל", "עכו", "נהריה", "כרמיאל", "צפון", "חיפה והקריות", "חיפה והצפון", "קרית ביאליק", "קריית ביאליק", "קרית אתא", "קריית אתא",
+    "קרית מוצקין", "קריית מוצקין", "קרית ים", "קריית ים", "נתניה", "השרון", "רעננה", "פתח תקווה", "תל אביב", "מרכז", "אור יהודה", "קיסריה", "ראש העין", "לוד", "רמת גן", "חולון", "ראשון לציון",
+]
+#: English spellings of places, the first that is found counts.
+PLACE_ALIASES = [("yokne'?am", "יקנעם"), ("haifa", "חיפה"), ("krayot", "קריות"), ("airport city", "איירפורט סיטי"), ("tel aviv", "תל אביב"), ("ramat gan", "רמת גן")]
+PLACE_CUT = r"(?i)(סוג\s*משרה:?|סוגמשרה:?|היקף\s*משרה:?|היקףמשרה:?|תיאור\s*התפקיד:?|דרישות:?|Requirements|Job\s*Type|Show\s*more).*$"
+DETAIL_PLACE_LABELS = [r"סוג\s*משרה|היקף\s*משרה|דרישות"]
+COMPANY_AFTER_TITLE_BARRED = ["מיקום המשרה", "סוג משרה", "דרישות", "תיאור"]
+
+# --- the mail agent ---------------------------------------------------------------------------------------
+
+TOO_BROAD_TERMS = ["job", "jobs", "משרה", "משרות", "דרושים", "developer", "software", "תוכנה", "junior", "ללא ניסיון", "ללא נסיון"]
+BROWSER_HOSTS = ["drushim.co.il", "alljobs.co.il", "comeet.com/jobs", "jobs.lever.co", "greenhouse.io"]
+NO_SUBJECT, NO_SENDER = "מייל ללא כותרת", "שולח לא ידוע"
+DEFAULT_QUERY_PLACES = ["חיפה", "צפון"]
+PROFILE_MIN_SCORE, PROFILE_BONUS = 58.0, 28.0
+DIGEST_TITLE = "^תקציר משרות לבדיקה:"
+#: (name shown, what the source contains), first match counts.
+SOURCE_LABELS = [("דרושים", "drushim"), ("AllJobs", "alljobs"), ("JobMaster", "jobmaster"), ("Matrix", "matrix"), ("אתרי מקור", "site")]
+UNKNOWN_SOURCE_LABEL = "מקור לא ידוע"
+STATUS_LABELS, NO_STATUS_LABEL = {"applied": "נשלח", "saved": "שמורה", "interview": "ראיון", "archived": "בארכיון", "rejected": "הוסרה", "skipped": "הוסרה"}, "טרם נשלח"
+RECOMMENDATION_LABELS, REVIEW_LABEL = {"apply": "מומלץ לשלוח", "review": "צריך בדיקה", "skip": "לא מומלץ"}, "צריך בדיקה"
+ROLE_LABELS, NO_ROLE_LABEL = [("אוטומציה", "automation"), ("בדיקות תוכנה", "qa"), ("מערכות מידע", "information_systems"), ("מידע ומסמכים", "information")], "תפקיד כללי"
