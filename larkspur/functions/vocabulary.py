@@ -225,3 +225,11 @@ UNKNOWN_SOURCE_LABEL = "מקור לא ידוע"
 STATUS_LABELS, NO_STATUS_LABEL = {"applied": "נשלח", "saved": "שמורה", "interview": "ראיון", "archived": "בארכיון", "rejected": "הוסרה", "skipped": "הוסרה"}, "טרם נשלח"
 RECOMMENDATION_LABELS, REVIEW_LABEL = {"apply": "מומלץ לשלוח", "review": "צריך בדיקה", "skip": "לא מומלץ"}, "צריך בדיקה"
 ROLE_LABELS, NO_ROLE_LABEL = [("אוטומציה", "automation"), ("בדיקות תוכנה", "qa"), ("מערכות מידע", "information_systems"), ("מידע ומסמכים", "information")], "תפקיד כללי"
+
+# --- the digest of the third provider, anchored in lines ---------------------------------------------------
+
+LINE_FOOTER = [r"משרות נוספות|לצפייה במשרה|לתצוגת כל המשרות|בואו לפגוש אותנו|youtube|linkedin|fb|google|apple|להסרה|דיוורים|unsubscribed@|דרושים\s*IL\s*-|מגשימים\s*1|פתח\s*תקווה"]
+LINE_GREETING = [r"^היי\s+אבנר,?$", "^יש לנו בשבילך"]
+LINE_SKIPPED = [*LINE_GREETING, r"^\d{2}/\d{2}/\d{4}$", "^המתאימות להגדרות שלך", "^התואמות להגדרות שלך", "^פורסמו בשעות האחרונות"]
+LINE_JOB_TYPE = r"(?i)\s+(משרה מלאה|משרה חלקית|משמרות|עבודה היברידית|היברידית|עבודה מהבית|ללא ניסיון|ללא נסיון|אקדמאים ללא ניסיון|סטודנטים|1-2 שנים|2-3 שנים|3-4 שנים|4-5 שנים|5\+ שנים|זמנית|קבועה).*$"
+LINE_PLACES = "חיפה|קריית ביאליק|קרית ביאליק|קריית אתא|קרית אתא|בני ברק|עכו|כרמיאל|נשר|יקנעם|יוקנעם|קריות|צפון|גליל|תל אביב|רמת גן|פתח תקווה|פתח תקוה|לוד|Remote|מרחוק"

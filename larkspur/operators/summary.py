@@ -52,6 +52,11 @@ def mail_source(source: Column) -> Column:
     return F.when(F.contains(s, F.lit("·")), part).otherwise(or_else(F.trim(F.regexp_replace(s, r"(?i)^gmail\s*", "")), F.lit("Gmail")))
 
 
+def positive_sources(feedback: DataFrame, last: int = 250, order: tuple[str, ...] = ("createdAt", "id")) -> DataFrame:
+    recent = tail_rows(feedback, last, *order).where(F.col("action").isin(V.POSITIVE_ACTIONS))
+    return count_by(recent, mail_source(F.col("source")), "unknown", "source")
+
+
 def agent_summary(jobs: DataFrame) -> DataFrame:
     mails = jobs.where(matches(F.col("source"), "gmail"))
     status = or_else(F.col("status"), F.lit("found"))
@@ -76,6 +81,12 @@ def dashboard(jobs: DataFrame, today: Column) -> DataFrame:
     })
 
 
+def full_dashboard(jobs: DataFrame, review: DataFrame, feedback: DataFrame, today: Column) -> DataFrame:
+    """dashboard with the rows of the review queue and the learning events; one row."""
+    n = lambda t, name: t.agg(F.count(F.lit(1)).alias(name))
+    return dashboard(jobs, today).crossJoin(n(review, "review")).crossJoin(n(feedback, "learningEvents"))  # a row each
+
+
 def scan_totals(incoming: DataFrame, scored: DataFrame, kept: DataFrame) -> DataFrame:
     one = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
     rows = one(incoming, "incoming").crossJoin(one(scored, "scored")).crossJoin(one(kept, "kept"))  # a row each

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..operators import agent, results
+from ..operators import agent, line_digest, results, summary
+from ..sources import providers
 from .made_tables import Made
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,3 +281,39 @@ def mail_import_result(spark, sf_dir):
 def display_labels(spark, sf_dir):
     rows = PANEL.rows(spark, sf_dir)
     return rows.select("k", agent.source_label(c("source")).alias("source"), agent.status_label(c("status")).alias("status"), agent.recommendation_label(c("recommendation")).alias("recommendation"), agent.role_label(c("roleFamily"), c("roleType")).alias("role"))
+
+
+LINES = Made("part", "p_partkey", [("text", "string", 1, ["QA lead|Acme חיפה משרה מלאה|first  line|Data clerk|Beta לוד|more|להסרה|no", "nothing here", None, "data CLERK|today|Big Corp חולון|15/01/2024|work"])])
+
+
+@_query(f"""with r as ({LINES.sql}), v(start, index, title, company, location, kind, description) as (values ('QA', 0, 'QA lead', 'Acme', 'חיפה', 'משרה מלאה', 'first line'), ('QA', 1, 'Data clerk', 'Beta', 'לוד', '', 'more'), ('da', 1, 'Data clerk', 'Drushim', 'today', '', 'Big Corp חולון' || chr(10) || 'work'))
+select k, index, title, company, location, kind, description from r join v on r.text[:2] = v.start""")
+def line_digest_postings(spark, sf_dir):
+    anchors = F.array(*(F.struct(F.lit(t).alias("title"), F.lit("u").alias("url")) for t in ("QA lead", "Data  clerk")))
+    mails = LINES.rows(spark, sf_dir).select(c("k").alias("id"), F.split("text", r"\|").alias("lines"), anchors.alias("anchors"))
+    return line_digest.line_postings(mails).select(c("id").alias("k"), "index", "title", "company", "location", c("jobType").alias("kind"), "description")
+
+
+FEED = Made("events", "event_id", [("action", "string", 1, ["saved", "seen", "applied", "rejected"]), ("source", "string", 3, ["Gmail · AllJobs", "Gmail", "Gmail Drushim", None, "own"])])
+
+
+@_query(f"""with l as ({FEED.sql}), r as (select * from l order by k desc limit 250)
+select case source when 'Gmail · AllJobs' then 'AllJobs' when 'Gmail Drushim' then 'Drushim' when 'own' then 'own' else 'Gmail' end as source, count(*) as n from r where action in ('saved', 'applied') group by 1""")
+def positive_source_histogram(spark, sf_dir):
+    return summary.positive_sources(FEED.rows(spark, sf_dir), order=("k",))
+
+
+@_query(f"""with r as ({PANEL.sql}) select count_if(coalesce(status, 'found') = 'found') as total, count_if(coalesce(status, 'found') = 'found' and recommendation = 'apply') as apply, count_if(status in ('applied', 'interview')) as applied, count_if(status = 'saved') as saved,
+  count_if(status in ('archived', 'rejected')) as archived, count_if(status in ('applied', 'interview') and k % 2 = 0) as "appliedToday", count_if(contains(source, 'Gmail')) as "gmailJobs", (select count(*) from customer) as review, (select count(*) from events) as "learningEvents" from r""")
+def full_dashboard(spark, sf_dir):
+    table = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    at = F.when(c("k") % 2 == 0, F.lit("2024-01-15")).otherwise("2024-01-01").cast("timestamp_ntz")
+    jobs = PANEL.rows(spark, sf_dir).withColumns({"updatedAt": F.lit(None).cast("timestamp_ntz"), "appliedAt": at})
+    return summary.full_dashboard(jobs, table("customer"), table("events"), F.lit("2024-01-15").cast("date"))
+
+
+@_query("""with o as (select o_orderpriority as source, o_orderstatus as st, o_totalprice as p from orders)
+select source, count(*) as raw, count_if(st = 'F') as normalized, count_if(p > 100000) as scored, count_if(st = 'P' and source like '1%') as errors from o group by 1""")
+def provider_errors(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(c("o_orderpriority").alias("source"), c("o_orderstatus").alias("st"), c("o_totalprice").alias("p"))
+    return providers.provider_counts(rows, rows.where("st = 'F'"), rows.where("p > 100000"), rows.where("st = 'P' and source like '1%'"))

@@ -74,8 +74,9 @@ def collected(landed: Mapping[str, DataFrame], now: Column) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def provider_counts(raw: DataFrame, postings: DataFrame, scored: DataFrame) -> DataFrame:
-    """(source, raw, normalized, scored) of a scan."""
+def provider_counts(raw: DataFrame, postings: DataFrame, scored: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """(source, raw, normalized, scored) of a scan, and errors where a table of failed requests (source) is given."""
     of = lambda rows, name: rows.groupBy("source").agg(F.count(F.lit(1)).alias(name))
     out = of(raw, "raw").join(of(postings, "normalized"), "source", "full_outer").join(of(scored, "scored"), "source", "full_outer")
+    out = out if errors is None else out.join(of(errors, "errors"), "source", "full_outer")
     return out.na.fill(0)
