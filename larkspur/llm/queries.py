@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import assigned, cluster_vectors
 from .cluster import saved, shared_dir
 from .dedup_exact import exact_dedup, text_sha256
 from .dedup_near import near_components
@@ -16,7 +17,9 @@ from .quality_rules import quality_rules
 from .sharding import shard_rows
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
+from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filters import filter_urls, path_rules
+from .whitening import fit_whitening, whiten
 
 CAPACITY = 1024
 
@@ -88,6 +91,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+CENTROIDS, CENTROID_ROUNDS = 8, 10
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", CENTROIDS, CENTROID_ROUNDS)
+    return assigned(found, "vec_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten(vectors, "embedding", fit_whitening(vectors, "embedding", most_components=4), keep=["vec_id"])
+
+
 OP6_SQL = r"""
 with n as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
@@ -100,6 +122,39 @@ select doc_id,
 from n window w as (partition by text_sha256 order by doc_id nulls last)
 """
 
+
+
+def _op12_sql(k: int, rounds: int) -> str:
+    """Rounds of the clustering over (row, dimension, entry), one pair of tables a round."""
+    parts = [
+        """with kept as materialized (
+  select row_number() over () as r, vec_id, [floor(1024 * e::double)::bigint for e in embedding] as x from embeddings
+  where len(embedding) = 64 and len([e for e in embedding if e is null or not isfinite(e)]) = 0
+), entries as materialized (
+  select r, unnest(x) as x, generate_subscripts(x, 1) as d from kept
+)""",
+        f"""c0 as materialized (
+  select n, unnest(x) as x, generate_subscripts(x, 1) as d
+  from (select x, row_number() over (order by sha256('3:' || coalesce(vec_id::varchar, '')), x) - 1 as n from kept qualify n < {k})
+)""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} as materialized (
+  select r, n, far from (select r, n, sum((e.x - c.x) * (e.x - c.x))::bigint as far from entries e join c{i} c using (d) group by r, n)
+  qualify row_number() over (partition by r order by far, n) = 1
+)""")
+        if i < rounds:
+            parts.append(f"""m{i} as materialized (
+  select n, d, floor(sum(x)::double / count(*))::bigint as x from entries join a{i} using (r) group by n, d
+), c{i + 1} as materialized (
+  select c.n, c.d, coalesce(m.x, c.x) as x from c{i} c left join m{i} m using (n, d)
+)""")
+    return ",\n".join(parts) + f"""
+select vec_id, n::int as cluster, far as distance, sum(far) over (partition by n)::bigint as cluster_inertia, sum(far) over ()::bigint as inertia, s.centroid_sha256
+from a{rounds} join kept using (r) join (select n, sha256(string_agg(x::varchar, ',' order by d)) as centroid_sha256 from c{rounds} group by n) s using (n)
+"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -111,8 +166,12 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_toxicity": op11_toxicity,
+    "op12_centroids": op12_centroids,
+    "op13_whitening": op13_whitening,
 }
 
 SQL = {
     "op6_exact_dedup": OP6_SQL,
+    "op12_centroids": _op12_sql(CENTROIDS, CENTROID_ROUNDS),
 }
