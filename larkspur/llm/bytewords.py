@@ -1,4 +1,4 @@
-"""Words of a batch of texts as runs in one byte array, and hashes of such runs."""
+"""Words of a batch of texts as runs in one byte array, their exact groups and hashes."""
 
 from __future__ import annotations
 
@@ -44,11 +44,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as little-endian numbers."""
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))
+
+
 def hashed_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes, chained over 8 bytes at a time; equal lengths up to 8 never collide."""
+    """A 64-bit hash of each run of bytes, chained over 8 bytes at a time, to find equal runs quickly. Different
+    runs may share one, so same_runs compares the bytes."""
     out = mixed(sizes.astype(np.uint64) * PRIME)
-    raw = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))  # the 8 bytes from each place on
+    eight = _eights(data)
     at = np.flatnonzero((sizes > 0) & (sizes <= LONG_RUN))
     for done in range(0, LONG_RUN, 8):
         at = at[sizes[at] > done]
@@ -60,3 +66,84 @@ def hashed_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
         digest = hashlib.blake2b(data[starts[i] : starts[i] + sizes[i]].tobytes(), digest_size=8).digest()
         out[i] = int.from_bytes(digest, "little")
     return out
+
+
+def equal_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each run has the bytes of the run whose number is in other."""
+    same = sizes == sizes[other]
+    eight = _eights(data)
+    at = np.flatnonzero(same & (other != np.arange(len(other))))
+    long = at[sizes[at] > LONG_RUN]
+    at = at[sizes[at] <= LONG_RUN]
+    for done in range(0, LONG_RUN, 8):
+        at = at[sizes[at] > done]
+        if not len(at):
+            break
+        unused = np.maximum(done + 8 - sizes[at], 0).astype(np.uint64) * np.uint64(8)
+        differ = ((eight[starts[at] + done] ^ eight[starts[other[at]] + done]) << unused) != 0
+        same[at[differ]] = False
+        at = at[~differ]
+    for i in long.tolist():
+        a, b, n = starts[i], starts[other[i]], sizes[i]
+        same[i] = np.array_equal(data[a : a + n], data[b : b + n])
+    return same
+
+
+def same_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a run of each distinct content, the number of each run's content): equal bytes have equal numbers and different bytes
+    different ones, whatever their hashes."""
+    _, first, group = np.unique(hashed_runs(data, starts, sizes), return_index=True, return_inverse=True)
+    wrong = np.flatnonzero(~equal_runs(data, starts, sizes, first[group]))
+    if len(wrong):
+        found: dict[bytes, int] = {}
+        more = []
+        for i in wrong.tolist():
+            run = data[starts[i] : starts[i] + sizes[i]].tobytes()
+            if run not in found:
+                found[run] = len(first) + len(more)
+                more.append(i)
+            group[i] = found[run]
+        first = np.concatenate([first, np.array(more, first.dtype)])
+    return first, group
+
+
+def same_windows(numbers: np.ndarray, owner: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A number for each window of `width` numbers from the places at: the same for equal windows of one owner only.
+
+    Rolling hashes find the windows that may be equal, their numbers decide.
+    """
+    key = owner[at].astype(np.uint64) * PRIME
+    for j in range(width):
+        key = key * MIX + numbers[at + j].astype(np.uint64)
+    _, first, group = np.unique(mixed(key), return_index=True, return_inverse=True)
+    like = at[first][group]
+    same = owner[at] == owner[like]
+    for j in range(width):
+        same &= numbers[at + j] == numbers[like + j]
+    found: dict[tuple, int] = {}
+    for i in np.flatnonzero(~same).tolist():
+        group[i] = found.setdefault((int(owner[at[i]]), *numbers[at[i] : at[i] + width].tolist()), len(first) + len(found))
+    return group
+
+
+#: Hashes of distinct words that a worker keeps.
+CACHE_WORDS = 500_000
+_WORDS: dict[bytes, int] = {}
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """BLAKE2b of each word, 64 bits, worked out once for each distinct one: for hashes that meet those of other batches."""
+    first, group = same_runs(data, starts, sizes)
+    raw = data.tobytes()
+    if len(_WORDS) + len(first) > CACHE_WORDS:
+        _WORDS.clear()
+    out = np.empty(len(first), np.uint64)
+    for k, (s, n) in enumerate(zip(starts[first].tolist(), sizes[first].tolist())):
+        word = raw[s : s + n]
+        h = _WORDS.get(word)
+        if h is None:
+            h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            if n <= LONG_RUN:
+                _WORDS[word] = h
+        out[k] = h
+    return out[group]

@@ -37,10 +37,10 @@ ESTIMATE = NEED / SKETCH
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The distinct 5-word shingles of each text as sorted 64-bit hashes; all words as one if they are fewer."""
-    from .bytewords import MIX, hashed_runs, mixed, words_of
+    from .bytewords import MIX, mixed, word_hashes, words_of
 
     data, _, starts, sizes, doc = words_of(texts, lower=True)
-    words = hashed_runs(data, starts, sizes)
+    words = word_hashes(data, starts, sizes)
     count = np.bincount(doc, minlength=len(texts))
     begin = np.cumsum(count) - count
     n = max(0, len(words) - SHINGLE + 1)

@@ -1,8 +1,8 @@
 """Pre-tokens and byte-pair merging on ragged numpy arrays, for whole batches of texts at once.
 
 A batch is one array of code points. Character classes come from a table, token borders from
-class changes, and equal pre-tokens are merged only once: a 64-bit hash, by BLAKE2b for long ones, finds
-the distinct ones.
+class changes, and equal pre-tokens are merged only once: a hash finds those that may be equal, their bytes
+decide, and a worker keeps the results by the pre-token itself.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
-from .bytewords import hashed_runs
+from .bytewords import same_runs
 
 SPACE, LETTER, DIGIT, OTHER, END = range(5)
 _END = 0x110000
@@ -231,11 +231,10 @@ class BatchEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.lengths, self.begin, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}
+        self.lengths, self.begin, self.ids = (np.zeros(0, np.int64) for _ in range(3))
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) + len(hashes) > CACHE_ENTRIES:
-            self._forget()
+    def _learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -243,11 +242,9 @@ class BatchEncoder:
         symbols[np.cumsum(sizes) - 1] = self.table.final[data[np.cumsum(sizes) - 1]]
         symbols, seq = self.table.merge(symbols, np.repeat(np.arange(len(raw)), sizes))
         lengths = np.bincount(seq, minlength=len(raw))
-        begin = len(self.ids) + np.cumsum(lengths) - lengths
-        place = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, place, hashes)
-        self.lengths = np.insert(self.lengths, place, lengths)
-        self.begin = np.insert(self.begin, place, begin)
+        self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(lengths) - lengths]
+        self.known.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words))))
+        self.lengths = np.r_[self.lengths, lengths]
         self.ids = np.r_[self.ids, symbols]
 
     def _units(self, units: list[str], with_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
@@ -255,30 +252,28 @@ class BatchEncoder:
         joined, codes, ends = _codes(units)
         starts = np.flatnonzero(_borders(codes, ends, self.table.with_space))
         sizes = np.diff(np.r_[starts, len(codes)])
-        hashes = hashed_runs(codes.view(np.uint8), starts * 4, sizes * 4)
         if self.table.with_space:
             real = codes[starts] != _END
         else:
             real = ~np.isin(char_classes()[codes[starts]], (SPACE, END))
-        starts, sizes, hashes = starts[real], sizes[real], hashes[real]
+        starts, sizes = starts[real], sizes[real]
         unit = np.searchsorted(ends, starts)
         if not len(starts):
             return np.zeros(len(units), np.int64), np.zeros(0, np.int64)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
-        if len(new):
-            before = len(self.known)
-            self._learn(distinct[new], [joined[starts[i] : starts[i] + sizes[i]] for i in first[new]])
-            if len(self.known) < before + len(new):  # the cache was emptied: learn all of this batch
-                self._forget()
-                self._learn(distinct, [joined[starts[i] : starts[i] + sizes[i]] for i in first])
-            at = np.searchsorted(self.known, distinct)
-        lengths = self.lengths[at][inverse]
+        first, group = same_runs(codes.view(np.uint8), starts * 4, sizes * 4)
+        words = [joined[s : s + n] for s, n in zip(starts[first].tolist(), sizes[first].tolist())]
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self._forget()
+            new = words
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        lengths = self.lengths[at][group]
         counts = np.bincount(unit, weights=lengths, minlength=len(units)).astype(np.int64)
         if not with_ids:
             return counts, None
-        begin = self.begin[at][inverse]
+        begin = self.begin[at][group]
         where = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
         return counts, self.ids[where]
 

@@ -1,7 +1,8 @@
 """Operator 10, quality rules by repetition coverage.
 
-All texts of a batch are one byte array. Words are hashed, windows of several word counts get rolling
-hashes, and a window found twice in its document covers its words; the rules look at the share of
+All texts of a batch are one byte array. Equal words get equal numbers, windows of several word counts get
+rolling hashes, which find the windows that may be equal and their numbers confirm, and a window found twice in
+its document covers its words; the rules look at the share of
 characters that such windows and repeated lines cover. No shuffle: each row is judged where it was read.
 """
 
@@ -12,11 +13,10 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .bytewords import END, MIX, PRIME, hashed_runs, is_space, words_of
+from .bytewords import END, is_space, same_runs, same_windows, words_of
 from .cluster import mapped_text
 
 
-
 @dataclass(frozen=True)
 class Rules:
     """What a document may have at most; shares are of the characters in words."""
@@ -32,15 +32,6 @@ class Rules:
     symbols_per_word: float = 0.40
 
 
-def _several(keys: np.ndarray) -> np.ndarray:
-    """Which keys occur twice or more."""
-    order = np.sort(keys)
-    twice = order[1:][order[1:] == order[:-1]]
-    if not len(twice):
-        return np.zeros(len(keys), bool)
-    return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
-
-
 def _later(keys: np.ndarray) -> np.ndarray:
     """Which keys occurred before."""
     out = np.ones(len(keys), bool)
@@ -48,49 +39,45 @@ def _later(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[list(b"#*$%&|<>")] = True
+
+
 def measure(texts: list[str | None], windows: list[int]) -> dict[str | int, np.ndarray]:
     """Counts of each text; under a window's word count, (words, characters) inside its repeated windows."""
     data, ends, starts, sizes, doc = words_of(texts)
     n = len(texts)
-    space = is_space(data)
-    points = np.r_[0, np.cumsum(~space & ((data & 0xC0) != 0x80))]
-    chars = points[starts + sizes] - points[starts]
-    symbol = np.isin(data, np.frombuffer(b"#*$%&|<>", np.uint8))
-    at_end = np.r_[0, np.cumsum(symbol)][ends]
+    lead = ~is_space(data) & ((data & 0xC0) != 0x80)  # the first byte of each character of a word
+    chars = np.add.reduceat(lead, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
     out: dict[str | int, np.ndarray] = {
         "n_words": np.bincount(doc, minlength=n),
         "word_chars": np.bincount(doc, chars, n).astype(np.int64),
-        "n_symbols": np.diff(np.r_[0, at_end]),
+        "n_symbols": np.bincount(np.searchsorted(ends, np.flatnonzero(_SYMBOL[data])), minlength=n),
     }
-    words = hashed_runs(data, starts, sizes)
-    salt = (doc.astype(np.uint64) + np.uint64(1)) * PRIME
+    words = same_runs(data, starts, sizes)[1]
     for k in windows:
         count, covered = len(words) - k + 1, np.zeros(len(words), bool)
         if count > 0:
-            key = np.zeros(count, np.uint64)
-            for j in range(k):
-                key = key * MIX + words[j : j + count]
-            key ^= key >> np.uint64(29)
             one = np.flatnonzero(doc[:count] == doc[k - 1 :])
-            hit = one[_several(key[one] * MIX + salt[one])]
+            group = same_windows(words, doc, one, k)
+            hit = one[np.bincount(group, minlength=1)[group] > 1]
             if len(hit):
-                edge = np.zeros(len(words) + 1, np.int64)
+                edge = np.zeros(len(words) + 1, np.int32)
                 edge[hit] += 1
-                edge[hit + k] -= 1
+                np.subtract.at(edge, hit + k, 1)
                 covered = np.cumsum(edge[:-1]) > 0
         out[k] = np.stack([np.bincount(doc, covered, n), np.bincount(doc, covered * chars, n)]).astype(np.int64)
     # lines with a word
     cut = np.flatnonzero((data == 10) | (data == END))
     first = np.r_[0, cut[:-1] + 1]
-    start = np.zeros(len(data), np.int64)
-    start[starts] = 1
-    held = np.r_[0, np.cumsum(start)]
-    full = held[cut] > held[first]
-    first, length = first[full], (cut - first)[full]
+    full = np.searchsorted(starts, cut) > np.searchsorted(starts, first)
+    first, cut = first[full], cut[full]
     line_doc = np.searchsorted(ends, first)
-    later = _later(hashed_runs(data, first, length) * MIX + (line_doc.astype(np.uint64) + np.uint64(1)) * PRIME)
+    kinds, line = same_runs(data, first, cut - first)
+    later = _later(line_doc * max(len(kinds), 1) + line)
+    line_chars = np.add.reduceat(lead, np.stack([first, cut], 1).reshape(-1), dtype=np.int64)[::2] if len(first) else np.zeros(0, np.int64)
     out["n_dup_lines"] = np.bincount(line_doc, later, n).astype(np.int64)
-    out["dup_line_chars"] = np.bincount(line_doc, later * (points[first + length] - points[first]), n).astype(np.int64)
+    out["dup_line_chars"] = np.bincount(line_doc, later * line_chars, n).astype(np.int64)
     return out
 
 

@@ -269,3 +269,85 @@ def test_long_texts_without_spaces_are_cut_between_words_and_marks(monkeypatch):
         assert len(pretokens._cut(texts[0])) > 10
         want = Tokenizer.from_file(P.path(name)).encode(texts[0], add_special_tokens=False).ids
         assert pretokens.BatchEncoder(P.path(name)).encode(texts)[1].tolist() == want
+
+
+def colliding_words(n):
+    """Pairs of different 16-byte words with one hash under hashed_runs' chain."""
+    from larkspur.llm.bytewords import PRIME, hashed_runs, mixed
+
+    r = np.random.default_rng(7)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    begin = mixed(np.array([16], np.uint64) * PRIME)
+    out = []
+    while len(out) < n:
+        a1, a2, b1 = (letters[r.integers(0, len(letters), (400_000, 8))].copy() for _ in range(3))
+        s1, s2 = (mixed(begin ^ a.view("<u8").ravel()) for a in (a1, a2))
+        b2 = (s1 ^ s2 ^ b1.view("<u8").ravel()).view(np.uint8).reshape(-1, 8)
+        fit = ((b2 > 32) & (b2 < 127) & ~((b2 >= 65) & (b2 <= 90))).all(1) & (a1 != a2).any(1)
+        out += [(bytes(x) + bytes(y), bytes(z) + bytes(w)) for x, y, z, w in zip(a1[fit], b1[fit], a2[fit], b2[fit])]
+    data = np.frombuffer(b"".join(x + y for x, y in out[:n]), np.uint8)
+    h = hashed_runs(data, np.arange(2 * n) * 16, np.full(2 * n, 16))
+    assert (h[::2] == h[1::2]).all()
+    return [(x.decode(), y.decode()) for x, y in out[:n]]
+
+
+def test_words_that_share_a_hash_stay_apart():
+    pairs = colliding_words(1000)
+    seven = "one two three four five six seven"
+    m = quality_rules.measure(["\n".join(w for p in pairs for w in p), *(f"{a} {seven} {b} {seven}" for a, b in pairs)], [8])
+    assert m["n_dup_lines"].sum() == 0 and m[8][0].sum() == 0
+    for a, b in pairs[:200]:
+        x, y = dedup_near.shingle_sets([f"{a} {seven}", f"{b} {seven}"])
+        assert x.tolist() != y.tolist()
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        texts = [w for p in pairs for w in p] + ["璸林一倀 瀘辤吪嚪", "瀘辤吪嚪"]
+        want = [w.ids for w in Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+        n, ids = pretokens.BatchEncoder(P.path(name)).encode(texts)
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_results_do_not_depend_on_the_hash(monkeypatch):
+    from larkspur.llm import bytewords
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["a", "b", "ab", "x" * 90, "y" * 90]) for _ in range(60)) + "\nline one\nline two\nline one" for _ in range(8)] + random_texts(40)
+    rules = quality_rules.measure(texts, [5, 8])
+    counts = pretokens.BatchEncoder(P.path("word_bpe_49k.json")).counts(texts)
+    monkeypatch.setattr(bytewords, "hashed_runs", lambda data, starts, sizes: (sizes % 2).astype(np.uint64))
+    monkeypatch.setattr(bytewords, "mixed", lambda x: x % np.uint64(3))
+    weak = quality_rules.measure(texts, [5, 8])
+    assert all((rules[k] == weak[k]).all() for k in rules)
+    assert (pretokens.BatchEncoder(P.path("word_bpe_49k.json")).counts(texts) == counts).all()
+
+
+def test_rules_verdict_against_plain_loops():
+    r = random.Random(9)
+    rules = quality_rules.Rules()
+    texts = []
+    for _ in range(150):
+        words = [r.choice(["alpha", "be", "gamma", "é€", "#tag", "<b>"]) + (str(r.randrange(40)) if r.random() < 0.8 else "") for _ in range(r.randrange(5, 90))]
+        if r.random() < 0.5:
+            words += words[: r.randrange(1, 25)]
+        lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+        if r.random() < 0.3:
+            lines += lines[:2]
+        texts.append("\n".join(lines))
+    windows = sorted({rules.base_window, *rules.windows})
+    m = quality_rules.measure(texts, windows)
+    space = r"[^\x20\x09-\x0D]+"
+    for i, t in enumerate(texts):
+        words = re.findall(space, t)
+        for k in windows:
+            grams = [tuple(words[j : j + k]) for j in range(len(words) - k + 1)]
+            inside = {j + d for j, g in enumerate(grams) if grams.count(g) > 1 for d in range(k)}
+            assert m[k][:, i].tolist() == [len(inside), sum(len(words[j]) for j in inside)]
+        seen, again, chars = set(), 0, 0
+        for line in t.split("\n"):
+            if re.search(space, line):
+                again += line in seen
+                chars += sum(map(len, re.findall(space, line))) if line in seen else 0
+                seen.add(line)
+        assert (m["n_dup_lines"][i], m["dup_line_chars"][i]) == (again, chars)
+        assert m["n_symbols"][i] == len(re.findall(r"[#*$%&|<>]", t)) and m["word_chars"][i] == sum(map(len, words))
