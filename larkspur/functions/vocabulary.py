@@ -229,7 +229,22 @@ ROLE_LABELS, NO_ROLE_LABEL = [("אוטומציה", "automation"), ("בדיקות
 # --- the digest of the third provider, anchored in lines ---------------------------------------------------
 
 LINE_FOOTER = [r"משרות נוספות|לצפייה במשרה|לתצוגת כל המשרות|בואו לפגוש אותנו|youtube|linkedin|fb|google|apple|להסרה|דיוורים|unsubscribed@|דרושים\s*IL\s*-|מגשימים\s*1|פתח\s*תקווה"]
-LINE_GREETING = [r"^היי\s+אבנר,?$", "^יש לנו בשבילך"]
-LINE_SKIPPED = [*LINE_GREETING, r"^\d{2}/\d{2}/\d{4}$", "^המתאימות להגדרות שלך", "^התואמות להגדרות שלך", "^פורסמו בשעות האחרונות"]
+LINE_GREETING = ["^יש לנו בשבילך"]
+LINE_SKIPPED = [r"^\d{2}/\d{2}/\d{4}$", "^המתאימות להגדרות שלך", "^התואמות להגדרות שלך", "^פורסמו בשעות האחרונות"]
 LINE_JOB_TYPE = r"(?i)\s+(משרה מלאה|משרה חלקית|משמרות|עבודה היברידית|היברידית|עבודה מהבית|ללא ניסיון|ללא נסיון|אקדמאים ללא ניסיון|סטודנטים|1-2 שנים|2-3 שנים|3-4 שנים|4-5 שנים|5\+ שנים|זמנית|קבועה).*$"
 LINE_PLACES = "חיפה|קריית ביאליק|קרית ביאליק|קריית אתא|קרית אתא|בני ברק|עכו|כרמיאל|נשר|יקנעם|יוקנעם|קריות|צפון|גליל|תל אביב|רמת גן|פתח תקווה|פתח תקוה|לוד|Remote|מרחוק"
+LINE_NEW_ALERT = [r"משרות חדשות שפורסמו|יש לנו בשבילך\s+\d+\s+משרות חדשות|התואמות להגדרות שלך|המתאימות להגדרות שלך|פורסמו בשעות האחרונות"]
+LINE_BAD_ANCHOR = ["youtube|linkedin|facebook|fb|google|apple|unsubscribe|unsubscribed|הסרה|להסרה|הסר|דיוורים|privacy|terms|בואו לפגוש|לתצוגת כל המשרות|משרות נוספות"]
+LINE_BUTTONS = ["^(youtube|linkedin|fb|google|apple|link)$", "משרות נוספות|לצפייה במשרה|לתצוגת כל המשרות|בואו לפגוש"]
+LINE_TITLE_WORDS = r"דרוש|דרושה|דרוש/ה|מיישם|מטמיע|בודק|בודקת|QA|Test|Supervisor|כלכלן|כלכלנית|מפתח|מפתחת|אוטומציה|מערכות|תוכנה|Help\s*desk|Data|Back\s*Office|Developer|Engineer|כתב|כתבת|מדריך|מדריכה|טכני|טכנית"
+
+# --- result pages: what is cut from a card's lines, and where cards are looked for -------------------------
+
+UI_LINES = [
+    "הגש מועמדות", "הגשת מועמדות", "עדכון קורות החיים", "שמירת משרה", "ביטול שמירה", "מחיקת משרה", "ביטול מחיקה", "שלח לחבר", "שתף", "התחברות", "הרשמה", "משרות שלי", "חיפוש עבודה", "דרושים", "AllJobs",
+    "לוח משרות", "משרות מומלצות", "משרות חמות", "מילות מפתח", "חיפוש מתקדם", "שאלות הכנה", "שכר", "מאמרים", "עוד...", "Image:", "VIP",
+]
+ANCESTOR_CARDS = ["[data-jobid]", "[data-job-id]", "article", "li", "[class*='job']", "[class*='Job']", "[id*='job']", "[id*='Job']", "[class*='card']", "[class*='result']", "div"]
+SWEPT_CARDS = ["[data-jobid]", "[data-job-id]", "article", "li", "[class*='job']", "[class*='Job']", "[id*='job']", "[id*='Job']", "[class*='result']"]
+ANCESTOR_CARD_LENGTH, SWEPT_CARD_LENGTH = (40, 3500), (60, 3500)
+CHUNK_BORDER = r"לפני \d+ שעות|לפני \d+ ימים|לפני יום|לפני \d+ דקות"

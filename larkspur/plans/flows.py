@@ -33,6 +33,8 @@ class Wishes:
     target_roles: Sequence[str] = field(default_factory=tuple)
     skills: Sequence[str] = field(default_factory=tuple)
     exclude: Sequence[str] = field(default_factory=tuple)
+    #: First name, as mail digests greet; any one word where it isn't given.
+    first_name: str | None = None
 
 
 @dataclass(frozen=True)
@@ -82,7 +84,7 @@ def scan(landed: Mapping[str, DataFrame], stored: DataFrame, feedback: DataFrame
 
 def import_mails(mails: DataFrame, processed: DataFrame, jobs: DataFrame, feedback: DataFrame, wishes: Wishes, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(jobs with the mails' postings, the new candidates)."""
-    found = candidates(unprocessed(mails, processed, force)).withColumn("via", F.lit("Gmail"))
+    found = candidates(unprocessed(mails, processed, force), wishes.first_name).withColumn("via", F.lit("Gmail"))
     enriched = written(finalize(found.withColumn("status", F.lit("found")), wishes.profiles))
     scored = score(learning_columns(enriched, feedback), wishes.target_roles, wishes.skills, wishes.exclude)
     routed = route_to_review(scored)
