@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,13 @@ def text_of(*cs: Column, arrays: Sequence[Column] = ()) -> Column:
     return F.array_join(F.filter(parts, truthy), " ")
 
 
+def held(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are worked out once. A generator of one row stands between them and their uses, so the optimizer
+    doesn't copy a long expression into each place that reads it."""
+    kept = [n for n in rows.columns if n not in columns]
+    return rows.select(*kept, F.inline(F.array(F.struct(*(v.alias(n) for n, v in columns.items())))))
+
+
 def plain_spaces(c: Column) -> Column:
     """No-break spaces and byte-order marks as spaces; done once on ingest, since Java's \\s knows neither."""
     return F.translate(c, " ﻿", "  ")
