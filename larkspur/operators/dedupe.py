@@ -117,10 +117,12 @@ def dedupe_digest(jobs: DataFrame) -> DataFrame:
 
 
 def dedupe_mail_candidates(jobs: DataFrame) -> DataFrame:
-    """A posting beats a digest summary, one split from a digest the unsplit, then the longer description."""
+    """One split from a digest beats a plain posting, and that a digest summary (a digest that isn't split), then the longer
+    description; the first of equal ones."""
     c = F.col
     flag = lambda n: F.coalesce(c(n), F.lit(False))
-    return best_by_key(jobs, c("reviewKey"), F.struct(~flag("gmailDigest"), flag("gmailDigestSplit"), F.length(F.coalesce(c("description"), F.lit("")))))
+    kind = F.when(flag("gmailDigestSplit"), 2).when(flag("gmailDigest"), 0).otherwise(1)
+    return best_by_key(jobs, c("reviewKey"), F.struct(kind, F.length(F.coalesce(c("description"), F.lit("")))))
 
 
 def replace_by_id(dimension: DataFrame, new: DataFrame, id_cols: Sequence[str] = ("id",), name_col: str = "name") -> DataFrame:

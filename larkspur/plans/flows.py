@@ -17,6 +17,7 @@ from ..operators.joins import new_rows, scan_audit, updated_rows
 from ..operators.learning import learning_columns
 from ..operators.mail import candidates, route_to_review, unprocessed, without_replaced
 from ..operators.merge import merge_variants, upsert
+from ..operators.pages import search_results
 from ..operators.review import _key
 from ..operators.score import after_scoring, before_scoring, main_list, score
 from ..sources.providers import collected
@@ -64,11 +65,15 @@ def scored_jobs(jobs: DataFrame, feedback: DataFrame, wishes: Wishes) -> DataFra
     return after_scoring(score(learned, wishes.target_roles, wishes.skills, wishes.exclude))
 
 
-def scan(landed: Mapping[str, DataFrame], stored: DataFrame, feedback: DataFrame, wishes: Wishes, now: Column) -> Scan:
+def scan(landed: Mapping[str, DataFrame], stored: DataFrame, feedback: DataFrame, wishes: Wishes, now: Column, pages: DataFrame | None = None, details: DataFrame | None = None) -> Scan:
     """Landed rows to postings: enrich, merge variants, score once, main list, audit, upsert into stored.
 
-    stored: the table at the start of the run, with job_key and unique by it.
+    stored: the table at the start of the run, with job_key and unique by it. pages, details: landed search pages of the
+    "alljobs" provider and their postings' detail pages (see operators.pages.search_results), beside or instead of its rows.
     """
+    if pages is not None:
+        found = search_results(pages, details)
+        landed = {**landed, "alljobs": landed["alljobs"].unionByName(found, allowMissingColumns=True) if "alljobs" in landed else found}
     postings = finalize(collected(landed, now), wishes.profiles).where(c("status") != "skipped")
     merged = written(merge_variants(written(numbered(postings)), real_location, blocked_location).drop("position"))
     scored = scored_jobs(merged, feedback, wishes).withColumn("job_key", merge_key(c("title"), c("company"), c("location"), c("url"), c("id")))

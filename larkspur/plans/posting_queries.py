@@ -225,8 +225,10 @@ def dedupe_digest_key(spark, sf_dir):
     return dedupe.dedupe_digest(AUDIT.rows(spark, sf_dir).withColumns({"ingest_seq": c("k"), "description": c("title")})).select("k")
 
 
-@_query(f"""with v as (select k, title as key, coalesce(kept, false) as digest, k % 4 = 1 as split, length(company) as len from ({AUDIT.sql})),
-x as (select *, row_number() over (partition by key order by digest, split desc, coalesce(len, 0) desc, k) as rn from v) select k from x where rn = 1""")
+# the pairwise rule of replacing, folded in input order
+@_query(f"""with v as (select k, title as key, coalesce(kept, false) as digest, k % 4 = 1 as split, coalesce(length(company), 0) as len from ({AUDIT.sql})),
+g as (select list({{'k': k, 'd': digest and not split, 's': split, 'n': len}} order by k) as rows from v where key <> '' group by key)
+select list_reduce(rows, lambda a, b: case when (a.d and not b.d) or (not a.s and b.s) or (a.d = b.d and a.s = b.s and b.n > a.n) then b else a end).k as k from g""")
 def dedupe_mail_candidates(spark, sf_dir):
     rows = AUDIT.rows(spark, sf_dir).select("k", c("k").alias("ingest_seq"), c("title").alias("reviewKey"), c("kept").alias("gmailDigest"), (c("k") % 4 == 1).alias("gmailDigestSplit"), c("company").alias("description"))
     return dedupe.dedupe_mail_candidates(rows).select("k")
