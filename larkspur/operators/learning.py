@@ -1,11 +1,14 @@
 """Learning from feedback: how earlier decisions on similar postings move a score.
 
-The last 400 feedback rows, a bounded number, become one array that is broadcast to all postings, and a
-higher-order function runs over it in log order, so sums of fractions come out alike every time.
+The last 400 feedback rows, a bounded number, become codes and 0/1 matrices that each task gets, and Arrow batches of
+postings are compared with all of them at once; points are added in log order, so sums of fractions come out
+alike every time.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +20,6 @@ _TEXT = ("title", "company", "location", "locationKey", "description", "source",
 _TITLE = ("title", "sourceQuery", "roleFamily", "roleType", "roleProfileName")
 
 
-def _same(a: Column, b: Column) -> Column:
-    """Equal normalized texts, both there; the columns are normalized already."""
-    return truthy(a) & truthy(b) & (a == b)
-
-
 def _fields(rows: DataFrame) -> dict[str, Column]:
     has = lambda n: F.col(n) if n in rows.columns else F.lit("")
     plain = {n: normalized(has(n)) for n in ("company", "location", "locationKey", "roleType", "roleProfileId")}
@@ -38,48 +36,120 @@ def feedback_tail(feedback: DataFrame, last: int = LAST, order: tuple[str, ...]
     return recent.agg(F.array_sort(F.collect_list(item)).alias("log"))
 
 
+class _Log:
+    """The log's rows as columns of codes and 0/1 matrices, so that a batch of postings meets all of them at once."""
+
+    SAME = ("company", "location", "locationKey", "roleType", "roleProfileId", "source")
+    LIKENESS = (("company", 0.5), ("locationKey", 0.45), ("roleType", 0.55), ("roleProfileId", 0.65), ("source", 0.25))
+    #: Postings that are compared at a time.
+    STEP = 500
+
+    def __init__(self, log: list[dict]):
+        self.n = len(log)
+        self.ids = self._codes([x["job_id"] for x in log])
+        self.same = {f: self._codes([x[f] or None for x in log]) for f in self.SAME}
+        self.reasons = list(V.REJECTION_REASONS)
+        self.reason = np.array([self.reasons.index(x["reason"]) if x["reason"] else -1 for x in log], int)
+        self.penalty = np.array([float(V.REJECTION_REASONS[x["reason"]][1]) if x["reason"] else 0.0 for x in log])
+        self.weight = np.array([x["weight"] for x in log], float)
+        self.words = {f: self._matrix([x[f] for x in log]) for f in ("words", "title_words")}
+
+    @staticmethod
+    def _codes(values: list) -> tuple[dict, np.ndarray]:
+        known: dict = {}
+        return known, np.array([-1 if v is None else known.setdefault(v, len(known)) for v in values], int)
+
+    @staticmethod
+    def _matrix(rows: list[list[str]]) -> tuple[dict, np.ndarray]:
+        known: dict = {}
+        at = [(known.setdefault(w, len(known)), i) for i, words in enumerate(rows) for w in words]
+        out = np.zeros((len(known), len(rows)), np.float32)
+        if at:
+            out[tuple(np.array(at).T)] = 1
+        return known, out
+
+    def _equal(self, field: str, values: list) -> np.ndarray:
+        """(postings, log): both there and equal."""
+        known, codes = self.ids if field == "id" else self.same[field]
+        mine = np.array([known.get(v, -2) if v is not None and v != "" or field == "id" else -2 for v in values], int)
+        return mine[:, None] == codes
+
+    def _shared(self, field: str, rows: list) -> np.ndarray:
+        """(postings, log): how many words both have."""
+        known, theirs = self.words[field]
+        mine = np.zeros((len(rows), len(known)), np.float32)
+        for i, words in enumerate(rows):
+            mine[i, [known[w] for w in words if w in known]] = 1
+        return mine @ theirs
+
+    def effects(self, j: dict[str, list]) -> tuple[np.ndarray, list[list[str]]]:
+        """Sum of the points of each posting in log order, and its distinct warnings in that order."""
+        n = len(j["id"])
+        own = self._equal("id", j["id"])
+        own |= np.array([v is None for v in j["id"]], bool)[:, None] & (self.ids[1] < 0)
+        same = {f: self._equal(f, j[f]) for f in self.SAME}
+        place = np.array([bool(x) and x not in V.GENERIC_PLACES for x in j["location"]], bool)[:, None]
+        hit = np.zeros((n, len(self.reasons) + 1), bool)  # the last column stands for no reason
+        for i, told in enumerate(j["hit"]):
+            hit[i, [self.reasons.index(x) for x in told]] = True
+        by_text = hit[:, self.reason]
+        by_place = (self.reason == self.reasons.index("location")) & (same["locationKey"] | same["location"]) & place
+        by_role = (self.reason == self.reasons.index("wrong_role")) & ((self._shared("title_words", j["title_words"]) >= 2) | same["roleType"])
+        fired = by_text | by_place | by_role
+        likeness = np.zeros((n, self.n))
+        for f, part in self.LIKENESS:
+            likeness += np.where(same[f], part, 0.0)
+        overlap = self._shared("words", j["words"]).astype(float)
+        local = np.minimum(np.abs(self.weight), overlap * 1.4) + np.where(same["location"] & place, 2.0, 0.0) + np.where(same["source"], 1.0, 0.0)
+        similar = self.weight * np.minimum(1.2, likeness) + np.where((overlap >= 2) & (self.weight != 0), np.sign(self.weight) * local, 0.0)
+        points = np.where(own, 0.0, np.where(fired, self.penalty, similar))
+        total = np.cumsum(points, axis=1)[:, -1] if self.n else np.zeros(n)
+        fired &= ~own
+        warnings: list[list[str]] = []
+        for i in range(n):
+            at = np.flatnonzero(fired[i])
+            told = (self._warning(self.reason[k], by_text[i, k], by_place[i, k], j["place"][i]) for k in at)
+            warnings.append(list(dict.fromkeys(w for w in told if w is not None)))
+        return total, warnings
+
+    def _warning(self, reason: int, by_text: bool, by_place: bool, place: str | None) -> str | None:
+        if by_text:
+            return f"למידה: בעבר פסלת משרות עם מאפיין דומה — {V.REJECTION_REASONS[self.reasons[reason]][0]}."
+        if by_place:
+            return None if place is None else f"למידה: בעבר פסלת מיקום דומה ({place})."
+        return "למידה: בעבר פסלת תפקיד דומה."
+
+
 def learning_columns(jobs: DataFrame, feedback: DataFrame) -> DataFrame:
-    """jobs with learning_adjustment (-32..22), learning_reasons (at most 3) and learning_warnings (at most 6)."""
+    """jobs with learning_adjustment (-32..22), learning_reasons (at most 3) and learning_warnings (at most 6).
+
+    The last LAST feedback rows, a bounded number, are read by the driver and go to the tasks; a batch of postings meets them
+    by products of 0/1 matrices for shared words and by codes for equal fields. Postings don't shuffle. An empty log gives 0.
+    """
     text = text_of(*(F.col(n) for n in _TEXT if n in jobs.columns))
-    hit = {k: matches(text, *p) if p else F.lit(False) for k, (_, _, p) in V.REJECTION_REASONS.items()}
+    hit = {k: matches(text, *p) for k, (_, _, p) in V.REJECTION_REASONS.items() if p}
     hit["customer_service"] = hit["customer_service"] & (~matches(text, *V.SUPPORT_EVIDENCE) | matches(text, *V.SERVICE_EVIDENCE))
-    rows = jobs.withColumn("j_", F.struct(*(v.alias(k) for k, v in _fields(jobs).items()), F.create_map(*(x for k, v in hit.items() for x in (F.lit(k), v))).alias("hit")))
-    rows = rows.crossJoin(F.broadcast(feedback_tail(feedback)))  # one row
-    j = {k: F.col(f"j_.{k}") for k in ("company", "location", "locationKey", "roleType", "roleProfileId", "source", "words", "title_words", "hit")}
-    generic = ~truthy(j["location"]) | j["location"].isin(V.GENERIC_PLACES)
-    penalty = F.create_map(*(x for k, (_, p, _) in V.REJECTION_REASONS.items() for x in (F.lit(k), F.lit(float(p)))))
-    label = F.create_map(*(x for k, (name, _, _) in V.REJECTION_REASONS.items() for x in (F.lit(k), F.lit(name))))
-
-    def effect(x: Column) -> Column:
-        by_text = F.coalesce(j["hit"][x["reason"]], F.lit(False))
-        by_place = (x["reason"] == "location") & (_same(x["locationKey"], j["locationKey"]) | _same(x["location"], j["location"])) & ~generic
-        by_role = (x["reason"] == "wrong_role") & ((F.size(F.array_intersect(j["title_words"], x["title_words"])) >= 2) | _same(x["roleType"], j["roleType"]))
-        warning = (
-            F.when(by_text, F.concat(F.lit("למידה: בעבר פסלת משרות עם מאפיין דומה — "), label[x["reason"]], F.lit(".")))
-            .when(by_place, F.concat(F.lit("למידה: בעבר פסלת מיקום דומה ("), F.col("location"), F.lit(").")))
-            .when(by_role, F.lit("למידה: בעבר פסלת תפקיד דומה."))
-        )
-        fired = F.coalesce(by_text | by_place | by_role, F.lit(False))
-        share = lambda name, part: F.when(_same(x[name], j[name]), part).otherwise(0.0)
-        likeness = share("company", 0.5) + share("locationKey", 0.45) + share("roleType", 0.55) + share("roleProfileId", 0.65) + share("source", 0.25)
-        direct = x["weight"] * F.least(F.lit(1.2), likeness)
-        overlap = F.size(F.array_intersect(j["words"], x["words"]))
-        local = F.least(F.abs(x["weight"]), overlap * 1.4) + F.when(_same(x["location"], j["location"]) & ~generic, 2.0).otherwise(0.0) + F.when(_same(x["source"], j["source"]), 1.0).otherwise(0.0)
-        similar = direct + F.when((overlap >= 2) & (x["weight"] != 0), F.signum(x["weight"]) * local).otherwise(0.0)
-        return F.struct(F.when(fired, penalty[x["reason"]]).otherwise(similar).alias("points"), F.when(fired, warning).alias("warning"))
-
-    others = F.filter(F.coalesce(F.col("log"), F.array()), lambda x: ~x["job_id"].eqNullSafe(F.col("id")))
-    rows = rows.withColumn("effects_", F.transform(others, effect))
-    total = F.aggregate("effects_", F.lit(0.0), lambda a, x: a + x["points"])
-    rows = rows.withColumn("learning_adjustment", clamped(rounded(total), -32, 22).cast("double"))
+    fields = _fields(jobs) | {"id": F.col("id").cast("string"), "place": F.col("location").cast("string"), "hit": F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in hit.items())))}
+    row = feedback_tail(feedback).first()
+    log = _Log([x.asDict() for x in (row.log if row and row.log else [])])
+    names = list(fields)
+
+    def meet(*columns: pd.Series) -> pd.DataFrame:
+        parts = [(np.zeros(0), [])]
+        for k in range(0, len(columns[0]), log.STEP):
+            parts.append(log.effects({n: x.iloc[k : k + log.STEP].tolist() for n, x in zip(names, columns)}))
+        return pd.DataFrame({"total": np.concatenate([p[0] for p in parts]), "told": [w for p in parts for w in p[1]]})
+
+    met = F.pandas_udf(meet, "total double, told array<string>")
+    rows = jobs.withColumn("met_", met(*fields.values()))
+    rows = rows.withColumn("learning_adjustment", clamped(rounded(F.col("met_.total")), -32, 22).cast("double"))
     whole = F.col("learning_adjustment").cast("int").cast("string")
-    told = F.array_compact(F.transform("effects_", lambda x: x["warning"]))
     up = F.when(F.col("learning_adjustment") >= 4, F.concat(F.lit("למידה: משרות דומות נשמרו או סומנו כהוגשו בעבר (+"), whole, F.lit(").")))
     down = F.when(F.col("learning_adjustment") <= -4, F.concat(F.lit("למידה: משרות דומות נדחו בעבר ("), whole, F.lit(").")))
     return rows.withColumns({
         "learning_reasons": F.array_compact(F.array(up)),
-        "learning_warnings": F.slice(F.array_distinct(F.array_compact(F.concat(told, F.array(down)))), 1, 6),
-    }).drop("j_", "log", "effects_")
+        "learning_warnings": F.slice(F.array_distinct(F.array_compact(F.concat(F.col("met_.told"), F.array(down)))), 1, 6),
+    }).drop("met_")
 
 
 def feedback_rows(jobs: DataFrame, action: str, at: Column, reason: str | None = None) -> DataFrame:

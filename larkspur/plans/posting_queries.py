@@ -144,9 +144,9 @@ LIKE = Made("part", "p_partkey", [
 
 
 @_query(f"""with l as (select *, {_WEIGHT} as w, "rejectionReason" as rr from ({LOG.sql}) order by k desc limit 400), j as (select *, cast(k % 9 as varchar) as id, lower(trim(company)) as co from ({LIKE.sql})),
-e as (select j.k, case when l.rr = 'shifts' and false then 0 else w * least(1.2, case when co <> '' and co = lower(l.company) then 0.5 else 0 end + case when j."locationKey" = l."locationKey" then 0.45 else 0 end
+e as (select j.k, w * least(1.2, case when co <> '' and co = lower(l.company) then 0.5 else 0 end + case when j."locationKey" = l."locationKey" then 0.45 else 0 end
   + case when j."roleType" = l."roleType" then 0.55 else 0 end + case when j."roleProfileId" = l."roleProfileId" then 0.65 else 0 end + case when j.source = l.source then 0.25 else 0 end)
-  + case when w <> 0 and o >= 2 then sign(w) * (least(abs(w), o * 1.4) + case when j.location = l.location and j.location <> 'Israel' then 2 else 0 end + case when j.source = l.source then 1 else 0 end) else 0 end end as points
+  + case when w <> 0 and o >= 2 then sign(w) * (least(abs(w), o * 1.4) + case when j.location = l.location and j.location <> 'Israel' then 2 else 0 end + case when j.source = l.source then 1 else 0 end) else 0 end as points
   from (select j.*, l.k as lk, len(list_intersect(list_filter(list_distinct([lower(coalesce(j.company, '')), lower(coalesce(j.location, '')), coalesce(j."locationKey", ''), lower(j.source), lower(j."roleType")]), lambda x: len(trim(x)) >= 3),
     list_distinct([lower(l.company), lower(l.location), coalesce(l."locationKey", ''), lower(l.source), lower(l."roleType"), split_part(l.title, ' ', 1), split_part(l.title, ' ', 2)]))) as o from j cross join l) j join l on l.k = j.lk where l."jobId" <> j.id)
 select j.k, coalesce(cast(greatest(-32, least(22, floor((select sum(points) from e where e.k = j.k) + 0.5))) as double), 0) as learning_adjustment from j""".replace("lower(coalesce(j.company, ''))", "lower(trim(coalesce(j.company, '')))"))
@@ -155,6 +155,39 @@ def learning_adjustment(spark, sf_dir):
     return learning.learning_columns(jobs, _log(spark, sf_dir)).select("k", "learning_adjustment")
 
 
+#: A log and postings that set off the rules of reasons: by text, place and role, each also where it must not.
+REASONED = Made("events", "event_id", [
+    ("jobId", "string", 1, ["1", "2", "3", "4", "5", "6"]), ("action", "string", 1, ["rejected", "saved", "deleted", "not_relevant", "applied"]), ("rejectionReason", "string", 1, ["shifts", "location", "wrong_role", "", None, "sales", "bogus"]),
+    ("title", "string", 2, ["zebra clerk", "heron keeper", "otter", ""]), ("company", "string", 3, ["Acme", ""]), ("location", "string", 3, ["Haifa", "Israel", "Nesher", ""]), ("locationKey", "string", 3, ["haifa", None, "nesher", ""]), ("source", "string", 11, ["Drushim", "AllJobs"]),
+    ("roleType", "string", 5, ["implementer", "", "tester"]), ("roleProfileId", "string", 17, [None, "p1"]), ("description", "string", 7, ["calm river words", "night desk", None]),
+])
+JUDGED = Made("part", "p_partkey", [
+    ("title", "string", 1, ["zebra clerk", "otter keeper", "heron", "zebra heron keeper", ""]), ("company", "string", 3, ["Acme", "Cord", ""]), ("location", "string", 2, ["Haifa", "Israel", "nesher", None, ""]), ("locationKey", "string", 2, ["haifa", "haifa", "nesher", None, ""]), ("source", "string", 5, ["Drushim", "Matrix"]),
+    ("roleType", "string", 7, ["implementer", "other", ""]), ("roleProfileId", "string", 11, [None, "p1"]), ("description", "string", 1, ["calm river", "night work", "sales of night", None]),
+])
+_SAY = {"shifts": "למידה: בעבר פסלת משרות עם מאפיין דומה — משמרות / לילות / סופי שבוע.", "sales": "למידה: בעבר פסלת משרות עם מאפיין דומה — מכירות / ביזנס מדי.", "wrong_role": "למידה: בעבר פסלת תפקיד דומה."}
+_WORDS = lambda t, *fs: "list_distinct(list_filter(string_split(lower(concat_ws(' ', " + ", ".join(f"{t}.\"{f}\"" for f in fs) + ")), ' '), lambda x: len(x) >= 3))"
+_ALL_WORDS, _TITLE_WORDS = ("title", "company", "location", "locationKey", "description", "source", "roleType"), ("title", "roleType")
+
+
+@_query(f"""with l as (select *, {_WEIGHT} as w, nullif("rejectionReason", '') as rr from ({REASONED.sql}) order by k desc limit 400), j as (select *, cast(k % 9 as varchar) as id from ({JUDGED.sql})),
+w as (select l.k as lk, {_WORDS('l', *_ALL_WORDS)} as lw, {_WORDS('l', *_TITLE_WORDS)} as lt from l), v as (select j.k as jk, {_WORDS('j', *_ALL_WORDS)} as jw, {_WORDS('j', *_TITLE_WORDS)} as jt from j),
+p as (select j.k, l.k as lk, l.rr, l.w, len(list_intersect(jw, lw)) as o, j.location as place,
+  coalesce(l.rr = 'shifts' and contains(j.description, 'night'), false) or coalesce(l.rr = 'sales' and contains(j.description, 'sales'), false) as by_text,
+  coalesce(nullif(j.company, '') = nullif(l.company, ''), false) as co, coalesce(nullif(lower(j.location), '') = nullif(lower(l.location), ''), false) as lo, coalesce(nullif(j."locationKey", '') = nullif(l."locationKey", ''), false) as lk_, coalesce(nullif(j."roleType", '') = nullif(l."roleType", ''), false) as ro,
+  coalesce(j."roleProfileId" = l."roleProfileId", false) as pr, j.source = l.source as so, coalesce(lower(j.location), '') not in ('', 'israel') as real_, len(list_intersect(jt, lt)) >= 2 as tw
+  from j cross join l join w on w.lk = l.k join v on v.jk = j.k where l."jobId" <> j.id),
+e as (select *, case when by_text then case rr when 'shifts' then '{_SAY["shifts"]}' else '{_SAY["sales"]}' end when rr = 'location' and (lk_ or lo) and real_ then 'למידה: בעבר פסלת מיקום דומה (' || place || ').' when rr = 'wrong_role' and (tw or ro) then '{_SAY["wrong_role"]}' end as said,
+  case when o >= 2 and w <> 0 then sign(w) * (least(abs(w), o * 1.4) + case when lo and real_ then 2 else 0 end + case when so then 1 else 0 end) else 0 end + w * least(1.2, case when co then 0.5 else 0 end + case when lk_ then 0.45 else 0 end + case when ro then 0.55 else 0 end + case when pr then 0.65 else 0 end + case when so then 0.25 else 0 end) as alike from p),
+t as (select k, greatest(-32, least(22, floor(sum(case when said is null then alike when rr = 'wrong_role' then -16 else -18 end) + 0.5))) as total from e group by k),
+s as (select k, string_agg(said, '|' order by first_lk) as told from (select k, said, min(lk) as first_lk from e where said is not null group by all) group by k)
+select k, cast(total as double) as learning_adjustment, coalesce(told, '') || case when total <= -4 then case when told is null then '' else '|' end || 'למידה: משרות דומות נדחו בעבר (' || cast(cast(total as integer) as varchar) || ').' else '' end as warnings from t left join s using (k)""")
+def learning_rules(spark, sf_dir):
+    log = REASONED.rows(spark, sf_dir).withColumns({"createdAt": c("k"), "id": c("k").cast("string")})
+    jobs = JUDGED.rows(spark, sf_dir).withColumn("id", (c("k") % 9).cast("string"))
+    return learning.learning_columns(jobs, log).select("k", "learning_adjustment", F.array_join("learning_warnings", "|").alias("warnings"))
+
+
 #: An audit, and what people saved and handled.
 AUDIT = Made("part", "p_partkey", [
     ("title", "string", 3, ["One", "Two", "Three", "Four", "Five"]), ("company", "string", 7, ["Acme", "Bolt", None]), ("location", "string", 2, ["Haifa", "Lod", "Nesher"]), ("locationKey", "string", 2, ["haifa", "lod", "nesher"]), ("url", "string", 1, ["", "https://x.example/?JobID=7", None]),
