@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -87,15 +87,32 @@ def met(rows: DataFrame, facts: DataFrame, keys: list[tuple[str, str]], add: lis
     return there.unionByName(rest.select(*rows.columns, *add))
 
 
-#: Row numbers that may be broadcast; more of them are joined by a shuffle.
+#: Ids that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Row numbers of one bitmap, and bitmaps of 4 KB that may be broadcast, 64 MB: those of 500 million rows where parts are large.
+MAP_ROWS = 32_768
+BROADCAST_MAPS = 16_384
+
+
+def is_set(bits: Column, at: Column) -> Column:
+    """Whether bit `at` of a bitmap is set; a null bitmap has none."""
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
 def without(rows: DataFrame, row_no: str, dropped: DataFrame) -> DataFrame:
-    """rows but those whose row_no is in dropped (one column); up to BROADCAST_IDS numbers of 8 bytes are broadcast."""
-    dropped = saved(dropped.toDF(new_name(rows, "dropped_row")))
-    few = dropped.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(dropped) if few else dropped, F.col(row_no) == F.col(dropped.columns[0]), "left_anti")
+    """rows but those whose row_no, from monotonically_increasing_id, is in dropped (one column).
+
+    Dropped numbers become bitmaps, a bit for each row of a run of MAP_ROWS; up to BROADCAST_MAPS of them are broadcast and
+    rows stay where they are. More of them meet the rows by a shuffle.
+    """
+    at, its, bits = (new_name(rows, x) for x in ("map_no", "map_of", "map_bits"))
+    number = dropped.toDF("n")
+    maps = saved(number.groupBy(F.expr(f"n div {MAP_ROWS}").alias(at)).agg(F.expr(f"bitmap_construct_agg(n % {MAP_ROWS})").alias(bits)))
+    few = maps.count() <= BROADCAST_MAPS
+    of = maps.withColumnRenamed(at, its)
+    met_rows = rows.withColumn(at, F.expr(f"`{row_no}` div {MAP_ROWS}")).join(F.broadcast(of) if few else of, F.col(at) == F.col(its), "left")
+    return met_rows.where(~is_set(F.col(bits), F.col(row_no) % MAP_ROWS)).select(*rows.columns)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:

@@ -3,21 +3,24 @@
 Pass 1 sets, for each row, `HASHES` bits of a filter by the hash of its normalised text, and keeps the
 bits that were set twice. In pass 2 a row whose bits are not all among those is alone and passes
 straight through; only the others shuffle, with counts and smallest ids pre-aggregated before.
-The filter grows with the rows, so it is as good at every size; it is broadcast up to a fixed size, and
-beyond it each part of it meets the rows that ask that part.
+The filter grows with the rows, so it is as good at every size. It is made of slices of at most 64 MB (33.5
+million rows), all bits of a row lie in one slice, and slices are broadcast one after another, each deciding
+the rows that ask it where they are. What pass 1 shuffles are up to two (bit, count) pairs a row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import met, new_name, saved, without
+from .cluster import is_set, met, new_name, saved, without
 
 HASHES = 2
 #: Bits of one filter row; what bitmap_construct_agg gathers in one group.
 ROW_BITS = 32_768
-#: Filter rows that may be broadcast, of 4 KB each: 64 MB.
+#: Filter rows of a slice, which is broadcast, of 4 KB each: 64 MB.
 BROADCAST_ROWS = 16_384
 
 
@@ -31,49 +34,59 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
 
 
-def _bit(key: str, bits: int, i: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits))
-
+def _slice(key: str, slices: int) -> Column:
+    """The slice of the filter that a row asks."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(HASHES)), F.lit(slices)).cast("int")
 
-def repeated_bits(rows: DataFrame, key: str, bits: int) -> DataFrame:
-    """(filter_row, filter_bits, hits): the bits that two rows or more set, ROW_BITS to a row of 4 KB, and how many
-    times rows ask it. Tasks add up their own first, so copies shuffle once a task."""
-    hit = rows.select(F.explode(F.array(*(_bit(key, bits, i) for i in range(HASHES)))).alias("bit"))
-    hit = hit.groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
-    row = hit.groupBy(F.expr(f"bit div {ROW_BITS}").alias("filter_row"))
-    return row.agg(F.expr(f"bitmap_construct_agg(bit % {ROW_BITS}) filter (where n > 1)").alias("filter_bits"), F.sum("n").alias("hits"))
 
+def _bit(key: str, bits: int, i: int) -> Column:
+    """The row's bit i in its slice of so many bits."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits))
 
-def _is_set(bits: Column, at: Column) -> Column:
-    """Whether bit `at` of a bitmap is set; a null bitmap has none."""
-    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
+def repeated_bits(rows: DataFrame, key: str, bits: int, slices: int) -> DataFrame:
+    """(part, filter_row, filter_bits): of each slice the bits that two rows or more set, ROW_BITS to a row of 4 KB.
+    Tasks add up their own first, so copies shuffle once a task."""
+    hit = rows.select(_slice(key, slices).alias("part"), F.explode(F.array(*(_bit(key, bits, i) for i in range(HASHES)))).alias("bit"))
+    hit = hit.groupBy("part", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    row = hit.groupBy("part", F.expr(f"bit div {ROW_BITS}").alias("filter_row"))
+    return row.agg(F.expr(f"bitmap_construct_agg(bit % {ROW_BITS})").alias("filter_bits"))
 
-def maybe_repeated(rows: DataFrame, key: str, bits: int, flag: str, n: int) -> DataFrame:
-    """rows with flag: false only if no other row has the same key.
 
-    A filter of up to BROADCAST_ROWS rows of 4 KB is broadcast. Of a larger one, rows that many ask are, and the
-    others meet the rows that ask them by a shuffle.
-    """
-    found, out = repeated_bits(rows, key, bits), rows
-    whole = bits <= ROW_BITS * BROADCAST_ROWS
-    if not whole:
-        found = saved(found)
+def _asked(rows: DataFrame, found: DataFrame, key: str, bits: int, flag: str) -> DataFrame:
+    """rows of one slice with flag, by a broadcast of that slice's filter rows; the rows stay where they are."""
+    out = rows
     for i in range(HASHES):
         at, row, has = new_name(rows, f"bit_{i}"), new_name(rows, f"filter_row_{i}"), new_name(rows, f"filter_bits_{i}")
-        side = found.select(F.col("filter_row").alias("of_row"), F.col("filter_bits").alias(has), "hits")
         out = out.withColumn(at, _bit(key, bits, i)).withColumn(row, F.expr(f"`{at}` div {ROW_BITS}"))
-        if whole:
-            one = new_name(out, "of_row")
-            out = out.join(F.broadcast(side.select(F.col("of_row").alias(one), has)), F.col(row) == F.col(one), "left").drop(one)
-        else:
-            out = met(out, side, [(row, "of_row")], [has], "hits", n * HASHES, "left")
-        test = _is_set(F.col(has), F.col(at) % ROW_BITS)
+        one = new_name(out, "of_row")
+        out = out.join(F.broadcast(found.select(F.col("filter_row").alias(one), F.col("filter_bits").alias(has))), F.col(row) == F.col(one), "left").drop(one)
+        test = is_set(F.col(has), F.col(at) % ROW_BITS)
         out = out.withColumn(flag, test if i == 0 else F.col(flag) & test).drop(at, row, has)
     return out
 
 
+def maybe_repeated(rows: DataFrame, key: str, n: int, bits_per_row: int, flag: str) -> DataFrame:
+    """rows with flag: false only if no other row has the same key. n: how many rows there are.
+
+    Up to BROADCAST_ROWS filter rows are one slice. Where there are more, the rows are written once and each slice's
+    are decided and written by a job of their own, so only one slice is in memory and no row shuffles.
+    """
+    most = ROW_BITS * BROADCAST_ROWS
+    slices = max(1, -(-n * bits_per_row // most))
+    bits = ROW_BITS
+    while bits * slices < n * bits_per_row:
+        bits *= 2
+    bits = min(bits, most)
+    if slices == 1:
+        return _asked(rows, repeated_bits(rows, key, bits, 1), key, bits, flag)
+    part = new_name(rows, "part")
+    rows = saved(rows.withColumn(part, _slice(key, slices)))
+    found = saved(repeated_bits(rows, key, bits, slices))
+    done = [saved(_asked(rows.where(F.col(part) == s), found.where(F.col("part") == s), key, bits, flag).drop(part)) for s in range(slices)]
+    return reduce(DataFrame.unionByName, done)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", key_col: str | None = None, text_col: str = "text", bits_per_row: int = 16) -> DataFrame:
     """docs with text_sha256, keep_id (id of the row that stays), group_size and kept; one row per input row.
 
@@ -90,10 +103,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", key_col: str | None = N
     rid, flag, of_id = new_name(docs, "row_no"), new_name(docs, "maybe"), new_name(docs, "of_id")
     base = docs.select(*(docs[c] for c in carried), key.alias("text_sha256"), docs[id_col].alias(of_id)).withColumn(rid, F.monotonically_increasing_id())
     n = docs.select(F.lit(1)).count()
-    bits = ROW_BITS
-    while bits < n * bits_per_row:
-        bits *= 2
-    flagged = maybe_repeated(base, "text_sha256", bits, flag, n)
+    flagged = maybe_repeated(base, "text_sha256", n, bits_per_row, flag)
     alone = flagged.where(~F.col(flag)).select(*carried, "text_sha256", F.col(of_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     several = flagged.where(flag).drop(flag)
     first = F.min(F.struct(F.col(of_id).isNull().alias("none"), F.col(of_id).alias("id"), F.col(rid).alias("row")))

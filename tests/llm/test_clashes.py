@@ -125,3 +125,14 @@ def test_shards_of_the_query(spark):
         assert r["size"] == len(text[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) and r["law"] == "rows"
     assert set(slots) == set(range(16)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_rows_are_dropped_by_number(spark, monkeypatch):
+    rows = spark.range(0, 5000, 1, 3).withColumn("row_no", F.monotonically_increasing_id()).withColumn("map_no", F.lit(1))
+    dropped = rows.where("id % 7 = 0 or id between 1700 and 2100").select("row_no")
+    want = sorted(i for i in range(5000) if i % 7 and not 1700 <= i <= 2100)
+    for most in (cluster.BROADCAST_MAPS, 0):
+        monkeypatch.setattr(cluster, "BROADCAST_MAPS", most)
+        got = cluster.without(rows, "row_no", dropped)
+        assert got.columns == rows.columns and sorted(r.id for r in got.collect()) == want
+        assert cluster.without(rows, "row_no", dropped.limit(0)).count() == 5000

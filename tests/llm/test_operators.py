@@ -99,10 +99,18 @@ def test_exact_dedup(spark, docs, monkeypatch):
         assert r["text_sha256"] == norm(r["text"]) and r["group_size"] == len(ids) and r["keep_id"] == (min(known) if known else None)
         assert not r["kept"] or r["doc_id"] == r["keep_id"]
     assert dedup_exact.exact_dedup(docs.limit(0)).count() == 0
-    for rows_sent in (1, 0):  # the filter as a broadcast, and as a shuffled table
-        monkeypatch.setattr(dedup_exact, "BROADCAST_ROWS", rows_sent)
-        again = dedup_exact.exact_dedup(docs, bits_per_row=1).collect()
+    again = dedup_exact.exact_dedup(docs, bits_per_row=1).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, rows))
+    monkeypatch.setattr(dedup_exact, "BROADCAST_ROWS", 1)  # a filter of many slices
+    monkeypatch.setattr(dedup_exact, "ROW_BITS", 8)
+    for bits in (1, 16):
+        assert docs.count() * bits > 8
+        again = dedup_exact.exact_dedup(docs, bits_per_row=bits).collect()
         assert sorted(map(repr, again)) == sorted(map(repr, rows))
+    keyed = docs.select("doc_id", dedup_exact.text_sha256(docs["text"]).alias("key"))
+    flagged = dedup_exact.maybe_repeated(keyed, "key", docs.count(), 1, "maybe")
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" in plan, "no row moves, whatever the size of the filter"
 
 
 def test_near_dedup(spark, docs):
