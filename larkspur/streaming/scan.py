@@ -7,7 +7,7 @@ batch is read again and the keyed upsert makes it harmless.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedupe import last_by_key
 from ..sources.tables import written
+from ..sources.versions import VersionedTable
 
 
 def landed_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1, fmt: str = "json") -> DataFrame:
@@ -28,12 +29,12 @@ def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame
     return (writer.queryName(name) if name else writer).start()
 
 
-def table_upsert(table: str, key: str, prepare: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """A batch writer that merges prepared rows into a table of key buckets: table/v=N/bucket=B, the newest of a bucket is valid.
+def table_upsert(table: str, key: str, prepare: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 64, keep: int = 20) -> Callable[[DataFrame, int], None]:
+    """A batch writer that merges prepared rows into a versioned table of key buckets (see sources.versions).
 
     Only buckets that a batch touches are read and written, so a batch costs what it changes; choose buckets
     for the table's size. Of a batch's rows with one key the last counts, by ingest_seq or as they come. A
-    batch writes its version under its own number, so writing it again replaces the same folder.
+    batch that is written again starts from what was there before it. The last `keep` versions stay readable.
     """
     of_key = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
@@ -44,38 +45,19 @@ def table_upsert(table: str, key: str, prepare: Callable[[DataFrame], DataFrame]
         rows = rows if seq == "ingest_seq" else rows.withColumn(seq, F.monotonically_increasing_id())
         rows = written(last_by_key(rows, F.col(key), seq).select([x for x in rows.columns if x != "place_in_batch_"]))
         touched = [r[0] for r in rows.select(of_key).distinct().collect()]  # at most `buckets`
-        old = newest(spark, table, before=number, only=touched)
-        merged = (rows if old is None else merge(old, rows)).withColumn("bucket", of_key)
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={number:08d}")
+        store = VersionedTable(spark, table)
+        base = store.before(number)
+        old = store.read(base, touched)
+        store.add((rows if old is None else merge(old, rows)).withColumn("bucket", of_key), base, number)
+        store.expire(keep)
 
     return write
 
 
-def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
-    """Numbers of the folders name=N in path."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    found = [status.getPath().getName() for status in fs.listStatus(hadoop)]
-    return sorted(int(x.removeprefix(f"{name}=")) for x in found if x.startswith(f"{name}="))
-
-
-def versions(spark: SparkSession, table: str) -> list[int]:
-    """Numbers of the complete versions."""
-    fs = lambda v: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/v={v:08d}/_SUCCESS")
-    done = lambda p: p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return [v for v in _folders(spark, table, "v") if done(fs(v))]
-
-
-def newest(spark: SparkSession, table: str, before: int | None = None, only: Sequence[int] | None = None) -> DataFrame | None:
-    """The newest complete version of each bucket of a table, or the newest before a number; of the buckets `only` if given."""
-    paths: dict[int, str] = {}
-    for v in versions(spark, table):
-        if before is None or v < before:
-            paths |= {b: f"{table}/v={v:08d}/bucket={b}" for b in _folders(spark, f"{table}/v={v:08d}", "bucket")}
-    wanted = [p for b, p in sorted(paths.items()) if only is None or b in only]
-    return spark.read.option("mergeSchema", True).parquet(*wanted) if wanted else None
+def newest(spark: SparkSession, table: str) -> DataFrame | None:
+    """The table as its last version has it, None where there is none."""
+    store = VersionedTable(spark, table)
+    return store.read(store.current())
 
 
 def new_mails(stream: DataFrame, id_col: str = "gmailMessageId", time_col: str | None = None, late: str = "14 days") -> DataFrame:
