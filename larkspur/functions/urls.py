@@ -79,6 +79,13 @@ def absolute(link: Column, base: str) -> Column:
     return F.when(link == "", "").when(F.rlike(link, F.lit("(?i)^https?://")), link).when(F.startswith(link, F.lit("//")), F.concat(F.lit("https:"), link)).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(link, F.lit("/"))))
 
 
+def without_redirect(url: Column) -> Column:
+    """Where a search engine's redirect (an absolute URL with the path /url) leads, by its parameter q; other links as they are."""
+    link = F.coalesce(url, F.lit(""))
+    goal = F.regexp_extract(link, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*/url\?(?:[^#]*&)?q=([^&#]+)", 1)
+    return F.coalesce(F.nullif(F.try_url_decode(goal), F.lit("")), link)
+
+
 def normalized_url(url: Column) -> Column:
     """Without fragment, query and closing slash, in lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"[?#].*$", ""), "/+$", ""))

@@ -215,6 +215,7 @@ COMPANY_AFTER_TITLE_BARRED = ["מיקום המשרה", "סוג משרה", "דר
 
 TOO_BROAD_TERMS = ["job", "jobs", "משרה", "משרות", "דרושים", "developer", "software", "תוכנה", "junior", "ללא ניסיון", "ללא נסיון"]
 BROWSER_HOSTS = ["drushim.co.il", "alljobs.co.il", "comeet.com/jobs", "jobs.lever.co", "greenhouse.io"]
+DEFAULT_MAIL_QUERY = "from:alljob.co.il OR from:drushim.co.il"
 NO_SUBJECT, NO_SENDER = "מייל ללא כותרת", "שולח לא ידוע"
 DEFAULT_QUERY_PLACES = ["חיפה", "צפון"]
 PROFILE_MIN_SCORE, PROFILE_BONUS = 58.0, 28.0

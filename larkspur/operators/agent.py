@@ -126,6 +126,32 @@ def in_allowed_place(jobs: DataFrame) -> DataFrame:
     return jobs.where(c("locationKey").isin(V.MAIN_GOOD_PLACES))
 
 
+# Searches
+
+
+def mail_query(senders: DataFrame, days: int = 14) -> DataFrame:
+    """One row with `query`: mails of the last days from any domain of the enabled senders (domains array<string>, enabled), in the
+    order of `sender_no`; from the two known providers where there is none. A setting's senders are few."""
+    domains = F.filter(F.transform("domains", lambda d: F.regexp_replace(F.trim(d), "^@", "")), lambda d: d != "")
+    rows = senders.where(~c("enabled").eqNullSafe(False)).select("sender_no", F.transform(domains, lambda d: F.concat(F.lit("from:"), d)).alias("terms"))
+    told = rows.agg(F.array_sort(F.collect_list(F.struct("sender_no", "terms"))).alias("all"))
+    either = F.array_join(F.flatten(c("all.terms")), " OR ")
+    return told.select(F.concat(F.lit(f"newer_than:{days}d ("), or_else(either, F.lit(V.DEFAULT_MAIL_QUERY)), F.lit(")")).alias("query"))
+
+
+def _label(name: Column) -> Column:
+    """A label's name without direction marks, closing dots and letter case; compatibility forms stay as they are."""
+    return F.lower(F.trim(F.regexp_replace(squeezed(F.translate(F.coalesce(name, F.lit("")), "\u200e\u200f", "")), r"[.]+$", "")))
+
+
+def label_id(labels: DataFrame, wanted: str) -> DataFrame:
+    """At most one row (id): of the labels (label_no, id, name) the first with the very name, else with the plain name, else whose last
+    part between slashes has it. An empty wish finds none."""
+    name, plain = wanted.strip(), _label(F.lit(wanted))
+    rank = F.when(F.trim(F.coalesce(c("name"), F.lit(""))) == name, 0).when(_label(c("name")) == plain, 1).when(_label(F.element_at(F.split(F.coalesce(c("name"), F.lit("")), "/"), -1)) == plain, 2)
+    return labels.withColumn("rank_", rank).where(F.lit(name != "") & c("rank_").isNotNull()).orderBy("rank_", "label_no").limit(1).select("id")
+
+
 # Summaries
 
 

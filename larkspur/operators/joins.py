@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import or_else, truthy
 from ..functions.urls import host_within
 from .dedupe import stable_key
 from .score import audit_decision
@@ -58,6 +59,28 @@ def scan_audit(scored: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.select(audit_decision(F.col("kept")).alias("decision"), "kept", *(c for c in plain if c in rows.columns), *lists)
 
 
+def audit_key() -> Column:
+    """What a resumed audit knows a posting by: its stable key, URL or id."""
+    return or_else(stable_key(F.col("title"), F.col("company"), F.col("location"), F.col("url")), F.col("url"), F.coalesce(F.col("id"), F.lit("")))
+
+
+def resumed_audit(before: DataFrame, new: DataFrame, before_incoming: Column, new_incoming: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, totals) of an audit that goes on: before's and new's rows by audit_key, the last counts and stands at the first's place.
+
+    Totals (incoming, scored, kept, filtered) are one row: what came in adds up (before_incoming, new_incoming: numbers of
+    rows), the others are counted over the merged rows. Both sides have ingest_seq; rows without any key go. An empty
+    or missing earlier audit leaves the new one.
+    """
+    place = lambda rows, part: rows.withColumn("audit_seq", F.struct(F.lit(part).alias("part"), F.col("ingest_seq").alias("n")))
+    both = place(before, 0).unionByName(place(new, 1), allowMissingColumns=True)
+    names = [n for n in both.columns if n != "audit_seq"]
+    last = both.where(truthy(audit_key())).groupBy(audit_key().alias("audit_key")).agg(F.max_by(F.struct(*names), "audit_seq").alias("last"), F.min("audit_seq").alias("position"))
+    rows = last.select("last.*", "position")
+    kept = F.count_if(F.coalesce(F.col("kept"), F.lit(False)))
+    totals = rows.agg((before_incoming + new_incoming).cast("long").alias("incoming"), F.count(F.lit(1)).alias("scored"), kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("filtered"))
+    return rows, totals
+
+
 def by_host(results: DataFrame, sources: DataFrame, host: Column) -> DataFrame:
     """Search results with the enabled source whose domain their host is in. sources: a small dimension (id, domain, enabled)."""
     active = sources.where(~F.col("enabled").eqNullSafe(False))

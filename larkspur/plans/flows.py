@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.rules import RoleProfile
 from ..functions.text import matches, or_else, truthy
+from ..operators.counters import ScanCounts
 from ..operators.dedupe import dedupe_fingerprints, dedupe_mail_candidates, dedupe_store, last_by_key, merge_key
 from ..operators.enrich import finalize
 from ..operators.joins import new_rows, scan_audit, updated_rows
@@ -20,7 +21,7 @@ from ..operators.merge import merge_variants, upsert
 from ..operators.pages import search_results
 from ..operators.review import _key
 from ..operators.score import after_scoring, before_scoring, main_list, score
-from ..sources.providers import collected
+from ..sources.providers import collected, provider_of
 from ..sources.tables import numbered, written
 
 c = F.col
@@ -65,18 +66,21 @@ def scored_jobs(jobs: DataFrame, feedback: DataFrame, wishes: Wishes) -> DataFra
     return after_scoring(score(learned, wishes.target_roles, wishes.skills, wishes.exclude))
 
 
-def scan(landed: Mapping[str, DataFrame], stored: DataFrame, feedback: DataFrame, wishes: Wishes, now: Column, pages: DataFrame | None = None, details: DataFrame | None = None) -> Scan:
+def scan(landed: Mapping[str, DataFrame], stored: DataFrame, feedback: DataFrame, wishes: Wishes, now: Column, pages: DataFrame | None = None, details: DataFrame | None = None, counts: ScanCounts | None = None) -> Scan:
     """Landed rows to postings: enrich, merge variants, score once, main list, audit, upsert into stored.
 
     stored: the table at the start of the run, with job_key and unique by it. pages, details: landed search pages of the
     "alljobs" provider and their postings' detail pages (see operators.pages.search_results), beside or instead of its rows.
+    counts: takes the raw, normalized and scored rows of each provider in the passes that write them.
     """
     if pages is not None:
         found = search_results(pages, details)
         landed = {**landed, "alljobs": landed["alljobs"].unionByName(found, allowMissingColumns=True) if "alljobs" in landed else found}
-    postings = finalize(collected(landed, now), wishes.profiles).where(c("status") != "skipped")
+    postings = finalize(collected(landed, now, counts), wishes.profiles).where(c("status") != "skipped")
     merged = written(merge_variants(written(numbered(postings)), real_location, blocked_location).drop("position"))
     scored = scored_jobs(merged, feedback, wishes).withColumn("job_key", merge_key(c("title"), c("company"), c("location"), c("url"), c("id")))
+    if counts:
+        scored = counts.watch(scored, "scored", provider_of(c("source")))
     scored = written(scored)  # five results below start from it
     kept = dedupe_fingerprints(main_list(scored)).drop("position")
     audit = scan_audit(scored, kept)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..operators import agent, line_digest, results, summary
+from ..functions.urls import without_redirect
+from ..operators import agent, joins, line_digest, results, summary
 from ..sources import providers
 from .made_tables import Made
 
@@ -317,3 +318,44 @@ select source, count(*) as raw, count_if(st = 'F') as normalized, count_if(p > 1
 def provider_errors(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(c("o_orderpriority").alias("source"), c("o_orderstatus").alias("st"), c("o_totalprice").alias("p"))
     return providers.provider_counts(rows, rows.where("st = 'F'"), rows.where("p > 100000"), rows.where("st = 'P' and source like '1%'"))
+
+
+#: Two audits that overlap.
+RUNS = Made("part", "p_partkey", [
+    ("title", "string", 1, ["One", "Two", "Three", "", None]), ("company", "string", 7, ["Acme", "Bolt", None]), ("location", "string", 11, ["Haifa", "Lod", ""]), ("url", "string", 2, ["", "https://x.example/?JobID=7", "https://y.example/a", None]), ("kept", "boolean", 3, [True, False, None]),
+])
+
+
+@_query(f"""with r as (select *, k % 2 as part from ({RUNS.sql})), v as (select *, coalesce(nullif(case when contains(coalesce(url, ''), 'JobID') then 'alljobs:7' else lower(concat_ws('|', nullif(title, ''), nullif(company, ''), nullif(location, ''))) end, ''), nullif(url, ''), cast(k % 13 as varchar)) as key from r),
+m as (select *, row_number() over (partition by key order by part desc, k desc) as rn from v)
+select cast(1000 + (select count(*) from r where part = 1) as bigint) as incoming, count(*) as scored, count_if(coalesce(kept, false)) as kept, count(*) - count_if(coalesce(kept, false)) as filtered, cast(sum(k) as bigint) as rows_of from m where rn = 1""")
+def audit_resumed(spark, sf_dir):
+    rows = RUNS.rows(spark, sf_dir).withColumns({"ingest_seq": c("k"), "id": (c("k") % 13).cast("string")})
+    merged, totals = joins.resumed_audit(rows.where("k % 2 = 0"), rows.where("k % 2 = 1"), F.lit(1000), F.lit(rows.where("k % 2 = 1").count()))
+    return totals.crossJoin(merged.agg(F.sum("k").alias("rows_of")))  # a row each
+
+
+@_query("""select 'newer_than:14d (' || string_agg('from:' || lower(replace(s_name, '#', '.')) || ' OR from:b' || s_suppkey, ' OR ' order by s_suppkey) || ')' as query from supplier where s_suppkey % 3 <> 0""")
+def mail_search_query(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    domains = F.array(F.concat(F.lit(" @"), F.lower(F.replace("s_name", F.lit("#"), F.lit(".")))), F.concat(F.lit("b"), c("s_suppkey").cast("string")), F.lit(" "))
+    return agent.mail_query(rows.select(c("s_suppkey").alias("sender_no"), domains.alias("domains"), (c("s_suppkey") % 3 != 0).alias("enabled")))
+
+
+@_query("""with n as (select n_nationkey as no, case n_nationkey % 3 when 0 then 'Jobs/' || n_name || '.' when 1 then lower(n_name) || ' ..' else n_name end as name, upper(n_name) as plain from nation)
+select 'exact' as wish, no as id from n where name = (select min(n_name) from nation where n_nationkey % 3 = 2) union all select 'plain', no from n where plain = (select min(upper(n_name)) from nation where n_nationkey % 3 = 1) union all select 'nested', no from n where plain = (select min(upper(n_name)) from nation where n_nationkey % 3 = 0)""")
+def mail_label_choice(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    name = F.when(c("n_nationkey") % 3 == 0, F.concat(F.lit("Jobs/"), "n_name", F.lit("."))).when(c("n_nationkey") % 3 == 1, F.concat(F.lower("n_name"), F.lit(" .."))).otherwise(c("n_name"))
+    labels = nation.select(c("n_nationkey").alias("label_no"), c("n_nationkey").alias("id"), name.alias("name"))
+    first = {r.m: r.n for r in nation.groupBy((c("n_nationkey") % 3).alias("m")).agg(F.min("n_name").alias("n")).collect()}
+    found = [agent.label_id(labels, first[m]).select(F.lit(wish).alias("wish"), "id") for m, wish in ((2, "exact"), (1, "plain"), (0, "nested"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@_query("""select page_id, case page_id % 3 when 0 then url when 1 then 'https://g.example/url?sa=t&x=' || page_id else '/url?q=' || page_id end as link from pages""")
+def redirects_cleaned(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").where("url is not null")
+    goal = F.concat(F.lit("https://g.example/url?sa=t&q="), F.url_encode("url"), F.lit("&ved=1#q=2"))
+    link = F.when(c("page_id") % 3 == 0, goal).when(c("page_id") % 3 == 1, F.concat(F.lit("https://g.example/url?sa=t&x="), c("page_id").cast("string"))).otherwise(F.concat(F.lit("/url?q="), c("page_id").cast("string")))
+    return rows.select("page_id", without_redirect(link).alias("link"))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import or_else, truthy
-from ..functions.urls import best_apply_link, company_from_link
+from ..functions.urls import best_apply_link, company_from_link, without_redirect
+
+if TYPE_CHECKING:
+    from ..operators.counters import ScanCounts
 
 c = F.col
 #: Names under which several providers are asked at once.
@@ -54,7 +58,8 @@ def from_organic(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def from_browser(rows: DataFrame, now: Column) -> DataFrame:
-    return _posting(rows, "Playwright", now, company=company_from_link(c("link")), url=F.coalesce(c("link"), F.lit("")))
+    link = without_redirect(c("link"))
+    return _posting(rows, "Playwright", now, company=company_from_link(link), url=link)
 
 
 def from_jobs_search(rows: DataFrame, now: Column) -> DataFrame:
@@ -68,12 +73,23 @@ READERS: dict[str, Callable[[DataFrame, Column], DataFrame]] = {
 }
 
 
-def collected(landed: Mapping[str, DataFrame], now: Column) -> DataFrame:
-    """Landed rows of all providers as postings; rows without a title or a link go."""
-    parts = [READERS[name](rows.where(truthy(c("title")) & truthy(c("link"))) if "link" in rows.columns else rows.where(truthy(c("title"))), now) for name, rows in landed.items()]
+def collected(landed: Mapping[str, DataFrame], now: Column, counts: ScanCounts | None = None) -> DataFrame:
+    """Landed rows of all providers as postings; rows without a title or a link go. counts: takes the raw and normalized rows of each."""
+    watch = counts.watch if counts else lambda rows, stage, source: rows
+    parts = []
+    for name, rows in landed.items():
+        rows = watch(rows, "raw", F.lit(name))
+        whole = truthy(c("title")) & truthy(c("link")) if "link" in rows.columns else truthy(c("title"))
+        parts.append(watch(READERS[name](rows.where(whole), now), "normalized", F.lit(name)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def provider_of(source: Column) -> Column:
+    """The provider's name for the source that its postings show."""
+    low = F.lower(F.coalesce(source, F.lit("")))
+    return F.when(low == "google", "serpapi").when(low == "serpapi", "serpapi_jobs").when(low.isin("alljobs", "drushim", "jobmaster", "matrix", "playwright"), low).otherwise("sites")
+
+
 def provider_counts(raw: DataFrame, postings: DataFrame, scored: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """(source, raw, normalized, scored) of a scan, and errors where a table of failed requests (source) is given."""
     of = lambda rows, name: rows.groupBy("source").agg(F.count(F.lit(1)).alias(name))

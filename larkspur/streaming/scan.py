@@ -8,13 +8,16 @@ batch is read again and the keyed upsert makes it harmless.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedupe import last_by_key
+from ..sources.records import Record
 from ..sources.tables import written
 from ..sources.versions import VersionedTable
 
@@ -29,6 +32,32 @@ def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame
     return (writer.queryName(name) if name else writer).start()
 
 
+def run_stoppable(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], progress: Record, steps: int = 0) -> dict:
+    """Like run_available, and stops between batches where the record asks for it; returns the record then.
+
+    The record counts batches, and its wish to stop is looked at before each one: a batch that isn't begun stays for the
+    next run, which goes on from the checkpoint. A record that still asks to stop is cleared by the run that begins.
+    """
+    begun = progress.patch(running=True, stopRequested=False, stopped=False, completed=False, totalSteps=steps, startedAt=datetime.now(timezone.utc).isoformat(), finishedAt=None)
+    stopped: list[int] = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        if progress.get()["stopRequested"]:
+            stopped.append(number)
+            raise InterruptedError("the record asks to stop")
+        write(batch, number)
+        progress.patch(completedSteps=progress.get()["completedSteps"] + 1, nextStepIndex=number + 1, lastSavedAt=datetime.now(timezone.utc).isoformat())
+
+    query = run_available(stream, checkpoint, step)
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not stopped:
+            progress.patch(running=False, finishedAt=datetime.now(timezone.utc).isoformat())
+            raise
+    return progress.patch(running=False, stopped=bool(stopped), completed=not stopped, finishedAt=datetime.now(timezone.utc).isoformat()) | {"startedAt": begun["startedAt"]}
+
+
 def table_upsert(table: str, key: str, prepare: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 64, keep: int = 20) -> Callable[[DataFrame, int], None]:
     """A batch writer that merges prepared rows into a versioned table of key buckets (see sources.versions).
 
