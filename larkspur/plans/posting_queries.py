@@ -12,6 +12,7 @@ from ..functions.text import base64url, keyword_hits, number_or, or_else, same_t
 from ..functions.urls import absolute, company_from_link, host, normalized_url, provider_key, unique_links
 from ..operators import dedupe, enrich, joins, learning, mail, merge, review, score, search, summary
 from ..sources import providers
+from ..sources.tables import written
 from .made_tables import Made
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,6 +156,34 @@ def learning_adjustment(spark, sf_dir):
     return learning.learning_columns(jobs, _log(spark, sf_dir)).select("k", "learning_adjustment")
 
 
+#: Postings of the tester's trade and beside it: software, automation, factory quality, developers, paid-only and shift work.
+QA_POSTS = Made("part", "p_partkey", [
+    ("title", "string", 1, ["QA Engineer", "QA Automation Engineer", "Manual QA tester", "Full Stack Developer", "Plain post"]), ("company", "string", 1, ["Acme"]), ("description", "string", 5, ["software testing of web apps", "", "quality control in מפעל", "needs 3 years", "work in משמרות", "premium only"]),
+    ("location", "string", 2, ["Haifa", "Lod", "Israel"]), ("locationKey", "string", 2, ["haifa", "lod", None]), ("via", "string", 1, ["x"]), ("source", "string", 11, ["Drushim", "AllJobs"]), ("url", "string", 1, ["https://x.example/?JobID=1"]), ("status", "string", 1, ["found"]),
+    ("roleFamily", "string", 7, ["unknown", "information_systems"]), ("roleType", "string", 1, [None]), ("isRelevantRole", "boolean", 1, [True]), ("roleConfidence", "string", 3, ["high", "medium"]), ("seniority", "string", 13, ["junior", "unknown"]), ("hasNoExperienceSignal", "boolean", 1, [False]),
+])
+
+
+@_query(f"""with r as ({QA_POSTS.sql}), b as (select *, title like '%QA%' as qat, lower(title || ' ' || description) as td from r),
+f as (select *, case when qat then 'qa' else "roleFamily" end as fam0, case when qat then case when contains(td, 'automation') then 'qa_automation' when contains(td, 'manual') then 'qa_manual' else 'qa_general' end end as type0,
+  (source = 'AllJobs' and description = 'premium only') or title = 'Full Stack Developer' as hard_exit, contains(td, 'automation') or contains(td, 'software') or contains(td, 'qa tester') as signal, contains(description, 'מפעל') as factory, contains(description, 'משמרות') as shifts, contains(description, '3 years') as three from b),
+x as (select *, hard_exit or (fam0 = 'qa' and factory and not signal) or shifts as out_, case when hard_exit then 'irrelevant' else fam0 end as fam from f),
+n as (select *, case when out_ then 0 else greatest(0, least(100, 20 + case fam when 'qa' then 38 when 'information_systems' then 26 else 18 end + case type0 when 'qa_manual' then 10 when 'qa_automation' then 6 else 0 end + case when seniority = 'junior' then 18 else 0 end - case when three then 18 else 0 end
+  + case "locationKey" when 'haifa' then 16 when 'lod' then 0 else -10 end)) end as n, contains(td, 'qa tester') or contains(td, 'software testing') as sw, qat or contains(td, 'testing') as seen_qa from x),
+d as (select *, case when factory and seen_qa and not sw then 'business_quality' when seen_qa and contains(td, 'automation') and sw then 'automation_qa' when seen_qa and sw then 'software_qa' when seen_qa then 'qa_uncertain' when fam = 'information_systems' then 'information_systems' when fam = 'irrelevant' then 'irrelevant' else 'unknown' end as dom from n),
+g as (select *, case when shifts then 'hard' when "locationKey" = 'lod' then 'place' when dom = 'business_quality' then 'business' when dom = 'irrelevant' then 'irrelevant' when dom = 'qa_uncertain' then 'uncertain' when dom = 'unknown' then 'role' when "locationKey" is null then 'unknown_place' when three then 'senior' else 'open' end as gate from d),
+o as (select *, least(n, case gate when 'hard' then 20 when 'place' then 40 when 'business' then 35 when 'irrelevant' then 35 else 100 end) as fit, gate in ('hard', 'place', 'business', 'irrelevant') as closed,
+  case when gate in ('hard', 'place', 'business', 'irrelevant') then 'skip' when gate in ('uncertain', 'role') then case when n >= 45 then 'review' else 'skip' end when gate in ('unknown_place', 'senior') then 'review' when n >= 75 then 'apply' when n < 45 then 'skip' else 'review' end as rec from g)
+select k, fam as "roleFamily", dom as "roleDomain", cast(fit as integer) as "fitScore", rec as recommendation, case when out_ or closed then 'skipped' else 'found' end as status,
+  rec <> 'skip' and not out_ and fit > 0 and ("locationKey" = 'haifa' or (source = 'AllJobs' and "locationKey" is null and fam = 'qa' and fit >= 75)) is true and case when source = 'AllJobs' then case fam when 'qa' then fit >= 50 when 'information_systems' then fit >= 65 else false end else case fam when 'qa' then fit >= 25 when 'information_systems' then fit >= 45 else fit >= 70 end end as listed from o""")
+def qa_postings_judged(spark, sf_dir):
+    rows = QA_POSTS.rows(spark, sf_dir).withColumn("roleSignals", F.array().cast("array<string>"))
+    judged = written(score.after_scoring(score.score(score.before_scoring(rows))))
+    for name, kind in (("roleProfileId", "string"), ("roleProfileName", "string"), ("mainListMinScore", "double")):
+        judged = judged if name in judged.columns else judged.withColumn(name, F.lit(None).cast(kind))
+    return judged.select("k", "roleFamily", "roleDomain", "fitScore", "recommendation", "status", score.usable_for_main_list().alias("listed"))
+
+
 #: A log and postings that set off the rules of reasons: by text, place and role, each also where it must not.
 REASONED = Made("events", "event_id", [
     ("jobId", "string", 1, ["1", "2", "3", "4", "5", "6"]), ("action", "string", 1, ["rejected", "saved", "deleted", "not_relevant", "applied"]), ("rejectionReason", "string", 1, ["shifts", "location", "wrong_role", "", None, "sales", "bogus"]),
