@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import clamped, join_truthy, keyword_hits, matches, rounded, text_of, truthy, years_at_least
+from ..functions.text import held, clamped, join_truthy, keyword_hits, matches, rounded, text_of, truthy, years_at_least
 
 c = F.col
 _NONE = "cast(array() as array<string>)"
@@ -27,7 +27,7 @@ def with_texts(jobs: DataFrame) -> DataFrame:
     """The texts that the rules share, each built once: what the gates see, what the score sees, title."""
     wide = [c(n) for n in ("title", "company", "location", "locationKey", "description", "via", "source", "roleFamily", "roleType") if n in jobs.columns]
     short = [c(n) for n in ("title", "company", "location", "description", "via") if n in jobs.columns]
-    return jobs.withColumns({"gate_text_": text_of(*wide, arrays=[c("roleSignals")]), "text_": text_of(*short), "title_": F.coalesce(c("title"), F.lit(""))})
+    return held(jobs, gate_text_=text_of(*wide, arrays=[c("roleSignals")]), text_=text_of(*short), title_=F.coalesce(c("title"), F.lit("")))
 
 
 def decision_dimensions(jobs: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def decision_dimensions(jobs: DataFrame) -> DataFrame:
         "hasSeniorSignal": matches(title, *V.GATE_SENIOR_TITLE) | matches(t, *V.GATE_FOUR_YEARS),
         "hasThreePlusExperience": matches(t, *V.GATE_THREE_YEARS),
     }
-    rows = jobs.withColumns({f"d_{k}": v for k, v in seen.items()})
+    rows = held(jobs, **{f"d_{k}": v for k, v in seen.items()})
     d = lambda k: c(f"d_{k}")
     qa, software = d("isQaRole"), d("hasSoftwareQaEvidence")
     domain = (
@@ -153,7 +153,7 @@ def score(jobs: DataFrame, target_roles: Sequence[str] = (), skills: Sequence[st
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     text, title = c("text_"), c("title_")
-    rows = rows.withColumns({
+    rows = held(rows, **{
         "exit_": early_exit(rows), "targets_": keyword_hits(text, target_roles), "skills_": keyword_hits(text, skills),
         "excluded_": F.slice(F.array_distinct(F.filter(keyword_hits(text, exclude), lambda w: F.when(F.contains(w, F.lit("פקיד")), matches(text, V.CLERK)).when(_has("roleFamily", "qa") & (w == "פיתוח"), matches(title, *V.CLEAR_DEVELOPER_TITLE)).otherwise(True))), 1, 5),
         "senior_": matches(title, *V.SCORE_SENIOR_TITLE) | matches(text, *V.SCORE_FOUR_YEARS), "four_": years_at_least(text, 4), "three_": years_at_least(text, 3),
