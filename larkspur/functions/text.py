@@ -3,6 +3,7 @@ as missing, white space includes no-break spaces, word borders are ASCII."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,11 @@ def matches(c: Column, *patterns: str) -> Column:
     return F.rlike(F.coalesce(c, F.lit("")), F.lit("(?i)" + "|".join(f"(?:{word_borders(p)})" for p in patterns)))
 
 
+def found_in(text: str | None, *patterns: str) -> bool:
+    """What matches says of a plain string: letters of either case and white space are ASCII's there too."""
+    return bool(patterns) and re.search("|".join(f"(?:{word_borders(p)})" for p in patterns), text or "", re.IGNORECASE | re.ASCII) is not None
+
+
 def rounded(c: Column) -> Column:
     """To the nearest whole number, halves up (also below zero)."""
     return F.floor(c + 0.5).cast("int")

@@ -6,10 +6,13 @@ first place of its key (`position`), as a map does that replaces a value under a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import join_truthy, normalized, truthy
 from ..functions.urls import provider_id, provider_key
@@ -39,17 +42,66 @@ def last_by_key(rows: DataFrame, key: Column, seq_col: str = "ingest_seq") -> Da
     return best_by_key(rows, key, F.col(seq_col), seq_col)
 
 
-def fold_by_key(rows: DataFrame, key: Column, merge: Callable[[Column, Column], Column], seq_col: str = "ingest_seq") -> DataFrame:
+#: Rows of a key that are folded as one array; a key with more of them is folded as a stream.
+MANY = 256
+
+
+def fold_by_key(rows: DataFrame, key: Column, merge: Callable[[Column, Column], Column], seq_col: str = "ingest_seq", step: Callable[[dict, dict], dict] | None = None) -> DataFrame:
     """For each key its rows merged pairwise in input order: merge(so far, next), both structs of all columns.
 
-    For merges that depend on order; a key's variants are gathered in one array, so keys must have few.
+    For merges that depend on order. step: the same merge on two rows as dicts; with it, keys of more than MANY rows go to
+    fold_sorted, so no array is longer than that. Without it a key's rows are gathered in one array whatever their number.
     """
-    whole = F.struct(seq_col, *(c for c in rows.columns if c != seq_col))
+    if step is None:
+        return _folded_arrays(rows, key, merge, seq_col)
+    keyed = rows.withColumn("fold_key", key)
+    large = keyed.groupBy("fold_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select(F.col("fold_key").alias("large_key"))
+    both = keyed.join(large, F.col("fold_key") == F.col("large_key"), "left")  # one partitioning serves the count, the join and the folds
+    names = [seq_col, *(n for n in rows.columns if n != seq_col)]
+    small = _folded_arrays(both.where(F.col("large_key").isNull()).select("fold_key", *names), F.col("fold_key"), merge, seq_col).select(*names, "position")
+    return small.unionByName(fold_sorted(both.where(F.col("large_key").isNotNull()).select("fold_key", *names), "fold_key", step, seq_col))
+
+
+def _folded_arrays(rows: DataFrame, key: Column, merge: Callable[[Column, Column], Column], seq_col: str) -> DataFrame:
+    names = [n for n in rows.columns if n != "fold_key"]
+    whole = F.struct(seq_col, *(n for n in names if n != seq_col))
     grouped = rows.groupBy(key.alias("dedupe_key")).agg(F.array_sort(F.collect_list(whole)).alias("all"), F.min(seq_col).alias("position"))
     folded = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0)), merge)
     return grouped.select(folded.alias("row"), "position").select("row.*", "position")
 
 
+def fold_sorted(rows: DataFrame, key_col: str, step: Callable[[dict, dict], dict], seq_col: str = "ingest_seq") -> DataFrame:
+    """The same fold as a stream: rows dealt by key and sorted by key and seq_col within each task (the sort spills), and one
+    row of state that goes from Arrow batch to Arrow batch, so a key with millions of rows needs the memory of one. The
+    columns without key_col, and position."""
+    names = [n for n in rows.columns if n != key_col]
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("position", rows.schema[seq_col].dataType)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+
+        def out(done: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([d[f.name] for d in done], f.type) for f in arrow], schema=arrow)
+
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                key = row.pop(key_col)
+                if state is None or key != now:
+                    if state is not None:
+                        done.append(state)
+                    now, state = key, row | {"position": row[seq_col]}
+                else:
+                    state = step(state, row) | {"position": state["position"]}
+            if done:
+                yield out(done)
+        if state is not None:
+            yield out([state])
+
+    return rows.repartition(key_col).sortWithinPartitions(key_col, seq_col, *(n for n in names if n != seq_col and not isinstance(rows.schema[n].dataType, T.MapType))).mapInArrow(run, schema)
+
+
 # Keys
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches, truthy
+from ..functions.text import found_in, matches, truthy
 from ..functions.vocabulary import BAD_LOCATION_LABELS, CONFIDENTIAL_COMPANY, MANUAL_FIELDS
 from .dedupe import fold_by_key, merge_key
 
@@ -70,13 +70,41 @@ def variant_quality(row: Column, real_location: Column, blocked_location: Column
     return F.when(real_location, 100).otherwise(0) + F.when(blocked_location, 60).otherwise(0) + F.when(named, 15).otherwise(0) + F.least(F.lit(40), F.floor(length / 120))
 
 
-def merge_variants(jobs: DataFrame, real_location, blocked_location) -> DataFrame:
+def variant_step(real_location: Callable[[dict], bool], blocked_location: Callable[[dict], bool]) -> Callable[[dict, dict], dict]:
+    """The merge of merge_variants on two rows as dicts, for keys with very many variants."""
+    hidden = lambda name: found_in(name, *CONFIDENTIAL_COMPANY)
+
+    def quality(x: dict) -> int:
+        named = bool(x["company"]) and not hidden(x["company"])
+        return 100 * real_location(x) + 60 * blocked_location(x) + 15 * named + min(40, len(x["description"] or "") // 120)
+
+    def step(a: dict, b: dict) -> dict:
+        wins = quality(b) > quality(a)
+        pick, lose = (b, a) if wins else (a, b)
+        out = {n: lose.get(n) if v is None else v for n, v in pick.items()}
+        place = lose if not real_location(pick) and real_location(lose) else pick
+        out |= {n: place[n] for n in ("location", "locationKey")}
+        out["company"] = pick["company"]
+        if (not pick["company"] or hidden(pick["company"])) and lose["company"] and not hidden(lose["company"]):
+            out["company"] = lose["company"]
+        out["description"] = lose["description"] if len(lose["description"] or "") > len(pick["description"] or "") else pick["description"]
+        for n in ("id", "foundAt", "ingest_seq"):
+            if n in a:
+                out[n] = b[n] if a[n] is None else a[n]
+        return out
+
+    return step
+
+
+def merge_variants(jobs: DataFrame, real_location, blocked_location, step: Callable[[dict, dict], dict] | None = None) -> DataFrame:
     """Variants of one posting as one row, merged pairwise in input order.
 
     The variant of higher quality wins, the earlier of equal ones; its location counts if it is a real one,
     else the other's if that is; a confidential company gives way to a named one; the longest description
     stays. real_location and blocked_location: functions from a row (struct) to a boolean column. A variant
     that equals an earlier one changes nothing, so repeats are aggregated away before variants are gathered.
+    step: the same merge on rows as dicts (see variant_step); with it, a posting's variants are gathered only up to
+    dedupe.MANY, and more of them are folded as a sorted stream.
     """
     same = [n for n in jobs.columns if n != "ingest_seq"]
     jobs = jobs.groupBy(*same).agg(F.min("ingest_seq").alias("ingest_seq"))
@@ -110,7 +138,7 @@ def merge_variants(jobs: DataFrame, real_location, blocked_location) -> DataFram
         return F.get(F.transform(F.array(pair), merged), F.lit(0))
 
     order = ["ingest_seq", *(n for n in jobs.columns if n != "ingest_seq")]
-    return fold_by_key(jobs, merge_key(c("title"), c("company"), c("location"), c("url"), c("id")), merge)
+    return fold_by_key(jobs, merge_key(c("title"), c("company"), c("location"), c("url"), c("id")), merge, step=step)
 
 
 def merge_mails(stored: DataFrame, incoming: DataFrame, most: int = 500) -> DataFrame:

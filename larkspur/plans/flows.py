@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.rules import RoleProfile
-from ..functions.text import matches, or_else, truthy
+from ..functions.text import found_in, matches, or_else, truthy
 from ..operators.counters import ScanCounts
 from ..operators.dedupe import dedupe_fingerprints, dedupe_mail_candidates, dedupe_store, last_by_key, merge_key
 from ..operators.enrich import finalize
 from ..operators.joins import new_rows, scan_audit, updated_rows
 from ..operators.learning import learning_columns
 from ..operators.mail import candidates, route_to_review, unprocessed, without_replaced
-from ..operators.merge import merge_variants, upsert
+from ..operators.merge import merge_variants, upsert, variant_step
 from ..operators.pages import search_results
 from ..operators.review import _key
 from ..operators.score import after_scoring, before_scoring, main_list, score
@@ -61,6 +61,17 @@ def blocked_location(job: Column) -> Column:
     return matches(F.concat_ws(" ", job["title"], job["company"], place, job["description"]), *V.FINAL_BAD_PLACE_TEXT) | matches(place, *V.CENTER_TEXT)
 
 
+def _real(job: dict) -> bool:
+    """real_location of a row as a dict."""
+    return bool(job["location"]) and job["location"] != "Israel" and bool(job["locationKey"]) and job["locationKey"] not in ("unknown", "null")
+
+
+def _blocked(job: dict) -> bool:
+    """blocked_location of a row as a dict."""
+    place = " ".join(x for x in (job["location"], (job["locationKey"] or "").replace("_", " ")) if x is not None)
+    return found_in(" ".join(x for x in (job["title"], job["company"], place, job["description"]) if x is not None), *V.FINAL_BAD_PLACE_TEXT) or found_in(place, *V.CENTER_TEXT)
+
+
 def scored_jobs(jobs: DataFrame, feedback: DataFrame, wishes: Wishes) -> DataFrame:
     learned = learning_columns(before_scoring(jobs), feedback)
     return after_scoring(score(learned, wishes.target_roles, wishes.skills, wishes.exclude))
@@ -77,7 +88,7 @@ def scan(landed: Mapping[str, DataFrame], stored: DataFrame, feedback: DataFrame
         found = search_results(pages, details)
         landed = {**landed, "alljobs": landed["alljobs"].unionByName(found, allowMissingColumns=True) if "alljobs" in landed else found}
     postings = finalize(collected(landed, now, counts), wishes.profiles).where(c("status") != "skipped")
-    merged = written(merge_variants(written(numbered(postings)), real_location, blocked_location).drop("position"))
+    merged = written(merge_variants(written(numbered(postings)), real_location, blocked_location, variant_step(_real, _blocked)).drop("position"))
     scored = scored_jobs(merged, feedback, wishes).withColumn("job_key", merge_key(c("title"), c("company"), c("location"), c("url"), c("id")))
     if counts:
         scored = counts.watch(scored, "scored", provider_of(c("source")))
