@@ -127,7 +127,7 @@ def same_windows(numbers: np.ndarray, owner: np.ndarray, at: np.ndarray, width:
 
 
 #: Hashes of distinct words that a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _WORDS: dict[bytes, int] = {}
 
 

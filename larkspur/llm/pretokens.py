@@ -27,7 +27,7 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 UNIT_CHARS = 1_000_000
 _EDGE = regex.compile(r"(?<=\S)(?= \S)|(?<=[A-Za-z\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3])(?=[!-&(-/:-@\[-_{-~\u3001\u3002\uFF0C])")
 #: Distinct pre-tokens kept from batch to batch by one worker.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 
 
 @functools.lru_cache(1)
