@@ -519,10 +519,10 @@ def posting_signals(spark, sf_dir):
     return enrich.signal_columns(RULED.rows(spark, sf_dir)).select("k", "hasShiftSignal", "hasPhoneSignal", "hasSeniorSignal", "hasSalesSignal", "hasNoExperienceSignal", F.array_join("badSignals", ",").alias("bad"))
 
 
-@_query(f"""with r as ({RULED.sql}), s as (select *, source = 'Drushim' and coalesce(description, '') like 'a·%' as parts, coalesce(company, '') in ('Acme', 'x|y') as own from r)
-select k, case when parts then 'Bolt' when own and company = 'Acme' then 'Acme' else source end as company, case when parts then 'drushim_description_parts' when own and company = 'Acme' then 'job_company' else 'fallback' end as "companyConfidence" from s where company is distinct from 'x|y'""")
+@_query(f"""with r as ({RULED.sql}), s as (select *, source = 'Drushim' and coalesce(description, '') like 'a·%' as parts, coalesce(company, '') = 'Acme' as own from r)
+select k, case when parts then 'Bolt' when own then 'Acme' else source end as company, case when parts then 'drushim_description_parts' when own then 'job_company' else 'fallback' end as "companyConfidence" from s""")
 def company_choice(spark, sf_dir):
-    return enrich.company_columns(RULED.rows(spark, sf_dir).where("coalesce(company, '') <> 'x|y'")).select("k", "company", "companyConfidence")
+    return enrich.company_columns(RULED.rows(spark, sf_dir)).select("k", "company", "companyConfidence")
 
 
 @_query(f"""with r as ({RULED.sql}) select k, case when location = 'Haifa' then 'haifa' when description = 'call center' then 'center' when location = 'My Town' then 'my_town' end as "locationKey", case when location = 'Haifa' or coalesce(description = 'call center', false) then 'matched_text' when location = 'My Town' then 'job_location' else 'unknown' end as "locationConfidence" from r""")
