@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.rules import FirstMatch, RoleProfile, count_hits
-from ..functions.text import matches, or_else, slug_id, squeezed, text_of, truthy
+from ..functions.text import held, matches, or_else, slug_id, squeezed, text_of, truthy
 
 c = F.col
 
@@ -37,14 +37,15 @@ def company_columns(jobs: DataFrame) -> DataFrame:
 def location_columns(jobs: DataFrame, places: Sequence = V.LOCATIONS) -> DataFrame:
     """location, locationKey, locationConfidence: the first place of the table whose pattern the posting holds."""
     text = squeezed(text_of(*(c(n) for n in ("location", "title", "company", "description", "rawText") if n in jobs.columns)))
-    key = FirstMatch([(k, p) for k, _, p in places]).value(text)
+    jobs = held(jobs, place_text_=text)  # each place's patterns read it
+    key = FirstMatch([(k, p) for k, _, p in places]).value(c("place_text_"))
     shown = F.create_map(*(x for k, name, _ in places for x in (F.lit(k), F.lit(name))))
     own = truthy(c("location")) & (c("location") != "Israel")
     return jobs.withColumn("place_", key).withColumns({
         "location": F.when(c("place_").isNotNull(), shown[c("place_")]).otherwise(or_else(c("location"), F.lit("Israel"))),
         "locationKey": F.when(c("place_").isNotNull(), c("place_")).when(own, F.replace(F.lower(squeezed(c("location"))), F.lit(" "), F.lit("_"))),
         "locationConfidence": F.when(c("place_").isNotNull(), "matched_text").when(own, "job_location").otherwise("unknown"),
-    }).drop("place_")
+    }).drop("place_", "place_text_")
 
 
 def role_columns(jobs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from ..operators.pages import search_results
 from ..operators.review import _key
 from ..operators.score import after_scoring, before_scoring, main_list, score
 from ..sources.providers import collected, provider_of
-from ..sources.tables import numbered, written
+from ..sources.tables import numbered, spread, written
 
 c = F.col
 
@@ -87,9 +87,9 @@ def scan(landed: Mapping[str, DataFrame], stored: DataFrame, feedback: DataFrame
     if pages is not None:
         found = search_results(pages, details)
         landed = {**landed, "alljobs": landed["alljobs"].unionByName(found, allowMissingColumns=True) if "alljobs" in landed else found}
-    postings = finalize(collected(landed, now, counts), wishes.profiles).where(c("status") != "skipped")
-    merged = written(merge_variants(written(numbered(postings)), real_location, blocked_location, variant_step(_real, _blocked)).drop("position"))
-    scored = scored_jobs(merged, feedback, wishes).withColumn("job_key", merge_key(c("title"), c("company"), c("location"), c("url"), c("id")))
+    postings = finalize(spread(numbered(collected(landed, now, counts)), "ingest_seq"), wishes.profiles).where(c("status") != "skipped")
+    merged = written(merge_variants(written(postings), real_location, blocked_location, variant_step(_real, _blocked)).drop("position"))
+    scored = scored_jobs(spread(merged, "ingest_seq"), feedback, wishes).withColumn("job_key", merge_key(c("title"), c("company"), c("location"), c("url"), c("id")))
     if counts:
         scored = counts.watch(scored, "scored", provider_of(c("source")))
     scored = written(scored)  # five results below start from it

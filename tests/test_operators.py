@@ -165,3 +165,12 @@ def test_flows(spark):
     found, fresh = import_mails(mails(spark, {"gmailMessageId": "m1", "title": "QA", "sender": "x@alljobs.co.il", "bodyText": DIGEST, "links": []}), spark.createDataFrame([], "gmailMessageId string"), stored, spark.createDataFrame([], FEEDBACK), Wishes())
     assert fresh.count() == 2 and found.count() == 2
     assert set(r["status"] for r in fresh.collect()) == {"found"}
+
+
+def test_scan_of_one_file_is_scored_by_several_tasks(spark, tmp_path):
+    rows = [(f"QA tester {i}", "Acme", "Haifa", f"https://x.example/j/{i}", "manual testing") for i in range(200)]
+    spark.createDataFrame(rows, "title string, company string, location string, link string, description string").withColumn("sourceQuery", F.lit("q")).coalesce(1).write.parquet(f"{tmp_path}/landed")
+    stored = spark.createDataFrame([], JOBS).drop("ingest_seq")
+    out = scan({"drushim": spark.read.parquet(f"{tmp_path}/landed")}, stored, spark.createDataFrame([], FEEDBACK), Wishes(), now())
+    assert out.scored.count() == 200
+    assert len([f for f in out.scored.inputFiles() if f.endswith(".parquet")]) > 1

@@ -87,3 +87,35 @@ def test_provider_ids(spark):
 
 def test_strip_html(spark):
     assert one(spark, urls.strip_html(F.col("h")), h="<style>p{}</style><p>a&nbsp;<b>b</b></p><script>x</script>&amp;") == "a b &"
+
+
+def plain(patterns):
+    return "(?i)" + "|".join(f"(?:{text.word_borders(p)})" for p in patterns)
+
+
+def test_dealt_alternatives_find_what_plain_ones_do(spark):
+    """All pattern lists of the vocabulary, and awkward ones, over texts made of their own pieces."""
+    import random
+    import re
+
+    from larkspur.functions import vocabulary as V
+    from larkspur.functions.starts import alternatives
+
+    awkward = [["a|", "b"], ["^$", "x"], ["(?i)a|B"], [r"(a)\1|b"], ["[a|b]c|d"], ["[]|]x|y"], [r"\|a|b"], ["(?:|a)b"], ["[^a]b|c"], [r"\d+ x|\s y"], ["x*y|z?"], ["(?:qa|בדיקה)s|K|ſ"], [r"\bqa\b|\.net"], ["é|ש"], ["a{0}b|c"], ["(?=x)x1|(?<!q)w"], [r"\p{L}1|\w2"]]
+    lists = [v for v in vars(V).values() if isinstance(v, (list, tuple)) and v and all(isinstance(x, str) for x in v)]
+    rng = random.Random(5)
+    pieces = [re.sub(r"\\s[*+]?|\\b|[\\^$?*+()|\[\]{}]", rng.choice(["", " "]), a) for v in lists + awkward for p in v for a in alternatives(p)]
+    pieces += ["", " ", "\n", "é", "É", "ſ", "K", "K", "a1", "אב", "B", "12 X", "]x", "a|bc", "b", "1", "_"]
+    change = [str.lower, str.upper, str.title, lambda x: x[1:], lambda x: x[:-1], lambda x: f"x{x}", lambda x: f"ש{x}"]
+    texts = [rng.choice(["", " ", "\n", ", "]).join(rng.choice(change)(rng.choice(pieces)) for _ in range(rng.randint(1, 3))) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in texts], "s string")
+    for at in range(0, len(lists + awkward), 20):
+        both = [(text.matches(F.col("s"), *v), F.rlike("s", F.lit(plain(v)))) for v in (awkward + lists)[at : at + 20]]
+        counts = rows.agg(*(F.count_if(a != b).alias(f"c{i}") for i, (a, b) in enumerate(both)), *(F.count_if(b).alias(f"n{i}") for i, (_, b) in enumerate(both))).first()
+        assert [counts[f"c{i}"] for i in range(len(both))] == [0] * len(both)
+        assert sum(counts[f"n{i}"] > 0 for i in range(len(both))) > len(both) * 0.8
+
+
+def test_alternatives_are_tried_where_they_can_begin():
+    assert text.any_of(("tester|qa", "מבדק")).startswith("(?=[QTqtמ])")
+    assert text.any_of(("[^a-z]qa|tester",)).startswith("(?i:(?:[^a-z]qa))|(?=[Tt])")
