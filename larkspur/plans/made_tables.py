@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 
 def literal(v) -> str:
     if v is None:
@@ -32,7 +34,7 @@ class Made:
     def rows(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet").where(self.where).select(F.col(self.key).cast("long").alias("k"))
         value = lambda kind, every, values: F.get(F.array(*(F.lit(v).cast(kind) for v in values)), F.expr(f"cast((k div {every}) % {len(values)} as int)"))
-        return rows.select("k", *(value(kind, every, values).alias(name) for name, kind, every, values in self.columns))
+        return spread(rows, "k").select("k", *(value(kind, every, values).alias(name) for name, kind, every, values in self.columns))
 
     @property
     def sql(self) -> str:
