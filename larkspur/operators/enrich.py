@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.rules import FirstMatch, RoleProfile, count_hits
-from ..functions.text import held, matches, or_else, slug_id, squeezed, text_of, truthy
+from ..functions.text import held, matches, or_else, seen, slug_id, squeezed, text_of, truthy
 
 c = F.col
 
@@ -25,20 +25,22 @@ def company_columns(jobs: DataFrame) -> DataFrame:
         return (F.length(t) < 2) | (F.length(t) > 80) | t.isin(V.BAD_COMPANIES) | matches(t, *V.BAD_COMPANY_TEXT)
 
     parts = F.filter(F.transform(F.split(F.coalesce(c("description"), F.lit("")), "·"), clean), lambda x: x != "")
-    second = F.get(parts, F.lit(1))
-    from_parts = (F.coalesce(c("source"), F.lit("")) == "Drushim") & ~bad(second)
+    of_drushim = F.coalesce(c("source"), F.lit("")) == "Drushim"
+    jobs = held(jobs, second_=F.when(of_drushim, F.get(parts, F.lit(1))))  # read in several places
+    second = c("second_")
+    from_parts = of_drushim & ~bad(second)
     own = truthy(c("company")) & ~bad(c("company"))
     return jobs.withColumns({
         "company": F.when(from_parts, second).when(own, c("company")).otherwise(or_else(c("source"), F.lit("Unknown"))),
         "companyConfidence": F.when(from_parts, "drushim_description_parts").when(own, "job_company").otherwise("fallback"),
-    })
+    }).drop("second_")
 
 
 def location_columns(jobs: DataFrame, places: Sequence = V.LOCATIONS) -> DataFrame:
     """location, locationKey, locationConfidence: the first place of the table whose pattern the posting holds."""
     text = squeezed(text_of(*(c(n) for n in ("location", "title", "company", "description", "rawText") if n in jobs.columns)))
     jobs = held(jobs, place_text_=text)  # each place's patterns read it
-    key = FirstMatch([(k, p) for k, _, p in places]).value(c("place_text_"))
+    key = FirstMatch([(k, p) for k, _, p in places]).value(c("place_text_"), seen)
     shown = F.create_map(*(x for k, name, _ in places for x in (F.lit(k), F.lit(name))))
     own = truthy(c("location")) & (c("location") != "Israel")
     return jobs.withColumn("place_", key).withColumns({
@@ -54,12 +56,13 @@ def role_columns(jobs: DataFrame) -> DataFrame:
     Irrelevant trades end it at once; of the other rules the later ones override the earlier, so they are
     read from the last to the first.
     """
-    text, title = F.lower(text_of(c("title"), c("company"), c("description"))), F.lower(F.coalesce(c("title"), F.lit("")))
+    jobs = held(jobs, role_text_=F.lower(text_of(c("title"), c("company"), c("description"))), role_title_=F.lower(F.coalesce(c("title"), F.lit(""))))
+    text, title = c("role_text_"), c("role_title_")
     rules = {
-        "bad": matches(text, *V.IRRELEVANT_ROLE), "junior": matches(text, *V.JUNIOR), "senior": matches(title, *V.SENIOR_TITLE) | matches(text, *V.SENIOR_YEARS), "qa": matches(text, *V.QA_ROLE),
-        "manual": matches(text, *V.MANUAL_ROLE), "automation": matches(text, *V.AUTOMATION_ROLE), "sap": matches(text, "sap"), "erp": matches(text, "erp"), "implementer": matches(text, *V.IMPLEMENTER_ROLE),
-        "support": matches(text, *V.APPLICATION_SUPPORT_ROLE), "entry": matches(text, *V.DATA_ENTRY_ROLE), "documents": matches(text, *V.DOCUMENT_ROLE), "phone": matches(text, *V.PHONE_ROLE),
-        "sales": matches(text, *V.SALES_ROLE), "transport": matches(text, *V.TRANSPORT_ROLE),
+        "bad": seen(text, *V.IRRELEVANT_ROLE), "junior": seen(text, *V.JUNIOR), "senior": seen(title, *V.SENIOR_TITLE) | seen(text, *V.SENIOR_YEARS), "qa": seen(text, *V.QA_ROLE),
+        "manual": seen(text, *V.MANUAL_ROLE), "automation": seen(text, *V.AUTOMATION_ROLE), "sap": seen(text, "sap"), "erp": seen(text, "erp"), "implementer": seen(text, *V.IMPLEMENTER_ROLE),
+        "support": seen(text, *V.APPLICATION_SUPPORT_ROLE), "entry": seen(text, *V.DATA_ENTRY_ROLE), "documents": seen(text, *V.DOCUMENT_ROLE), "phone": seen(text, *V.PHONE_ROLE),
+        "sales": seen(text, *V.SALES_ROLE), "transport": seen(text, *V.TRANSPORT_ROLE),
     }
     # plain columns: the optimizer would put the fields of a struct back into every place of use
     rows = jobs.withColumns({f"r_{k}": v for k, v in rules.items()})
@@ -85,7 +88,7 @@ def role_columns(jobs: DataFrame) -> DataFrame:
         "isRelevantRole": ~r["bad"] & ~r["transport"] & known,
         "roleConfidence": ordered(F.lit("high"), F.lit("high"), F.lit("medium"), F.lit("medium"), F.lit("medium"), F.lit("medium"), F.lit("high"), F.lit("medium"), F.lit("medium"), F.lit("low")),
         "roleSignals": F.when(r["bad"], F.array(F.lit("irrelevant_non_software"))).otherwise(F.array_compact(F.array(*(F.when(hit, F.lit(name)) for name, hit in signals)))),
-    }).drop(*(f"r_{k}" for k in rules))
+    }).drop("role_text_", "role_title_", *(f"r_{k}" for k in rules))
 
 
 def profile_columns(jobs: DataFrame, profiles: Sequence[RoleProfile]) -> DataFrame:
@@ -120,10 +123,11 @@ def profile_columns(jobs: DataFrame, profiles: Sequence[RoleProfile]) -> DataFra
 
 
 def signal_columns(jobs: DataFrame) -> DataFrame:
-    text = text_of(*(c(n) for n in ("title", "company", "location", "description", "sourceQuery") if n in jobs.columns))
+    jobs = held(jobs, signal_text_=text_of(*(c(n) for n in ("title", "company", "location", "description", "sourceQuery") if n in jobs.columns)))
+    text = c("signal_text_")
     flags = {"Shift": ("shifts", V.SHIFT_SIGNAL), "Phone": ("phone", V.PHONE_SIGNAL), "Senior": ("senior", V.SENIOR_SIGNAL), "Sales": ("sales", V.SALES_SIGNAL)}
-    rows = jobs.withColumns({f"has{k}Signal": matches(text, *p) for k, (_, p) in flags.items()} | {"hasNoExperienceSignal": matches(text, *V.NO_EXPERIENCE_SIGNAL)})
-    return rows.withColumn("badSignals", F.array_compact(F.array(*(F.when(c(f"has{k}Signal"), F.lit(name)) for k, (name, _) in flags.items()))))
+    rows = jobs.withColumns({f"has{k}Signal": seen(text, *p) for k, (_, p) in flags.items()} | {"hasNoExperienceSignal": seen(text, *V.NO_EXPERIENCE_SIGNAL)})
+    return rows.drop("signal_text_").withColumn("badSignals", F.array_compact(F.array(*(F.when(c(f"has{k}Signal"), F.lit(name)) for k, (name, _) in flags.items()))))
 
 
 def enrich(jobs: DataFrame, profiles: Sequence[RoleProfile] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import clamped, matches, normalized, rounded, text_of, tokens, truthy
+from ..functions.text import clamped, held, normalized, rounded, seen, text_of, tokens, truthy
 
 LAST = 400
 _TEXT = ("title", "company", "location", "locationKey", "description", "source", "via", "sourceQuery", "roleFamily", "roleType", "roleProfileName")
@@ -126,12 +126,16 @@ def learning_columns(jobs: DataFrame, feedback: DataFrame) -> DataFrame:
     The last LAST feedback rows, a bounded number, are read by the driver and go to the tasks; a batch of postings meets them
     by products of 0/1 matrices for shared words and by codes for equal fields. Postings don't shuffle. An empty log gives 0.
     """
-    text = text_of(*(F.col(n) for n in _TEXT if n in jobs.columns))
-    hit = {k: matches(text, *p) for k, (_, _, p) in V.REJECTION_REASONS.items() if p}
-    hit["customer_service"] = hit["customer_service"] & (~matches(text, *V.SUPPORT_EVIDENCE) | matches(text, *V.SERVICE_EVIDENCE))
-    fields = _fields(jobs) | {"id": F.col("id").cast("string"), "place": F.col("location").cast("string"), "hit": F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in hit.items())))}
     row = feedback_tail(feedback).first()
     log = _Log([x.asDict() for x in (row.log if row and row.log else [])])
+    if not log.n:  # nothing to compare with
+        none = F.array().cast("array<string>")
+        return jobs.withColumns({"learning_adjustment": F.lit(0.0), "learning_reasons": none, "learning_warnings": none})
+    columns, jobs = jobs.columns, held(jobs, learned_text_=text_of(*(F.col(n) for n in _TEXT if n in jobs.columns)))
+    text = F.col("learned_text_")
+    hit = {k: seen(text, *p) for k, (_, _, p) in V.REJECTION_REASONS.items() if p}
+    hit["customer_service"] = hit["customer_service"] & (~seen(text, *V.SUPPORT_EVIDENCE) | seen(text, *V.SERVICE_EVIDENCE))
+    fields = _fields(jobs) | {"id": F.col("id").cast("string"), "place": F.col("location").cast("string"), "hit": F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in hit.items())))}
     names = list(fields)
 
     def meet(*columns: pd.Series) -> pd.DataFrame:
@@ -141,7 +145,7 @@ def learning_columns(jobs: DataFrame, feedback: DataFrame) -> DataFrame:
         return pd.DataFrame({"total": np.concatenate([p[0] for p in parts]), "told": [w for p in parts for w in p[1]]})
 
     met = F.pandas_udf(meet, "total double, told array<string>")
-    rows = jobs.withColumn("met_", met(*fields.values()))
+    rows = jobs.select(*columns, met(*fields.values()).alias("met_"))
     rows = rows.withColumn("learning_adjustment", clamped(rounded(F.col("met_.total")), -32, 22).cast("double"))
     whole = F.col("learning_adjustment").cast("int").cast("string")
     up = F.when(F.col("learning_adjustment") >= 4, F.concat(F.lit("למידה: משרות דומות נשמרו או סומנו כהוגשו בעבר (+"), whole, F.lit(").")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import held, clamped, join_truthy, keyword_hits, matches, rounded, text_of, truthy, years_at_least
+from ..functions.text import held, clamped, join_truthy, keyword_hits, matches, rounded, seen, text_of, truthy, years_at_least
 
 c = F.col
 _NONE = "cast(array() as array<string>)"
@@ -33,25 +33,25 @@ def with_texts(jobs: DataFrame) -> DataFrame:
 def decision_dimensions(jobs: DataFrame) -> DataFrame:
     """jobs (with_texts) with roleDomain, roleConfidence and the struct decisionGates."""
     t, title = c("gate_text_"), c("title_")
-    place = join_truthy(" ", c("location"), c("locationKey"))
-    wide_place = join_truthy(" ", c("location"), c("locationKey"), c("title"), c("description"))
+    jobs = held(jobs, place_=join_truthy(" ", c("location"), c("locationKey")), wide_place_=join_truthy(" ", c("location"), c("locationKey"), c("title"), c("description")))
+    place, wide_place = c("place_"), c("wide_place_")
     family_qa = _in("roleFamily", ["qa", "automation"])
-    seen = {
-        "isQaRole": family_qa | matches(t, *V.QA_TEXT) | matches(title, *V.QA_TITLE),
-        "hasSoftwareQaEvidence": matches(t, *V.SOFTWARE_QA_TEXT, V.SOFTWARE_TESTER_HE) | matches(title, *V.SOFTWARE_QA_TITLE),
-        "hasAutomationEvidence": matches(t, *V.AUTOMATION_EVIDENCE),
-        "hasDeveloperAutomationSignal": matches(t, *V.AUTOMATION_DEVELOPER),
-        "hasBusinessQualityEvidence": matches(t, *V.BUSINESS_QUALITY),
-        "hasInformationSystemsEvidence": matches(t, *V.INFORMATION_SYSTEMS),
-        "hasDataOrOfficeEvidence": matches(t, *V.DATA_OR_OFFICE),
-        "hasHardExclude": matches(t, *V.GATE_HARD_EXCLUDE),
-        "hasBadLocation": _in("locationKey", V.GATE_BAD_PLACES) | matches(place, *V.CENTER_TEXT) | matches(wide_place, *V.GATE_BAD_PLACE_TEXT),
-        "hasGoodLocation": _in("locationKey", V.GATE_GOOD_PLACES) | matches(place, *V.GATE_GOOD_PLACE_TEXT),
+    found = {
+        "isQaRole": family_qa | seen(t, *V.QA_TEXT) | seen(title, *V.QA_TITLE),
+        "hasSoftwareQaEvidence": seen(t, *V.SOFTWARE_QA_TEXT, V.SOFTWARE_TESTER_HE) | seen(title, *V.SOFTWARE_QA_TITLE),
+        "hasAutomationEvidence": seen(t, *V.AUTOMATION_EVIDENCE),
+        "hasDeveloperAutomationSignal": seen(t, *V.AUTOMATION_DEVELOPER),
+        "hasBusinessQualityEvidence": seen(t, *V.BUSINESS_QUALITY),
+        "hasInformationSystemsEvidence": seen(t, *V.INFORMATION_SYSTEMS),
+        "hasDataOrOfficeEvidence": seen(t, *V.DATA_OR_OFFICE),
+        "hasHardExclude": seen(t, *V.GATE_HARD_EXCLUDE),
+        "hasBadLocation": _in("locationKey", V.GATE_BAD_PLACES) | seen(place, *V.CENTER_TEXT) | seen(wide_place, *V.GATE_BAD_PLACE_TEXT),
+        "hasGoodLocation": _in("locationKey", V.GATE_GOOD_PLACES) | seen(place, *V.GATE_GOOD_PLACE_TEXT),
         "hasUnknownLocation": ~truthy(F.trim(c("locationKey"))) | _has("locationKey", "unknown") | ~truthy(F.trim(c("location"))) | _has("location", "Israel"),
-        "hasSeniorSignal": matches(title, *V.GATE_SENIOR_TITLE) | matches(t, *V.GATE_FOUR_YEARS),
-        "hasThreePlusExperience": matches(t, *V.GATE_THREE_YEARS),
+        "hasSeniorSignal": seen(title, *V.GATE_SENIOR_TITLE) | seen(t, *V.GATE_FOUR_YEARS),
+        "hasThreePlusExperience": seen(t, *V.GATE_THREE_YEARS),
     }
-    rows = held(jobs, **{f"d_{k}": v for k, v in seen.items()})
+    rows = held(jobs, **{f"d_{k}": v for k, v in found.items()})
     d = lambda k: c(f"d_{k}")
     qa, software = d("isQaRole"), d("hasSoftwareQaEvidence")
     domain = (
@@ -70,8 +70,8 @@ def decision_dimensions(jobs: DataFrame) -> DataFrame:
     confidence = F.when(c("roleDomain").isin("software_qa", "automation_qa"), "high").when(c("roleDomain") == "unknown", "low").otherwise("medium")
     gates = F.struct(
         c("roleDomain"), confidence.alias("roleConfidence"), (can | c("roleDomain").isin("qa_uncertain", "automation_dev")).alias("isTargetRole"), can.alias("canApplyByRole"),
-        (c("roleDomain") == "business_quality").alias("isBusinessQualityQa"), *(d(k).alias(k) for k in seen))
-    return rows.withColumn("decisionGates", gates).withColumn("roleConfidence", confidence).drop(*(f"d_{k}" for k in seen))
+        (c("roleDomain") == "business_quality").alias("isBusinessQualityQa"), *(d(k).alias(k) for k in found))
+    return rows.withColumn("decisionGates", gates).withColumn("roleConfidence", confidence).drop("place_", "wide_place_", *(f"d_{k}" for k in found))
 
 
 #: In the order in which they are tried, score cap and warning of each closed gate.
@@ -123,23 +123,23 @@ def early_exit(jobs: DataFrame) -> Column:
     extra = [c(n) for n in ("locationKey", "source", "url", "jobType") if n in jobs.columns]
     arrays = [c(n) for n in ("reasons", "warnings") if n in jobs.columns]
     hard_text = F.concat_ws(" ", text, text_of(*extra, arrays=arrays))
-    paid = matches(hard_text, "alljobs") & matches(hard_text, *V.PAID_ONLY)
-    developer = matches(title, *V.DEVELOPER_TITLE) & ~matches(title, *V.QA_AUTOMATION_TITLE)
-    factory = (_has("roleFamily", "qa") | matches(text, V.LETTER_BOUND_QA, V.FACTORY_QUALITY[0])) & matches(text, *V.FACTORY_QUALITY) & ~matches(text, *V.SOFTWARE_SIGNAL)
+    paid = seen(hard_text, "alljobs") & seen(hard_text, *V.PAID_ONLY)
+    developer = seen(title, *V.DEVELOPER_TITLE) & ~seen(title, *V.QA_AUTOMATION_TITLE)
+    factory = (_has("roleFamily", "qa") | seen(text, V.LETTER_BOUND_QA, V.FACTORY_QUALITY[0])) & seen(text, *V.FACTORY_QUALITY) & ~seen(text, *V.SOFTWARE_SIGNAL)
     wrong = _has("roleFamily", "irrelevant") | (c("isRelevantRole").eqNullSafe(False) & _has("roleConfidence", "high"))
     note = lambda reason, hard: F.struct(F.lit(reason).alias("reason"), F.lit(hard).alias("hard"))
     return (
         F.when(paid, note("נפסל אוטומטית: משרת AllJobs Premium / מנויים בלבד.", True))
         .when(developer, note("נפסל אוטומטית: תפקיד פיתוח תוכנה ולא QA/בדיקות.", True))
         .when(factory, note("נפסל: נראה QA איכות/ייצור/רגולציה ולא בדיקות תוכנה.", False))
-        .when(matches(text, *V.SCORE_HARD_EXCLUDE), note("נפסל אוטומטית: שירות לקוחות / טלפוני / מכירות / משמרות.", False))
+        .when(seen(text, *V.SCORE_HARD_EXCLUDE), note("נפסל אוטומטית: שירות לקוחות / טלפוני / מכירות / משמרות.", False))
         .when(wrong, note("נפסל: התפקיד לא שייך למסלול החיפוש שלך.", False))
     )
 
 
 def quiet_role(text: Column) -> Column:
     profile = truthy(c("roleProfileId")) & _in("roleFamily", V.QUIET_FAMILIES)
-    return profile | matches(join_truthy(" ", text, c("roleType"), c("roleProfileId"), c("roleProfileName")), *V.QUIET_ROLE)
+    return profile | seen(join_truthy(" ", text, c("roleType"), c("roleProfileId"), c("roleProfileName")), *V.QUIET_ROLE)
 
 
 def score(jobs: DataFrame, target_roles: Sequence[str] = (), skills: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -153,11 +153,12 @@ def score(jobs: DataFrame, target_roles: Sequence[str] = (), skills: Sequence[st
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     text, title = c("text_"), c("title_")
+    rows = held(rows, clerk_=seen(text, V.CLERK), developer_=seen(title, *V.CLEAR_DEVELOPER_TITLE))  # read within an array below
     rows = held(rows, **{
         "exit_": early_exit(rows), "targets_": keyword_hits(text, target_roles), "skills_": keyword_hits(text, skills),
-        "excluded_": F.slice(F.array_distinct(F.filter(keyword_hits(text, exclude), lambda w: F.when(F.contains(w, F.lit("פקיד")), matches(text, V.CLERK)).when(_has("roleFamily", "qa") & (w == "פיתוח"), matches(title, *V.CLEAR_DEVELOPER_TITLE)).otherwise(True))), 1, 5),
-        "senior_": matches(title, *V.SCORE_SENIOR_TITLE) | matches(text, *V.SCORE_FOUR_YEARS), "four_": years_at_least(text, 4), "three_": years_at_least(text, 3),
-        "office_": ~_has("roleFamily", "qa") & matches(text, *V.SCORE_OFFICE_NOISE) & ~quiet_role(text),
+        "excluded_": F.slice(F.array_distinct(F.filter(keyword_hits(text, exclude), lambda w: F.when(F.contains(w, F.lit("פקיד")), c("clerk_")).when(_has("roleFamily", "qa") & (w == "פיתוח"), c("developer_")).otherwise(True))), 1, 5),
+        "senior_": seen(title, *V.SCORE_SENIOR_TITLE) | seen(text, *V.SCORE_FOUR_YEARS), "four_": years_at_least(text, 4), "three_": years_at_least(text, 3),
+        "office_": ~_has("roleFamily", "qa") & seen(text, *V.SCORE_OFFICE_NOISE) & ~quiet_role(text),
     })
     said = lambda a: F.coalesce(a, F.expr(_NONE))
     useful = lambda a: F.filter(said(a), lambda m: matches(m, *V.SPECIFIC_LEARNING))
@@ -219,7 +220,7 @@ def score(jobs: DataFrame, target_roles: Sequence[str] = (), skills: Sequence[st
         "warnings": F.when(hard, F.array_distinct(F.concat(said(c("warnings")), F.array(c("exit_.reason"))))).when(out, F.array(c("exit_.reason"))).otherwise(F.slice(F.array_distinct(warnings), 1, 8)),
         "status": F.when(out, "skipped").otherwise(c("status")),
         "roleFamily": F.when(hard, "irrelevant").otherwise(c("roleFamily")), "roleType": F.when(hard, "irrelevant").otherwise(c("roleType")), "isRelevantRole": F.when(hard, False).otherwise(c("isRelevantRole")),
-    }).drop("exit_", "targets_", "skills_", "excluded_", "senior_", "four_", "three_", "office_", "learned_", "lr_", "lw_", "learning_adjustment", "learning_reasons", "learning_warnings")
+    }).drop("exit_", "clerk_", "developer_", "targets_", "skills_", "excluded_", "senior_", "four_", "three_", "office_", "learned_", "lr_", "lw_", "learning_adjustment", "learning_reasons", "learning_warnings")
     gated = decision_gates(decision_dimensions(with_texts(rows.drop("gate_text_", "text_", "title_"))))
     return gated.drop("gate_text_", "text_", "title_")
 
@@ -228,13 +229,13 @@ def score(jobs: DataFrame, target_roles: Sequence[str] = (), skills: Sequence[st
 
 
 def qa_title(title: Column) -> Column:
-    return matches(F.lower(F.coalesce(title, F.lit(""))), *V.FINAL_QA_TITLE)
+    return seen(F.lower(F.coalesce(title, F.lit(""))), *V.FINAL_QA_TITLE)
 
 
 def before_scoring(jobs: DataFrame) -> DataFrame:
     """A title that says QA forces the family; profiles of other roles are taken off."""
     text = F.lower(join_truthy(" ", c("title"), c("description")))
-    kind = F.when(matches(text, *V.AUTOMATION_EVIDENCE), "qa_automation").when(matches(text, *V.MANUAL_ROLE), "qa_manual").otherwise("qa_general")
+    kind = F.when(seen(text, *V.AUTOMATION_EVIDENCE), "qa_automation").when(seen(text, *V.MANUAL_ROLE), "qa_manual").otherwise("qa_general")
     rows = jobs.withColumn("qa_", qa_title(c("title")))
     off = c("qa_") & truthy(c("roleProfileId")) & ~F.contains(F.lower(c("roleProfileId")), F.lit("qa"))
     gone = [n for n in ("roleProfileName", "roleProfileMatched", "roleProfileScoreBonus", "roleProfileId") if n in jobs.columns]
@@ -248,17 +249,17 @@ def before_scoring(jobs: DataFrame) -> DataFrame:
 
 def main_senior() -> Column:
     text = F.lower(join_truthy(" ", c("title"), c("description")))
-    return matches(F.lower(F.coalesce(c("title"), F.lit(""))), *V.SCORE_SENIOR_TITLE) | matches(text, *V.MAIN_FOUR_YEARS)
+    return seen(F.lower(F.coalesce(c("title"), F.lit(""))), *V.SCORE_SENIOR_TITLE) | seen(text, *V.MAIN_FOUR_YEARS)
 
 
 def after_scoring(jobs: DataFrame) -> DataFrame:
     """Blocked places are skipped; clean QA postings go up to apply, others without a good place or too senior down to review."""
     place_words = F.replace(F.coalesce(c("locationKey"), F.lit("")), F.lit("_"), F.lit(" "))
     place = join_truthy(" ", c("location"), place_words)
-    blocked = matches(join_truthy(" ", c("title"), c("company"), place, c("description")), *V.FINAL_BAD_PLACE_TEXT) | matches(place, *V.CENTER_TEXT)
+    blocked = seen(join_truthy(" ", c("title"), c("company"), place, c("description")), *V.FINAL_BAD_PLACE_TEXT) | seen(place, *V.CENTER_TEXT)
     qa = _in("roleFamily", ["qa", "automation"]) | qa_title(c("title"))
     good = _in("locationKey", V.MAIN_GOOD_PLACES)
-    senior = matches(text_of(c("title"), c("description"), arrays=[c("warnings")]), *V.FINAL_THREE_YEARS) | main_senior()
+    senior = seen(text_of(c("title"), c("description"), arrays=[c("warnings")]), *V.FINAL_THREE_YEARS) | main_senior()
     up = _has("recommendation", "review") & qa & good & (F.coalesce(c("fitScore"), F.lit(0)) >= 75) & (F.size(F.coalesce(c("warnings"), F.expr(_NONE))) == 0) & ~senior
     down = _has("recommendation", "apply") & (~good | senior)
     rows = jobs.withColumn("blocked_", blocked)
@@ -277,17 +278,17 @@ def usable_for_main_list() -> Column:
     unknown = (key == "") | (key == "unknown") | (place == "Israel")
     alljobs = _has("source", "AllJobs")
     place_ok = key.isin(V.MAIN_GOOD_PLACES) | (alljobs & unknown & qa & ~_has("recommendation", "skip") & (n >= 75))
-    blocked = key.isin(V.MAIN_BAD_PLACES) | matches(F.concat_ws(" ", place, words), *V.CENTER_TEXT)
+    blocked = key.isin(V.MAIN_BAD_PLACES) | seen(F.concat_ws(" ", place, words), *V.CENTER_TEXT)
     for text in (place, words, join_truthy(" ", c("title"), c("description"))):
-        blocked = blocked | matches(text, *V.MAIN_BAD_PLACE_TEXT)
+        blocked = blocked | seen(text, *V.MAIN_BAD_PLACE_TEXT)
     text = F.lower(join_truthy(" ", c("title"), c("company"), c("description")))
     own = join_truthy(" ", c("title"), c("description"), c("roleFamily"), c("roleType"), c("roleProfileId"), c("roleProfileName"))
-    noise = ~qa & matches(text, *V.MAIN_OFFICE_NOISE) & ~quiet_role(own)
-    rejected = _has("status", "skipped") | _has("recommendation", "skip") | (n <= 0) | _has("roleFamily", "irrelevant") | c("isRelevantRole").eqNullSafe(False) | matches(F.lower(join_truthy(" ", c("title"), c("description"))), *V.JUNK_BUSINESS) | noise
+    noise = ~qa & seen(text, *V.MAIN_OFFICE_NOISE) & ~quiet_role(own)
+    rejected = _has("status", "skipped") | _has("recommendation", "skip") | (n <= 0) | _has("roleFamily", "irrelevant") | c("isRelevantRole").eqNullSafe(False) | seen(F.lower(join_truthy(" ", c("title"), c("description"))), *V.JUNK_BUSINESS) | noise
     least = F.coalesce(F.nullif(c("mainListMinScore"), F.lit(0.0)), F.lit(55.0))
     profile, senior = truthy(c("roleProfileId")), main_senior()
     family = lambda *f: _in("roleFamily", f)
-    listed = matches(c("url"), r"JobID=\d+") & ~matches(key, *V.MAIN_BAD_LOCATION_LABELS) & ~matches(place, *V.MAIN_BAD_LOCATION_LABELS) & ~senior
+    listed = seen(c("url"), r"JobID=\d+") & ~seen(key, *V.MAIN_BAD_LOCATION_LABELS) & ~seen(place, *V.MAIN_BAD_LOCATION_LABELS) & ~senior
     of_alljobs = F.when(profile, n >= F.greatest(F.lit(55.0), least)).when(qa, n >= 50).when(family("information_systems"), n >= 65).when(family("information"), n >= 70).when(family("analysis", "operations"), n >= 60).otherwise(False)
     of_others = F.when(profile, ~senior & (n >= least)).when(qa, ~senior & (n >= 25)).when(family("information_systems"), ~senior & (n >= 45)).when(family("information"), ~senior & (n >= 60)).when(family("analysis", "operations"), ~senior & (n >= 55)).otherwise(n >= 70)
     return F.coalesce(place_ok & ~blocked & ~rejected & F.when(alljobs, listed & of_alljobs).otherwise(of_others), F.lit(False))
